@@ -1,0 +1,9 @@
+"""Streaming.
+
+The calibration this library reproduces is a batch job: both series are
+read whole, aligned by a lag found over the whole overlap and fitted once.
+It has no watermark, streaming window, state or late-data handling, so
+nothing is implemented here on purpose.  A fitted calibration
+(``PreprocessingArtifacts.transform`` + ``PipelineModel.transform``) can be
+applied inside ``foreachBatch`` by the caller when new rows arrive.
+"""
