@@ -74,13 +74,13 @@ def predict_with_model(model: PipelineModel, df: DataFrame, ts: str = "timestamp
 
 
 def _label_stats(df: DataFrame, label: str, folds: int) -> dict:
-    """n and sample std of the label for the hold-out training set and for
+    """n and population std of the label for the hold-out training set and for
     every fold's training set, in one aggregation."""
     y = F.col(label)
-    cols = [F.count(F.when(~F.col(IS_TEST), y)).alias("n_h"), F.stddev_samp(F.when(~F.col(IS_TEST), y)).alias("s_h")]
+    cols = [F.count(F.when(~F.col(IS_TEST), y)).alias("n_h"), F.stddev_pop(F.when(~F.col(IS_TEST), y)).alias("s_h")]
     for i in range(folds):
         cond = F.col(FOLD) != i
-        cols += [F.count(F.when(cond, y)).alias(f"n_{i}"), F.stddev_samp(F.when(cond, y)).alias(f"s_{i}")]
+        cols += [F.count(F.when(cond, y)).alias(f"n_{i}"), F.stddev_pop(F.when(cond, y)).alias(f"s_{i}")]
     row = df.agg(*cols).first()
     out = {"holdout": TrainStats(int(row["n_h"]), float(row["s_h"] or 0.0))}
     for i in range(folds):

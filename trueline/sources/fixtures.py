@@ -24,6 +24,8 @@ SEN_DIRTY_SQL = ("SELECT CASE WHEN event_id % 97 = 0 THEN 'bad' ELSE CAST(ts AS
                  "FROM events "
                  "UNION ALL "
                  "SELECT CAST(ts AS STRING), value + 1000, CAST(user_id AS DOUBLE) FROM events WHERE event_id % 50 = 0")
+# growth factors near 1 (products stay well inside double precision)
+GROWTH_SQL = "SELECT ts AS timestamp, 1.0 + value / 1000.0 AS factor FROM events"
 # keyed variants: one series per event_type
 REF_KEYED_SQL = ("SELECT event_type, ts AS timestamp, value AS pm25, CAST(user_id AS DOUBLE) AS temperature FROM events")
 SEN_KEYED_SQL = ("SELECT event_type, ts + INTERVAL '2' HOUR AS timestamp, "
@@ -53,6 +55,10 @@ def sen_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from_events(spark, sf_dir, SEN_DIRTY_SQL)
 
 
+def growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _from_events(spark, sf_dir, GROWTH_SQL)
+
+
 def ref_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from_events(spark, sf_dir, REF_KEYED_SQL)
 

@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame
 def write_csv(df: DataFrame, path: str, ts: str | None = "timestamp", mode: str = "overwrite") -> None:
     """CSV with a header, rows sorted by timestamp inside the output."""
     out = df.orderBy(ts) if ts and ts in df.columns else df
-    out.write.mode(mode).option("header", True).csv(path)
+    (out.write.mode(mode).option("header", True)
+     .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+     .option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSSXXX")
+     .csv(path))
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by=None) -> None:
