@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import fold_salt, hash_uint32, split_salt, unit_draw
 from ..operators.preprocess import numeric_columns
+from ..session import cut_lineage
 from .evaluate import cv_metric_columns, metric_columns
 from .extra_trees import ExtraTreesRegressor
 from .registry import ModelSpec, TrainStats, get_selected_models
@@ -90,10 +91,15 @@ def _label_stats(df: DataFrame, label: str, folds: int) -> dict:
 
 def train_models(df: DataFrame, target: str, ts: str, config: dict, random_state: int = 42,
                  keys: Sequence[str] = (), parallelism: int = 4, cross_validate: bool = True,
-                 persist: bool = True) -> list[TrainingResult]:
+                 checkpoint: bool = True) -> list[TrainingResult]:
     """For each selected model fit on the hold-out training rows, score
     the hold-out rows, and pool out-of-fold predictions over k folds.
-    Metrics for all models come from one grouped aggregation."""
+    Metrics for all models come from one grouped aggregation.
+
+    The training table (features, label, split and fold columns) is written
+    once as a reliable checkpoint: every fit then starts from a one-node
+    plan instead of re-analysing the whole feature lineage, and a lost
+    executor re-reads the checkpoint files instead of recomputing it."""
     keys = list(keys)
     specs = get_selected_models(config, random_state)
     feats = feature_columns(df, target, ts, keys)
@@ -102,8 +108,7 @@ def train_models(df: DataFrame, target: str, ts: str, config: dict, random_state
     k = max(2, int(config.get("cross_validation_folds", 5)))
     data = add_folds(add_holdout_flag(df.select(*keys, ts, *feats, target), ts, keys,
                                       float(config.get("test_size", 0.2)), random_state), ts, keys, k, random_state)
-    if persist:
-        data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    data = cut_lineage(data) if checkpoint else data.persist(StorageLevel.MEMORY_AND_DISK)
     stats = _label_stats(data, target, k)
     train = data.where(~F.col(IS_TEST))
     test = data.where(F.col(IS_TEST))
