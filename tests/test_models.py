@@ -126,3 +126,45 @@ def test_tree_models_beat_mean(spark, name, params):
     assert r.metrics["rmse"] < 0.8 * float(np.std(y))
     scored = predict_with_model(r.model, df)
     assert scored.columns == ["timestamp", "prediction"] and scored.count() == 300
+
+
+def _moments_fit(spark, df, feats, name, params=None):
+    cfg = {"selected_models": [name], "model_params": {name: params or {}}, "test_size": 0.0,
+           "linear_solver": "moments"}
+    r = train_models(df, "y", "timestamp", cfg, 42, cross_validate=False)[0]
+    return np.array([p.prediction for p in predict_with_model(r.model, df).orderBy("timestamp").collect()])
+
+
+def test_moment_solver_matches_numpy(spark):
+    df, X, y = synthetic(spark, n=250)
+    feats = [f"x{j}" for j in range(X.shape[1])]
+    A = np.c_[np.ones(len(y)), X]
+    ols = A @ np.linalg.lstsq(A, y, rcond=None)[0]
+    assert np.allclose(_moments_fit(spark, df, feats, "linear_regression"), ols, atol=1e-8)
+    Xc, yc = X - X.mean(0), y - y.mean()
+    w = np.linalg.solve(Xc.T @ Xc + 2.0 * np.eye(X.shape[1]), Xc.T @ yc)
+    assert np.allclose(_moments_fit(spark, df, feats, "ridge", {"alpha": 2.0}), y.mean() + Xc @ w, atol=1e-8)
+    w, b = coordinate_descent(X, y, 0.06, 0.14)
+    assert np.allclose(_moments_fit(spark, df, feats, "elastic_net", {"alpha": 0.2, "l1_ratio": 0.3}),
+                       b + X @ w, atol=1e-6)
+
+
+def test_moment_solver_collinear_and_constant_columns(spark):
+    rng = np.random.default_rng(5)
+    n = 120
+    a = rng.normal(size=n)
+    rows = [(dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), float(3 * a[i] + 1), float(a[i]), float(2 * a[i]), 5.0)
+            for i in range(n)]
+    df = spark.createDataFrame(rows, "timestamp timestamp_ntz, y double, x0 double, x1 double, flat double")
+    pred = _moments_fit(spark, df, ["x0", "x1", "flat"], "linear_regression")
+    assert np.allclose(pred, 3 * a + 1, atol=1e-8)
+
+
+def test_moment_and_mllib_solvers_agree(spark):
+    df, _, _ = synthetic(spark, n=200)
+    base = {"selected_models": ["linear_regression", "ridge", "lasso", "elastic_net"], "cross_validation_folds": 3}
+    a = {r.model_name: r.metrics for r in train_models(df, "y", "timestamp", {**base, "linear_solver": "moments"}, 42)}
+    b = {r.model_name: r.metrics for r in train_models(df, "y", "timestamp", {**base, "linear_solver": "mllib"}, 42)}
+    for m in a:
+        for key in ("rmse", "mae", "cv_rmse"):
+            assert abs(a[m][key] - b[m][key]) < 1e-6, (m, key)

@@ -17,6 +17,7 @@ from ..operators.preprocess import numeric_columns
 from ..session import cut_lineage
 from .evaluate import cv_metric_columns, metric_columns
 from .extra_trees import ExtraTreesRegressor
+from .linear import as_pipeline_model, cell_moments, combine, solve
 from .registry import ModelSpec, TrainStats, get_selected_models
 
 IS_TEST = "__is_test"
@@ -109,28 +110,52 @@ def train_models(df: DataFrame, target: str, ts: str, config: dict, random_state
     data = add_folds(add_holdout_flag(df.select(*keys, ts, *feats, target), ts, keys,
                                       float(config.get("test_size", 0.2)), random_state), ts, keys, k, random_state)
     data = cut_lineage(data) if checkpoint else data.persist(StorageLevel.MEMORY_AND_DISK)
-    stats = _label_stats(data, target, k)
     train = data.where(~F.col(IS_TEST))
     test = data.where(F.col(IS_TEST))
 
-    def one(spec: ModelSpec):
-        model = fit_pipeline(spec, train, feats, target, stats["holdout"])
-        hold = model.transform(test).select(*keys, ts, F.col(target).alias("actual"),
+    splits = [None, *(range(k) if cross_validate else [])]
+    models: dict = {}
+    solver = str(config.get("linear_solver", "moments"))
+    linear = [s for s in specs.values() if s.linear_kind and solver == "moments"]
+    if linear:
+        # all linear fits of all splits from one aggregation (see ml.linear)
+        moments = cell_moments(data, feats, target, [FOLD, IS_TEST])
+        cells = list(moments)
+        for spec in linear:
+            for split in splits:
+                chosen = [c for c in cells if (not c[1] if split is None else c[0] != split)]
+                w, b = solve(spec.linear_kind, spec.params, combine(moments, chosen))
+                models[(spec.name, split)] = as_pipeline_model(feats, w, b)
+
+    rest = [s for s in specs.values() if s not in linear]
+    stats = _label_stats(data, target, k) if any(s.needs_stats for s in rest) else \
+        {key: TrainStats(0, 0.0) for key in ["holdout", *range(k)]}
+
+    def fit(job):
+        spec, split = job
+        if split is None:
+            return fit_pipeline(spec, train, feats, target, stats["holdout"])
+        return fit_pipeline(spec, data.where(F.col(FOLD) != split), feats, target, stats[split])
+
+    # the other (model, split) fits are independent: one pool for all of them
+    jobs = [(spec, split) for spec in rest for split in splits]
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        models.update(zip([(s.name, i) for s, i in jobs], pool.map(fit, jobs)))
+
+    def scored(model, rows):
+        return model.transform(rows).select(*keys, ts, F.col(target).alias("actual"),
                                             F.col("prediction").alias("predicted"))
+
+    fitted = []
+    for spec in specs.values():
+        hold = scored(models[(spec.name, None)], test)
         oof = None
         if cross_validate:
-            parts = []
-            for i in range(k):
-                m_i = fit_pipeline(spec, data.where(F.col(FOLD) != i), feats, target, stats[i])
-                parts.append(m_i.transform(data.where(F.col(FOLD) == i)).select(
-                    *keys, ts, F.col(target).alias("actual"), F.col("prediction").alias("predicted")))
+            parts = [scored(models[(spec.name, i)], data.where(F.col(FOLD) == i)) for i in range(k)]
             oof = parts[0]
             for p in parts[1:]:
                 oof = oof.unionByName(p)
-        return spec.name, model, hold, oof
-
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        fitted = list(pool.map(one, specs.values()))
+        fitted.append((spec.name, models[(spec.name, None)], hold, oof))
 
     stacked = None
     for name, _, hold, oof in fitted:

@@ -62,10 +62,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (written to the shared checkpoint folder).
 
     Lost executors then recompute from the checkpoint files rather than
-    from the raw scan.  Never a local checkpoint.
+    from the raw scan.  Never a local checkpoint.  The frame is persisted
+    while it is written: an eager checkpoint of an unpersisted frame
+    computes it twice (once to count, once to write).
     """
+    from pyspark import StorageLevel
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
