@@ -32,11 +32,11 @@ def regression_metrics(pred: DataFrame, y: str = "actual", p: str = "predicted",
     return g.agg(*metric_columns(y, p))
 
 
-def cv_metric_columns(y="actual", p="predicted") -> list[Column]:
+def cv_metric_columns(y="actual", p="predicted", prefix: str = "") -> list[Column]:
     y = F.col(y) if isinstance(y, str) else y
     p = F.col(p) if isinstance(p, str) else p
     err = y - p
-    return [F.sqrt(F.avg(err * err)).alias("cv_rmse"), F.avg(F.abs(err)).alias("cv_mae")]
+    return [F.sqrt(F.avg(err * err)).alias(prefix + "cv_rmse"), F.avg(F.abs(err)).alias(prefix + "cv_mae")]
 
 
 def leaderboard_from(holdout: DataFrame, oof: DataFrame | None, config: dict) -> DataFrame:

@@ -17,7 +17,7 @@ from ..operators.preprocess import numeric_columns
 from ..session import cut_lineage
 from .evaluate import cv_metric_columns, metric_columns
 from .extra_trees import ExtraTreesRegressor
-from .linear import as_pipeline_model, cell_moments, combine, solve
+from .linear import as_pipeline_model, cell_moments, combine, prediction_sql, solve
 from .registry import ModelSpec, TrainStats, get_selected_models
 
 IS_TEST = "__is_test"
@@ -117,17 +117,48 @@ def train_models(df: DataFrame, target: str, ts: str, config: dict, random_state
     models: dict = {}
     solver = str(config.get("linear_solver", "moments"))
     linear = [s for s in specs.values() if s.linear_kind and solver == "moments"]
+    rest = [s for s in specs.values() if s not in linear]
+    actual = F.col(target).alias("actual")
+    predictions: dict = {}
+    metrics: dict[str, dict] = {name: {} for name in specs}
     if linear:
-        # all linear fits of all splits from one aggregation (see ml.linear)
+        # all linear fits of all splits from one pass (see ml.linear); their
+        # predictions are column expressions, so hold-out rows, out-of-fold
+        # rows and every metric come from the training table without unions
         moments = cell_moments(data, feats, target, [FOLD, IS_TEST])
         cells = list(moments)
+        errors = [F.col(IS_TEST), F.col(target).alias("__y")]
         for spec in linear:
+            cols = {}
             for split in splits:
                 chosen = [c for c in cells if (not c[1] if split is None else c[0] != split)]
                 w, b = solve(spec.linear_kind, spec.params, combine(moments, chosen))
-                models[(spec.name, split)] = as_pipeline_model(feats, w, b)
+                cols[split] = prediction_sql(feats, w, b)
+                if split is None:
+                    models[(spec.name, None)] = as_pipeline_model(feats, w, b)
+            hold_pred = F.expr(cols[None])
+            hold = test.select(*keys, ts, actual, hold_pred.alias("predicted"))
+            errors.append(hold_pred.alias(f"__h_{spec.name}"))
+            oof = None
+            if cross_validate:
+                fold_pred = F.expr("CASE " + " ".join(f"WHEN `{FOLD}` = {i} THEN {cols[i]}" for i in range(k)) + " END")
+                oof = data.select(*keys, ts, actual, fold_pred.alias("predicted"))
+                errors.append(fold_pred.alias(f"__cv_{spec.name}"))
+            predictions[spec.name] = (hold, oof)
+        # predictions are projected once, then every metric reads the columns
+        scored_rows = data.select(*errors)
+        y_test = F.when(F.col(IS_TEST), F.col("__y"))
+        aggs = []
+        for spec in linear:
+            aggs += metric_columns(y_test, F.when(F.col(IS_TEST), F.col(f"__h_{spec.name}")),
+                                   prefix=f"{spec.name}\x1f")
+            if cross_validate:
+                aggs += cv_metric_columns(F.col("__y"), F.col(f"__cv_{spec.name}"), prefix=f"{spec.name}\x1f")
+        row = scored_rows.agg(*aggs).first().asDict()
+        for key, value in row.items():
+            name, metric = key.split("\x1f")
+            metrics[name][metric] = value
 
-    rest = [s for s in specs.values() if s not in linear]
     stats = _label_stats(data, target, k) if any(s.needs_stats for s in rest) else \
         {key: TrainStats(0, 0.0) for key in ["holdout", *range(k)]}
 
@@ -143,11 +174,10 @@ def train_models(df: DataFrame, target: str, ts: str, config: dict, random_state
         models.update(zip([(s.name, i) for s, i in jobs], pool.map(fit, jobs)))
 
     def scored(model, rows):
-        return model.transform(rows).select(*keys, ts, F.col(target).alias("actual"),
-                                            F.col("prediction").alias("predicted"))
+        return model.transform(rows).select(*keys, ts, actual, F.col("prediction").alias("predicted"))
 
-    fitted = []
-    for spec in specs.values():
+    stacked = None
+    for spec in rest:
         hold = scored(models[(spec.name, None)], test)
         oof = None
         if cross_validate:
@@ -155,20 +185,17 @@ def train_models(df: DataFrame, target: str, ts: str, config: dict, random_state
             oof = parts[0]
             for p in parts[1:]:
                 oof = oof.unionByName(p)
-        fitted.append((spec.name, models[(spec.name, None)], hold, oof))
-
-    stacked = None
-    for name, _, hold, oof in fitted:
-        part = hold.select(F.lit(name).alias("model"), F.lit("holdout").alias("kind"), "actual", "predicted")
+        predictions[spec.name] = (hold, oof)
+        part = hold.select(F.lit(spec.name).alias("model"), F.lit("holdout").alias("kind"), "actual", "predicted")
         if oof is not None:
-            part = part.unionByName(oof.select(F.lit(name).alias("model"), F.lit("cv").alias("kind"),
+            part = part.unionByName(oof.select(F.lit(spec.name).alias("model"), F.lit("cv").alias("kind"),
                                                "actual", "predicted"))
         stacked = part if stacked is None else stacked.unionByName(part)
-    rows = stacked.groupBy("model", "kind").agg(*metric_columns(), *cv_metric_columns()).collect()
-    metrics: dict[str, dict] = {name: {} for name in specs}
-    for r in rows:
-        if r["kind"] == "holdout":
-            metrics[r["model"]].update({m: r[m] for m in ("rmse", "mae", "r2", "mape")})
-        else:
-            metrics[r["model"]].update({"cv_rmse": r["cv_rmse"], "cv_mae": r["cv_mae"]})
+    if stacked is not None:
+        for r in stacked.groupBy("model", "kind").agg(*metric_columns(), *cv_metric_columns()).collect():
+            if r["kind"] == "holdout":
+                metrics[r["model"]].update({m: r[m] for m in ("rmse", "mae", "r2", "mape")})
+            else:
+                metrics[r["model"]].update({"cv_rmse": r["cv_rmse"], "cv_mae": r["cv_mae"]})
+    fitted = [(name, models[(name, None)], *predictions[name]) for name in specs]
     return [TrainingResult(name, model, metrics[name], hold, oof, feats) for name, model, hold, oof in fitted]

@@ -47,17 +47,22 @@ def long_values(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ())
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: Sequence[str] = (),
-                    final_rows: int = FINAL_ROWS, buckets: int = BUCKETS) -> DataFrame:
+                    final_rows: int = FINAL_ROWS, buckets: int = BUCKETS, row_bound: int | None = None) -> DataFrame:
     """``(keys…, column, values)`` where ``values[i]`` is the probs[i]
-    quantile of the column's non-null values in that key (NULL if none)."""
+    quantile of the column's non-null values in that key (NULL if none).
+
+    ``row_bound``, an upper bound on the rows of ``df`` (e.g. the count made
+    by validation), lets small inputs skip the group-size pass."""
     keys = list(keys)
     group = [*keys, "column"]
+    probs_col = F.array(*[F.lit(float(q)) for q in probs])
+    if row_bound is not None and row_bound <= final_rows:
+        return long_values(df, columns, keys).groupBy(*group).agg(F.percentile("v", probs_col).alias("values"))
     values = long_values(df, columns, keys).persist(StorageLevel.MEMORY_AND_DISK)
     stats = values.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     largest = stats.agg(F.max("n")).first()[0] or 0
     if largest <= final_rows:
         # every group fits a bounded buffer: Spark's exact percentile in one pass
-        probs_col = F.array(*[F.lit(float(q)) for q in probs])
         out = cut_lineage(values.groupBy(*group).agg(F.percentile("v", probs_col).alias("values")))
         values.unpersist()
         return out
@@ -113,11 +118,11 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
 
 
 def exact_quantile_params(df: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: Sequence[str],
-                          name: str, scalar: bool) -> DataFrame:
+                          name: str, scalar: bool, row_bound: int | None = None) -> DataFrame:
     """Wide table (keys…, ``name``__<column>) for :class:`~trueline.operators.params.Params`:
     the single value when ``scalar`` else the array in ``probs`` order."""
     keys = list(keys)
-    long = exact_quantiles(df, columns, probs, keys)
+    long = exact_quantiles(df, columns, probs, keys, row_bound=row_bound)
     col = F.col("values")[0] if scalar else F.col("values")
     long = long.select(*keys, "column", col.alias("p"))
     grouped = long.groupBy(*keys) if keys else long.groupBy()

@@ -27,10 +27,11 @@ def drop_bad_timestamps(df: DataFrame, ts: str = "timestamp") -> DataFrame:
     return df.where(F.col(ts).isNotNull())
 
 
-def check_series(df: DataFrame, ts: str = "timestamp", name: str = "dataset") -> None:
+def check_series(df: DataFrame, ts: str = "timestamp", name: str = "dataset") -> int:
     """F3 guards, one small action reading only the timestamp column.
 
-    Raises when the dataset is empty or no timestamp parsed.
+    Raises when the dataset is empty or no timestamp parsed; returns the
+    row count (an upper bound on the rows after validation).
     """
     require_columns(df, [ts], name)
     row = df.agg(F.count(F.lit(1)).alias("n"), F.count(ts).alias("good")).first()
@@ -38,6 +39,7 @@ def check_series(df: DataFrame, ts: str = "timestamp", name: str = "dataset") ->
         raise ValueError(f"{name} dataset is empty.")
     if row["good"] == 0:
         raise ValueError(f"{name} dataset contains no valid timestamps in '{ts}'.")
+    return int(row["n"])
 
 
 def dedupe_timestamps(df: DataFrame, ts: str = "timestamp", keys: Sequence[str] = ()) -> DataFrame:
