@@ -25,6 +25,13 @@ def safe_pearson(a, b) -> Column:
     return F.try_divide(F.covar_pop(am, bm), F.stddev_pop(am) * F.stddev_pop(bm))
 
 
+def safe_pearson_sql(a: str, b: str) -> str:
+    """:func:`safe_pearson` as SQL text over two column names."""
+    both = f"`{a}` IS NOT NULL AND `{b}` IS NOT NULL"
+    am, bm = f"CASE WHEN {both} THEN `{a}` END", f"CASE WHEN {both} THEN `{b}` END"
+    return f"try_divide(covar_pop({am}, {bm}), stddev_pop({am}) * stddev_pop({bm}))"
+
+
 def first_value(v, ts) -> Column:
     """First non-null value by timestamp."""
     v = _c(v)

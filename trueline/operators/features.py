@@ -29,6 +29,22 @@ def rolling_feature_columns(columns: Sequence[str], windows: Sequence[int], w: W
     return out
 
 
+def lag_feature_sql(columns: Sequence[str], lag_steps: Sequence[int]) -> list[str]:
+    """W3 as SQL text over the window ``{w}`` (one parse per column)."""
+    return [f"lag(`{c}`, {int(k)}) OVER ({{w}}) AS `{c}_lag_{k}`" for c in columns for k in lag_steps]
+
+
+def rolling_feature_sql(columns: Sequence[str], windows: Sequence[int]) -> list[str]:
+    """W4 / W5 as SQL text over the window ``{w}``."""
+    out = []
+    for c in columns:
+        for n in windows:
+            frame = f"({{w}} ROWS BETWEEN {int(n) - 1} PRECEDING AND CURRENT ROW)"
+            out.append(f"avg(`{c}`) OVER {frame} AS `{c}_roll_mean_{n}`")
+            out.append(f"coalesce(stddev_samp(`{c}`) OVER {frame}, 0.0D) AS `{c}_roll_std_{n}`")
+    return out
+
+
 def _window_features(df: DataFrame, ts: str, columns: Sequence[str], lag_steps, windows, keys,
                      block_rows, time_block_us) -> DataFrame:
     lag_steps = [int(k) for k in lag_steps]
@@ -38,7 +54,7 @@ def _window_features(df: DataFrame, ts: str, columns: Sequence[str], lag_steps,
         raise ValueError("lag steps must be positive")
 
     def build(w: Window):
-        return lag_feature_columns(columns, lag_steps, w) + rolling_feature_columns(columns, windows, w)
+        return lag_feature_sql(columns, lag_steps) + rolling_feature_sql(columns, windows)
 
     return ordered_select(df, ts, keys, back, 0, build, block_rows, time_block_us)
 

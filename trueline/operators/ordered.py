@@ -42,10 +42,15 @@ def dense_positions(df: DataFrame, ts: str, keys: Sequence[str] = (),
 
     Timestamps must be unique per key (true after validation or
     resampling).  Deterministic, so recomputation gives the same numbers.
+    The block sizes are joined back onto the rows, so ``df`` is read twice:
+    pass a persisted or checkpointed frame (the library's composite
+    operators do: persisted grids, checkpointed aligned data).
     """
     keys = list(keys)
     blk = F.floor(epoch_us(ts) / F.lit(time_block_us)).cast("bigint")
-    with_blk = df.withColumn(_BLK, blk)
+    # one exchange by (keys, block) feeds both the block sizes and the row
+    # numbers, so Spark reuses it and the input is computed once
+    with_blk = df.withColumn(_BLK, blk).repartition(*keys, _BLK)
     sizes = with_blk.groupBy(*keys, _BLK).agg(F.count(F.lit(1)).alias("__n"))
     start = Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, _BLK, F.coalesce(F.sum("__n").over(start), F.lit(0)).alias("__off"))
@@ -78,7 +83,10 @@ def halo_select(df: DataFrame, keys: Sequence[str], back: int, fwd: int,
     spread = df.withColumn(_OWN, own)
     spread = spread.withColumn(_GRP, F.explode(F.array_compact(F.array(*targets))) if len(targets) > 1 else own)
     w = Window.partitionBy(*keys, _GRP).orderBy(pos_col)
-    cols = build(w)
+    spec = "PARTITION BY " + ", ".join(f"`{c}`" for c in [*keys, _GRP]) + f" ORDER BY `{pos_col}`"
+    # columns may be Columns over ``w`` or SQL text with ``{w}`` standing
+    # for the window specification (one parse instead of a call per node)
+    cols = [F.expr(c.replace("{w}", spec)) if isinstance(c, str) else c for c in build(w)]
     out = spread.select(*keep, *cols, F.col(_OWN), F.col(_GRP))
     return out.where(F.col(_OWN) == F.col(_GRP)).drop(_OWN, _GRP)
 
