@@ -27,6 +27,16 @@ def test_positions_are_dense_and_ordered(spark):
         assert [p for _, p in got] == list(range(200))
 
 
+def test_positions_dense_across_super_blocks(spark, monkeypatch):
+    import trueline.operators.ordered as od
+    monkeypatch.setattr(od, "SUPER_BLOCK", 3)
+    df, rows = make(spark, 120, keys=2, seed=4)
+    out = od.dense_positions(df, "timestamp", ["k"], time_block_us=3_600_000_000 * 5).collect()
+    for key in ("k0", "k1"):
+        got = sorted((r.timestamp, r["__pos"]) for r in out if r.k == key)
+        assert [p for _, p in got] == list(range(120))
+
+
 def test_halo_window_equals_plain_window(spark):
     for seed, (n, block, lag, lead, win) in enumerate([(57, 10, 3, 2, 4), (200, 16, 6, 6, 6), (31, 64, 1, 0, 2),
                                                         (150, 11, 2, 5, 3)]):

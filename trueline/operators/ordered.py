@@ -52,13 +52,32 @@ def dense_positions(df: DataFrame, ts: str, keys: Sequence[str] = (),
     # numbers, so Spark reuses it and the input is computed once
     with_blk = df.withColumn(_BLK, blk).repartition(*keys, _BLK)
     sizes = with_blk.groupBy(*keys, _BLK).agg(F.count(F.lit(1)).alias("__n"))
-    start = Window.partitionBy(*keys).orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, _BLK, F.coalesce(F.sum("__n").over(start), F.lit(0)).alias("__off"))
+    offsets = _block_offsets(sizes, keys)
     inner = Window.partitionBy(*keys, _BLK).orderBy(ts)
     joined = with_blk.join(offsets, on=[*keys, _BLK], how="inner")
     return joined.withColumn(pos_col, F.col("__off") + F.row_number().over(inner) - 1).drop(_BLK, "__off")
 
 
+SUPER_BLOCK = 1024
+
+
+def _block_offsets(sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """First position of every block: running sums in two levels.
+
+    Blocks are grouped by ⌊block / 1024⌋; running sums inside a group run
+    partitioned by (keys, group), and only the table of group totals (1024×
+    smaller than the block table) is ordered per key as a whole.
+    """
+    grouped = sizes.withColumn("__sb", F.floor(F.col(_BLK) / F.lit(SUPER_BLOCK)).cast("bigint"))
+    inner = Window.partitionBy(*keys, "__sb").orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
+    within = grouped.withColumn("__in", F.coalesce(F.sum("__n").over(inner), F.lit(0)))
+    totals = grouped.groupBy(*keys, "__sb").agg(F.sum("__n").alias("__tot"))
+    outer = Window.partitionBy(*keys).orderBy("__sb").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*keys, "__sb", F.coalesce(F.sum("__tot").over(outer), F.lit(0)).alias("__sbo"))
+    return within.join(starts, on=[*keys, "__sb"]).select(
+        *keys, _BLK, (F.col("__sbo") + F.col("__in")).alias("__off"))
+
+
 def halo_select(df: DataFrame, keys: Sequence[str], back: int, fwd: int,
                 build: Callable[[Window], list[Column]], pos_col: str = POS,
                 block_rows: int = DEFAULT_BLOCK_ROWS, keep: Sequence[str] | None = None) -> DataFrame:
