@@ -32,7 +32,7 @@ from ..operators.validate import (coerce_timestamp, dedupe_timestamps, drop_bad_
 from ..session import checkpoint_dir
 from ..sources import fixtures as fx
 from ..sources.readers import load_and_validate_dataset, scan_csv, scan_frame
-from ..sources.sinks import load_model, save_model, write_csv
+from ..sources.sinks import load_model, save_model, write_csv, write_parquet
 from ..ml.evaluate import regression_metrics
 from .calibration import (alignment_metadata_frame, build_calibrated_dataset, create_leaderboard,
                           preview, prediction_chart_data, run_calibration_pipeline, select_best)
@@ -217,6 +217,18 @@ def q_preprocess_params(spark, d):
     return rounded(art.table())
 
 
+def q_preprocess_keyed(spark, d):
+    out, _ = pp.preprocess_dataset(sen_keyed_valid(spark, d), TS, merged_config()["preprocessing"],
+                                   keys=["event_type"])
+    return rounded(out)
+
+
+def q_sink_parquet(spark, d):
+    path = _scratch(spark, "aligned-parquet")
+    write_parquet(aligned_full(spark, d), path)
+    return rounded(spark.read.parquet(path))
+
+
 def q_dropna_any(spark, d):
     return rounded(dirty_valid(spark, d).dropna(how="any"))
 
@@ -480,6 +492,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_csv": q_scan_csv,
     "sink_csv": q_sink_csv,
     "sink_model": q_sink_model,
+    "sink_parquet": q_sink_parquet,
     # validation
     "coerce_timestamp": q_coerce_timestamp,
     "drop_bad_timestamp": q_drop_bad_timestamp,
@@ -503,6 +516,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "preprocess_sensor": q_preprocess_sensor,
     "preprocess_params": q_preprocess_params,
     "dropna_any": q_dropna_any,
+    "preprocess_keyed": q_preprocess_keyed,
     # resampling
     "resample_mean": _resample(ref_valid, "1h", "mean"),
     "resample_median": _resample(dirty_valid, "1h", "median"),
@@ -527,6 +541,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "resample_sum_wide": _resample(lineitem_daily, "D", "sum", digits=4),
     "resample_keyed": _resample(ref_keyed_valid, "1h", "mean", ["event_type"]),
     "resample_keyed_7h": _resample(ref_keyed_valid, "7h", "mean", ["event_type"]),
+    "resample_keyed_count": _resample(sen_keyed_valid, "15min", "count", ["event_type"]),
     # alignment
     "pearson": q_pearson,
     "lag_join": q_lag_join,

@@ -257,21 +257,31 @@ def window_features(cols, lags=(), windows=(), part: str = "") -> list[tuple[str
 
 
 # ------------------------------------------------------------ preprocessing
-def preprocess(q: Sql, src: str, passthrough, cols, name: str) -> str:
-    """median impute → IQR(1.5) → standard scale over ``cols``."""
+def preprocess(q: Sql, src: str, passthrough, cols, name: str, keys=()) -> str:
+    """median impute → IQR(1.5) → standard scale over ``cols`` (per key)."""
+    k = list(keys)
+    kc = "".join(f"{x}, " for x in k)
+    gb = f" GROUP BY {', '.join(k)}" if k else ""
+
+    def with_params(left, right):
+        return f"{left} JOIN {right} USING ({', '.join(k)})" if k else f"{left}, {right}"
+
     fills = ", ".join(f"quantile_cont({c}, 0.5) AS f_{c}" for c in cols)
-    fp = q.add(f"{name}_fp", f"SELECT {fills} FROM {src}")
+    fp = q.add(f"{name}_fp", f"SELECT {kc}{fills} FROM {src}{gb}")
     imp = q.add(f"{name}_imp", f"SELECT {', '.join(passthrough)}, "
                                + ", ".join(f"COALESCE(CAST({c} AS DOUBLE), f_{c}) AS {c}" for c in cols)
-                               + f" FROM {src}, {fp}")
+                               + f" FROM {with_params(src, fp)}")
     qs = ", ".join(f"quantile_cont({c}, 0.25) AS q1_{c}, quantile_cont({c}, 0.75) AS q3_{c}" for c in cols)
-    qq = q.add(f"{name}_q", f"SELECT {qs} FROM {imp}")
+    qq = q.add(f"{name}_q", f"SELECT {kc}{qs} FROM {imp}{gb}")
     conds = " AND ".join(f"({c} IS NULL OR {c} BETWEEN q1_{c} - 1.5 * (q3_{c} - q1_{c}) AND q3_{c} + 1.5 * (q3_{c} - q1_{c}))"
                          for c in cols)
-    flt = q.add(f"{name}_flt", f"SELECT {', '.join(passthrough)}, {', '.join(cols)} FROM {imp}, {qq} WHERE {conds}")
+    flt = q.add(f"{name}_flt", f"SELECT {', '.join(passthrough)}, {', '.join(cols)} FROM {with_params(imp, qq)} WHERE {conds}")
     ss = ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS s_{c}"
                    for c in cols)
-    sc = q.add(f"{name}_sc", f"SELECT {ss} FROM {flt}")
+    sc = q.add(f"{name}_sc", f"SELECT {kc}{ss} FROM {flt}{gb}")
+    if k:
+        return q.add(name, f"SELECT {', '.join(passthrough)}, " + ", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in cols)
+                     + f" FROM {with_params(flt, sc)}")
     q.add(f"{name}_params", " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", f_{c} AS fill, m_{c} AS center, s_{c} AS scale FROM {fp}, {sc}" for c in cols))
     return q.add(name, f"SELECT {', '.join(passthrough)}, " + ", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in cols)
@@ -437,6 +447,12 @@ def s_preprocess_params():
     return q.final(f"SELECT \"column\", {r6('fill', 'fill')}, {r6('center', 'center')}, {r6('scale', 'scale')} FROM pre_params")
 
 
+def s_preprocess_keyed():
+    q = Sql("sen_keyed")
+    pre = preprocess(q, "sen_keyed", ["event_type", "timestamp"], ["pm25_raw", "humidity"], "pre", ["event_type"])
+    return q.final(f"SELECT event_type, timestamp, {_sel(_round_cols(['pm25_raw', 'humidity']))} FROM {pre}")
+
+
 def s_dropna():
     return Sql("dirty_valid").final(
         f"SELECT timestamp, {_sel(_round_cols(DIRTY_COLS))} FROM dirty_valid WHERE {all_not_null(DIRTY_COLS)}")
@@ -720,6 +736,10 @@ def build() -> dict[str, str]:
         "preprocess_sensor": s_preprocess_sensor(),
         "preprocess_params": s_preprocess_params(),
         "dropna_any": s_dropna(),
+        "preprocess_keyed": s_preprocess_keyed(),
+        "resample_keyed_count": s_resample("sen_keyed", ["pm25_raw", "humidity"], ("fixed", M15_US, False), "count",
+                                           ["event_type"]),
+        "sink_parquet": s_aligned(),
         "resample_mean": s_resample("ref_clean", REF_COLS, HOURLY, "mean"),
         "resample_median": hourly_dirty("median"),
         "resample_min": hourly_dirty("min"),
