@@ -11,7 +11,8 @@ def test_features_match_pandas(spark):
     n = 40
     ts = [dt.datetime(2024, 1, 5) + dt.timedelta(hours=i) for i in range(n)]
     pdf = pd.DataFrame({"timestamp": ts, "y": rng.normal(size=n), "a": rng.normal(size=n), "b": rng.integers(0, 5, n) * 1.0})
-    df = spark.createDataFrame(pdf)
+    rows = [(t.to_pydatetime(), float(y), float(a), float(b)) for t, y, a, b in pdf.itertuples(index=False)]
+    df = spark.createDataFrame(rows, "timestamp timestamp_ntz, y double, a double, b double")
     cfg = {"lag_steps": [1, 3], "rolling_windows": [2, 4]}
     got = engineer_features(df, "timestamp", "y", cfg, block_rows=10).toPandas().sort_values("timestamp")
     exp = pdf.copy()

@@ -3,6 +3,8 @@ import datetime as dt
 import pandas as pd
 import pytest
 
+from conftest import TEST_TZ
+
 from trueline.operators.resample import resample_timeseries
 
 
@@ -83,7 +85,7 @@ def test_dst_gap_bucket_under_new_york_zone(spark):
         out = resample_timeseries(series(spark, [(T(2024, 3, 10, 2, 30), 1.0)]), "timestamp", "1h").collect()
         assert out[0].timestamp == T(2024, 3, 10, 2)
     finally:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        spark.conf.set("spark.sql.session.timeZone", TEST_TZ)
 
 
 def test_keyed_resample(spark):

@@ -1,6 +1,8 @@
 import datetime as dt
 
 import pytest
+
+from conftest import TEST_TZ
 from pyspark.sql import functions as F
 
 from trueline.operators.validate import check_series, dedupe_timestamps, validate_series
@@ -57,7 +59,7 @@ def test_dst_gap_timestamp_survives_non_utc_zone(spark):
         out = validate_series(df).collect()
         assert out[0].timestamp == dt.datetime(2024, 3, 10, 2, 30)
     finally:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        spark.conf.set("spark.sql.session.timeZone", TEST_TZ)
 
 
 def test_csv_roundtrip_keeps_microseconds(spark, tmp_path):
