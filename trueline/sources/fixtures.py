@@ -5,6 +5,10 @@ expect (reference: timestamp + target + one other numeric column; sensor:
 timestamp + numeric features).  They do none of the jobs' work: every
 operator downstream runs on them as it would on any input of that schema.
 The SQL text of each builder is also what the DuckDB oracle uses.
+
+In the dirty sensor stand-in the ``event_id`` modulo conditions inject
+defects (unparseable timestamps, NULLs, spikes) and a UNION adds duplicate
+timestamps; every ``events`` row is kept, none is filtered out.
 """
 
 from __future__ import annotations
