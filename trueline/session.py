@@ -66,12 +66,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     while it is written: an eager checkpoint of an unpersisted frame
     computes it twice (once to count, once to write).
     """
+    return cut_lineage_counted(df)[0]
+
+
+def cut_lineage_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """:func:`cut_lineage` that also returns the row count (taken while the
+    frame is cached, so it costs no extra pass)."""
     from pyspark import StorageLevel
     checkpoint_dir(df.sparkSession)
     cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = cached.count()
     out = cached.checkpoint(eager=True)
     cached.unpersist()
-    return out
+    return out, rows
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
