@@ -95,7 +95,10 @@ def train_models(df: DataFrame, target: str, ts: str, config: dict, random_state
                  checkpoint: bool = True) -> list[TrainingResult]:
     """For each selected model fit on the hold-out training rows, score
     the hold-out rows, and pool out-of-fold predictions over k folds.
-    Metrics for all models come from one grouped aggregation.
+    Linear models (``linear_solver: "moments"``, the default) are fitted for
+    all splits from one moment pass and scored by one more pass; the other
+    models are fitted in a driver thread pool and their metrics come from
+    one grouped aggregation over their stacked predictions.
 
     The training table (features, label, split and fold columns) is written
     once as a reliable checkpoint: every fit then starts from a one-node
