@@ -93,3 +93,21 @@ def test_keyed_resample(spark):
                                 ("b", T(2024, 1, 1, 0, 3), 10.0)], "k string, timestamp timestamp_ntz, v double")
     out = {(r.k, r.v) for r in resample_timeseries(df, "timestamp", "1h", "mean", ["k"]).collect()}
     assert out == {("a", 2.0), ("b", 10.0)}
+
+
+def test_median_resample_by_selection_matches_pandas(spark, monkeypatch):
+    import numpy as np
+    import trueline.operators.quantiles as qmod
+    monkeypatch.setattr(qmod, "FINAL_ROWS", 3)      # force histogram passes inside every bucket
+    monkeypatch.setattr(qmod, "BUCKETS", 4)
+    rng = np.random.default_rng(2)
+    rows = [(T(2024, 1, 1) + dt.timedelta(minutes=int(m)), float(v), None if i % 7 == 0 else float(i % 5))
+            for i, (m, v) in enumerate(zip(rng.integers(0, 300, 200), rng.normal(size=200)))]
+    df = spark.createDataFrame(rows, "timestamp timestamp_ntz, a double, b double")
+    df = df.dropDuplicates(["timestamp"])
+    got = {r.timestamp: (r.a, r.b) for r in resample_timeseries(df, "timestamp", "1h", "median").collect()}
+    pdf = df.toPandas().set_index("timestamp").resample("1h").agg("median").dropna(how="all")
+    assert len(got) == len(pdf)
+    for t, row in pdf.iterrows():
+        a, b = got[t.to_pydatetime()]
+        assert abs(a - row["a"]) < 1e-12 and (b is None if pd.isna(row["b"]) else abs(b - row["b"]) < 1e-12)

@@ -47,12 +47,15 @@ def long_values(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ())
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: Sequence[str] = (),
-                    final_rows: int = FINAL_ROWS, buckets: int = BUCKETS, row_bound: int | None = None) -> DataFrame:
+                    final_rows: int | None = None, buckets: int | None = None,
+                    row_bound: int | None = None) -> DataFrame:
     """``(keys…, column, values)`` where ``values[i]`` is the probs[i]
     quantile of the column's non-null values in that key (NULL if none).
 
     ``row_bound``, an upper bound on the rows of ``df`` (e.g. the count made
     by validation), lets small inputs skip the group-size pass."""
+    final_rows = FINAL_ROWS if final_rows is None else int(final_rows)
+    buckets = BUCKETS if buckets is None else int(buckets)
     keys = list(keys)
     group = [*keys, "column"]
     probs_col = F.array(*[F.lit(float(q)) for q in probs])

@@ -87,8 +87,11 @@ def resample_timeseries(df: DataFrame, ts: str = "timestamp", rule: str = "1h",
     else:
         src, bucket = df, _period_start(F.col(ts), r.kind)
     tsc = F.col(ts)
-    grouped = src.withColumn(_B, bucket).groupBy(*keys, _B).agg(
-        *[agg.build(F.col(c), tsc).alias(c) for c in values])
+    if aggregation_name == "median" and values:
+        grouped = _bucket_medians(src.withColumn(_B, bucket), keys, values)
+    else:
+        grouped = src.withColumn(_B, bucket).groupBy(*keys, _B).agg(
+            *[agg.build(F.col(c), tsc).alias(c) for c in values])
     if agg.empty is None:
         out = grouped.dropna(how="all", subset=values) if values else grouped
     else:
@@ -97,6 +100,17 @@ def resample_timeseries(df: DataFrame, ts: str = "timestamp", rule: str = "1h",
     return out.select(*keys, label.alias(ts), *values)
 
 
+def _bucket_medians(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Exact per-bucket medians without a per-bucket buffer of all values
+    (:mod:`trueline.operators.quantiles`; Spark's ``percentile`` when every
+    bucket is small).  Buckets whose values are all NULL get no row, as the
+    all-NULL drop would remove them anyway."""
+    from .quantiles import exact_quantiles
+    long = exact_quantiles(df, values, [0.5], [*keys, _B])
+    return long.groupBy(*keys, _B).agg(*[
+        F.first(F.when(F.col("column") == c, F.col("values")[0]), ignorenulls=True).alias(c) for c in values])
+
+
 def _with_spine(grouped: DataFrame, keys: list[str], values: list[str], r: Rule, empty) -> DataFrame:
     """Every bucket between the first and last one per key; empty → ``empty``."""
     span = grouped.groupBy(*keys).agg(F.min(_B).alias("__lo"), F.max(_B).alias("__hi"))
