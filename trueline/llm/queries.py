@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trueline.llm import decontam, langid, line_dedup, packing, simhash
+from trueline.llm import decontam, knn, langid, line_dedup, packing, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,18 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, carry=("doc_id", "held_out"))
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best inner products of every vector whose id is divisible by 20."""
+    return knn.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards whose row counts differ by one at most."""
+    return sharding.interleave(_table(spark, sf_dir, "documents"), shards=16, seed=42).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item of whose five-word shingles it holds
     at least 0.8."""
@@ -57,6 +69,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op6_language_id": op6_language_id,
+    "op7_exact_top_k": op7_exact_top_k,
+    "op8_sharding": op8_sharding,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
