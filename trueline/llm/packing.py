@@ -28,9 +28,12 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +44,10 @@ CAPACITY = 2048
 #: of a length's demand that one round may move; the share of a fractional
 #: pattern count that rounding keeps (best fit packs the rest).
 ROUNDS, RATE, STEP, KEEP = 40, 0.5, 0.25, 0.9
-#: Words of one worker's token cache; it is emptied when full.
-CACHE_WORDS = 500_000
+#: Words in each of the two generations of a worker's token cache.
+CACHE_WORDS = 250_000
+#: Characters of text that are split into words at once.
+CHUNK_CHARS = 1_000_000
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -63,6 +68,7 @@ class TokenBytes:
         self.tok = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes()
@@ -78,11 +84,13 @@ class TokenBytes:
         for w in words:
             if w:
                 need.update(w[1:])
-        if len(self.cache) + len(need) > CACHE_WORDS:
-            self.cache = {}
-        need.difference_update(self.cache)
-        missing = list(need)
+        if len(self.cache) > CACHE_WORDS:
+            self.cache, self.old = {}, self.cache
         cache = self.cache
+        need.difference_update(cache)
+        known = need & self.old.keys()
+        cache.update(zip(known, map(self.old.__getitem__, known)))
+        missing = list(need - known)
         for lo in range(0, len(missing), 20_000):
             part = missing[lo:lo + 20_000]
             cache.update(zip(part, self._encode([" " + m for m in part])))
@@ -92,6 +100,23 @@ class TokenBytes:
                 for h, w in zip(heads, words)]
 
 
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> TokenBytes:
+    """The worker process's coder; its cache outlives a task."""
+    return TokenBytes(path)
+
+
+def chunks(column: pa.Array, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts): runs of rows of about ``limit`` bytes, one row at least."""
+    total = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(column):
+        before = total[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(total, before + limit, side="right")))
+        yield lo, column.slice(lo, hi - lo).to_pylist()
+        lo = hi
+
+
 def cut_pieces(n_tokens: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of ``n_tokens``: whole if
     it fits, else full pieces with the shorter one first."""
@@ -108,13 +133,12 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     tail = np.array([separator], dtype="<u4").tobytes()
 
     def run(batches):
-        coder = TokenBytes(tokenizer_path)
+        coder = token_bytes(tokenizer_path)
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            texts = batch.column(1).to_pylist()
             out: list[list] = [[], [], [], [], []]
-            for lo in range(0, len(texts), 512):
-                for doc, raw in zip(ids[lo:lo + 512], coder.batch(texts[lo:lo + 512])):
+            for lo, texts in chunks(batch.column(1)):
+                for doc, raw in zip(ids[lo:lo + len(texts)], coder.batch(texts)):
                     raw += tail
                     for k, (s, n) in enumerate(cut_pieces(len(raw) // 4, capacity)):
                         for col, v in zip(out, (doc, k, s, n, zlib.crc32(raw[4 * s:4 * (s + n)]))):
