@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trueline.llm import decontam, html_extract, knn, langid, line_dedup, packing, sharding, simhash
+from trueline.llm import decontam, html_extract, knn, langid, line_dedup, packing, pii, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,17 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document; counts and digest of the base spans,
+    list of all spans."""
+    found = pii.per_document(pii.find_spans(_table(spark, sf_dir, "documents")))
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long")
+    return found.select("doc_id", *[count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)],
+                        F.sha2(pii.listing(base), 256).alias("base_sha256"),
+                        pii.listing(F.col("spans")).alias("spans"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those not held out."""
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
@@ -73,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_pii": op5_pii,
     "op6_language_id": op6_language_id,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_sharding": op8_sharding,
