@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trueline.llm import decontam, html_extract, knn, langid, line_dedup, packing, pii, sharding, simhash
+from trueline.llm import decontam, html_extract, knn, langid, license_scan, line_dedup, packing, pii, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,25 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def file_tree(docs: DataFrame) -> DataFrame:
+    """Stand-in for a table of source files (doc_id, path, text): documents
+    get a path from source and id; every 40th is named LICENSE and stands in a
+    directory one to four levels deep.  Texts are used as they are."""
+    level = lambda n: F.concat(F.lit("d"), F.floor(F.col("doc_id") / n).cast("string"))
+    steps = F.array(F.col("source"), level(10_000), level(1_000), level(100))
+    is_licence = F.col("doc_id") % 40 == 0
+    depth = F.when(is_licence, 1 + F.floor(F.col("doc_id") / 40) % 4).otherwise(4).cast("int")
+    name = F.when(is_licence, F.lit("LICENSE")).otherwise(F.concat(F.lit("f"), F.col("doc_id").cast("string")))
+    return docs.select("doc_id", F.concat_ws("/", F.slice(steps, F.lit(1), depth), name).alias("path"), "text")
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document as a file: its own or its nearest licensed
+    ancestor directory's."""
+    files = file_tree(_table(spark, sf_dir, "documents"))
+    return license_scan.scan(files, carry=("doc_id",))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
@@ -81,6 +100,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
