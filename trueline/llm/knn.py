@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from trueline.llm.common import stage
 
+#: Pivots (about; chosen by hash of the id).
 MAX_PIVOTS = 512
 DATA_TILE, QUERY_TILE = 8192, 2048
 EXACT = 2.0 ** 53
@@ -161,8 +162,9 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0) -
     empty = "query_id long, rank int, vec_id long, score long"
     if not n:
         return rows.sparkSession.createDataFrame([], empty)
-    some = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(MAX_PIVOTS, 1 + math.isqrt(n))).toArrow()
-    pivots = np.unique(matrix(some.column("v").combine_chunks(), width), axis=0)
+    step = -(-n // min(MAX_PIVOTS, 1 + math.isqrt(n)))
+    some = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(step)) == 0).select("v").collect()
+    pivots = np.unique(np.array([r["v"] + [0.0] * (width - len(r["v"])) for r in some] or [[0.0] * width]), axis=0)
     cells = stage(assign(vectors, pivots, is_query), "cells")
     count, radius, q_count, q_radius = (np.zeros(len(pivots)) for _ in range(4))
     q_radius -= 1

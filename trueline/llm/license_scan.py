@@ -171,8 +171,8 @@ class Matcher:
         for w, c in tf.items():
             for t, weight in self.postings[w]:
                 dots[t] += c * self.idf[w] * weight
-        top = max(range(len(dots)), key=lambda t: (dots[t], -t))
-        score = dots[top] / math.sqrt(length)
+        top = max(range(len(dots)), key=lambda t: (round(dots[t], 9), -t))
+        score = round(dots[top] / math.sqrt(length), 9)
         return (score, self.names[top]) if score >= self.threshold else None
 
     def scan(self, text: str) -> tuple[float, str] | None:

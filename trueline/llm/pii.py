@@ -76,8 +76,7 @@ def _fenced(kind: str, pattern: str, second: int) -> Column:
         return F.struct(
             F.lit(KINDS.index(kind)).alias("kind"), F.lit(second).alias("second"), i.alias("i"),
             F.char_length(p).alias("n"), F.when(odd, p).alias("match"),
-            F.when(odd, F.right(F.get(pieces, i - 1), F.lit(CONTEXT))).alias("before"),
-            F.when(odd, F.left(F.get(pieces, i + 1), F.lit(1))).alias("after"))
+            F.when(~odd, F.right(p, F.lit(CONTEXT))).alias("tail"), F.when(~odd, F.left(p, F.lit(1))).alias("head"))
 
     return F.when(F.size(pieces) > 1, F.transform(pieces, piece))
 
@@ -88,14 +87,14 @@ def candidates(docs: DataFrame) -> DataFrame:
     text = F.translate(F.coalesce("text", F.lit("")), FENCE, "\u0004")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("t"))
     found = [_fenced(k, BASE[k], 0) for k in KINDS] + [_fenced(k, MORE[k], 1) for k in KINDS]
-    kind = "array<struct<kind:int,second:int,i:int,n:int,match:string,before:string,after:string>>"
+    kind = "array<struct<kind:int,second:int,i:int,n:int,match:string,tail:string,head:string>>"
     none = F.expr("array(named_struct('kind', cast(null as int), 'second', 0, 'i', 1, 'n', 0, 'match', '',"
-                  " 'before', '', 'after', ''))").cast(kind)
+                  " 'tail', '', 'head', ''))").cast(kind)
     parts = F.flatten(F.filter(F.array(none, *[f.cast(kind) for f in found]), lambda x: x.isNotNull()))
     w = Window.partitionBy("row", "kind", "second").orderBy("i")
     return (rows.select("row", "doc_id", F.inline(parts))
-            .withColumn("end", F.sum("n").over(w)).withColumn("start", F.col("end") - F.col("n"))
-            .where("i % 2 = 1").drop("i", "n"))
+            .withColumns({"end": F.sum("n").over(w), "before": F.lag("tail").over(w), "after": F.lead("head").over(w)})
+            .withColumn("start", F.col("end") - F.col("n")).where("i % 2 = 1").drop("i", "n", "tail", "head"))
 
 
 def _digits(m: str = "match") -> Column:
@@ -256,8 +255,8 @@ def find_spans(docs: DataFrame) -> DataFrame:
     for t in trees:
         score = score + RATE * t.column()
     reached = F.lit(False)
-    for kind, limit in limits.items():
-        reached = reached | ((F.col("kind") == kind) & (F.col("score") >= limit))
+    for kind, limit in limits.items():  # the column adds up in another order: allow for rounding
+        reached = reached | ((F.col("kind") == kind) & (F.col("score") >= limit - 1e-6))
     # Added spans of a kind come from one generator, so they do not overlap.
     spans = (marked.withColumn("score", score)
              .where(F.col("ok") | ((F.col("second") == 1) & ~F.col("taken") & ~F.col("crossed") & reached))
