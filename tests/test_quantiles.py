@@ -15,7 +15,7 @@ def test_selection_matches_pandas_on_large_groups(spark):
     df = spark.createDataFrame(pdf)
     probs = [0.25, 0.5, 0.75, 0.999]
     # final_rows far below the group sizes forces histogram passes
-    got = exact_quantiles(df, ["x", "y"], probs, ["k"], final_rows=40, buckets=8).collect()
+    got = exact_quantiles(df, ["x", "y"], probs, ["k"], final_rows=40).collect()
     for r in got:
         expect = pdf[pdf.k == r.k][r.column].dropna().quantile(probs).to_numpy()
         assert np.allclose(r["values"], expect, rtol=0, atol=1e-12), (r.k, r.column)
@@ -24,5 +24,5 @@ def test_selection_matches_pandas_on_large_groups(spark):
 def test_small_groups_use_percentile_and_agree(spark):
     df = spark.createDataFrame([(float(v),) for v in [1, 2, 4, 8]], "x double")
     a = exact_quantiles(df, ["x"], [0.25, 0.5]).collect()[0]["values"]
-    b = exact_quantiles(df, ["x"], [0.25, 0.5], final_rows=1, buckets=2).collect()[0]["values"]
+    b = exact_quantiles(df, ["x"], [0.25, 0.5], final_rows=1).collect()[0]["values"]
     assert a == b == [1.75, 3.0]

@@ -99,7 +99,7 @@ def test_median_resample_by_selection_matches_pandas(spark, monkeypatch):
     import numpy as np
     import trueline.operators.quantiles as qmod
     monkeypatch.setattr(qmod, "FINAL_ROWS", 3)      # force histogram passes inside every bucket
-    monkeypatch.setattr(qmod, "BUCKETS", 4)
+    monkeypatch.setattr(qmod, "EDGES", 3)
     rng = np.random.default_rng(2)
     rows = [(T(2024, 1, 1) + dt.timedelta(minutes=int(m)), float(v), None if i % 7 == 0 else float(i % 5))
             for i, (m, v) in enumerate(zip(rng.integers(0, 300, 200), rng.normal(size=200)))]

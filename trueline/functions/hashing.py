@@ -28,11 +28,6 @@ def hash_uint32(ts, keys=(), salt: str = "") -> Column:
     return F.conv(F.substring(F.md5(hash_input(ts, keys, salt)), 1, 8), 16, 10).cast("bigint")
 
 
-def unit_draw(ts, keys=(), salt: str = "") -> Column:
-    """Uniform draw in [0, 1)."""
-    return hash_uint32(ts, keys, salt) / F.lit(float(2 ** 32))
-
-
 def split_salt(seed: int) -> str:
     return f"split:{int(seed)}"
 

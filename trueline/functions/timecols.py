@@ -31,11 +31,17 @@ def from_epoch_us(col) -> Column:
     return F.timestamp_add("MICROSECOND", _c(col), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
-def to_ntz(col, dtype) -> Column:
+# a time of day followed by a zone offset
+_OFFSET = r":\d{2}(\.\d+)?\s*([Zz]|[+-]\d{2}(:?\d{2})?)$"
+
+
+def to_ntz(col, dtype, fmt: str | None = None) -> Column:
     """Cast a date / timestamp / string column to ``timestamp_ntz``.
 
     Strings use ``try_cast`` so that unparseable values become NULL under ANSI
-    mode instead of failing the job.
+    mode instead of failing the job.  A string that ends in an offset is an
+    instant: it becomes its UTC wall time, whatever the session zone.  With
+    ``fmt`` (a Spark datetime pattern) strings are read by that pattern only.
     """
     c = _c(col)
     name = dtype.simpleString()
@@ -44,7 +50,15 @@ def to_ntz(col, dtype) -> Column:
     if name in ("date", "timestamp"):
         return c.cast("timestamp_ntz")
     if name == "string":
-        return c.try_cast("timestamp_ntz")
+        if fmt is not None:
+            zoned = any(x in fmt.split("'")[::2][0] for x in "XxZOV")
+            text, pattern = (c, fmt) if zoned else (F.concat(c, F.lit("Z")), f"{fmt}X")
+            return from_epoch_us(F.unix_micros(F.try_to_timestamp(text, F.lit(pattern))))
+        t = F.trim(c)
+        # "+0530" and "+05" as "+05:30" and "+05:00", which the cast reads
+        colon = F.regexp_replace(F.regexp_replace(t, r"([+-]\d{2})(\d{2})$", "$1:$2"), r"([+-]\d{2})$", "$1:00")
+        return F.when(t.rlike(_OFFSET), from_epoch_us(F.unix_micros(colon.try_cast("timestamp")))) \
+            .otherwise(c.try_cast("timestamp_ntz"))
     raise TypeError(f"cannot read a timestamp from a {name} column; give ISO strings, dates or timestamps")
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 METRICS = ("rmse", "mae", "r2", "mape")
+# Leaderboard columns.
+BOARD = ("model", *METRICS, "cv_rmse", "cv_mae")
 
 
 def metric_columns(y="actual", p="predicted", prefix: str = "") -> list[Column]:
@@ -39,21 +41,20 @@ def cv_metric_columns(y="actual", p="predicted", prefix: str = "") -> list[Colum
     return [F.sqrt(F.avg(err * err)).alias(prefix + "cv_rmse"), F.avg(F.abs(err)).alias(prefix + "cv_mae")]
 
 
-def leaderboard_from(holdout: DataFrame, oof: DataFrame | None, config: dict) -> DataFrame:
-    """O2 from stacked predictions ``(model, actual, predicted)``: one grouped
-    aggregation per kind, sorted by the configured metric (unknown → rmse;
-    the direction is kept), model name breaks ties."""
-    board = holdout.groupBy("model").agg(*metric_columns())
-    if oof is not None:
-        board = board.join(oof.groupBy("model").agg(*cv_metric_columns()), on="model", how="left")
+def ranked(results: Sequence, config: dict) -> list:
+    """Training results by the configured metric of their metric dicts
+    (unknown → rmse, the direction is kept); missing metrics last, then by
+    model name."""
     sort_by = str(config.get("sort_by", "rmse"))
     ascending = bool(config.get("ascending", True))
-    if sort_by not in board.columns or sort_by == "model":
+    if not results:
+        raise ValueError("there is no training result to rank")
+    if sort_by not in BOARD[1:] or sort_by not in results[0].metrics:
         sort_by = "rmse"
-    key = F.col(sort_by).asc_nulls_last() if ascending else F.col(sort_by).desc_nulls_last()
-    return board.orderBy(key, F.col("model"))
 
+    def key(r):
+        v = r.metrics.get(sort_by)
+        missing = v is None or v != v
+        return missing, (v if ascending else -v) if not missing else 0.0, r.model_name
 
-def best_model_row(board: DataFrame) -> DataFrame:
-    """O3: the top row of a sorted leaderboard."""
-    return board.limit(1)
+    return sorted(results, key=key)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Sequence
@@ -12,12 +13,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import fold_salt, hash_uint32, split_salt, unit_draw
+from ..functions.hashing import fold_salt, hash_uint32, split_salt
 from ..operators.preprocess import numeric_columns
 from ..session import cut_lineage
 from .evaluate import cv_metric_columns, metric_columns
 from .extra_trees import ExtraTreesRegressor
-from .linear import as_pipeline_model, cell_moments, combine, prediction_sql, solve
+from .linear import MAX_FEATURES, as_pipeline_model, cell_moments, combine, prediction_sql, solve
 from .registry import ModelSpec, TrainStats, get_selected_models
 
 IS_TEST = "__is_test"
@@ -39,11 +40,35 @@ def feature_columns(df: DataFrame, target: str, ts: str, keys: Sequence[str] = (
     return numeric_columns(df, exclude=[target, ts, *keys])
 
 
+def smallest_draw(draws: DataFrame, k: int) -> int:
+    """The k-th smallest of the 32-bit integers in column ``d``: two counting
+    passes, over the upper and the lower 16 bits, of at most 65536 rows each."""
+    def pick(counts: DataFrame, k: int) -> tuple[int, int]:
+        for r in sorted(counts.collect()):
+            if k <= r["count"]:
+                return int(r["b"]), k
+            k -= r["count"]
+        raise ValueError("fewer draws than asked for")
+
+    high = F.shiftright("d", 16)
+    h, k = pick(draws.groupBy(high.alias("b")).count(), k)
+    low, _ = pick(draws.where(high == h).groupBy(F.col("d").bitwiseAND(65535).alias("b")).count(), k)
+    return h * 65536 + low
+
+
 def add_holdout_flag(df: DataFrame, ts: str, keys: Sequence[str] = (), test_size: float = 0.2,
                      seed: int = 42) -> DataFrame:
-    """M9: ``__is_test`` from a hash of (keys, timestamp, seed); the share is
-    ``test_size`` in expectation, independent of partitioning."""
-    return df.withColumn(IS_TEST, unit_draw(ts, keys, split_salt(seed)) < F.lit(float(test_size)))
+    """M9: ``__is_test`` for the ⌈test_size · n⌉ rows with the smallest hash of
+    (keys, timestamp, seed): an exact share (equal draws stay together),
+    independent of partitioning.  At least one row stays for training; a
+    table with fewer than two rows cannot be split."""
+    draw = hash_uint32(ts, keys, split_salt(seed))
+    draws = df.select(draw.alias("d"))
+    n = draws.count()
+    if n < 2:
+        raise ValueError(f"{n} row(s) cannot be split into training and test rows")
+    k = min(max(1, math.ceil(float(test_size) * n)), n - 1)
+    return df.withColumn(IS_TEST, draw <= F.lit(smallest_draw(draws, k)))
 
 
 def add_folds(df: DataFrame, ts: str, keys: Sequence[str] = (), folds: int = 5, seed: int = 42) -> DataFrame:
@@ -118,7 +143,7 @@ def train_models(df: DataFrame, target: str, ts: str, config: dict, random_state
 
     splits = [None, *(range(k) if cross_validate else [])]
     models: dict = {}
-    solver = str(config.get("linear_solver", "moments"))
+    solver = str(config.get("linear_solver", "moments")) if len(feats) <= MAX_FEATURES else "mllib"
     linear = [s for s in specs.values() if s.linear_kind and solver == "moments"]
     rest = [s for s in specs.values() if s not in linear]
     actual = F.col(target).alias("actual")
@@ -128,14 +153,14 @@ def train_models(df: DataFrame, target: str, ts: str, config: dict, random_state
         # all linear fits of all splits from one pass (see ml.linear); their
         # predictions are column expressions, so hold-out rows, out-of-fold
         # rows and every metric come from the training table without unions
-        moments = cell_moments(data, feats, target, [FOLD, IS_TEST])
+        moments, origin = cell_moments(data, feats, target, [FOLD, IS_TEST])
         cells = list(moments)
         errors = [F.col(IS_TEST), F.col(target).alias("__y")]
         for spec in linear:
             cols = {}
             for split in splits:
                 chosen = [c for c in cells if (not c[1] if split is None else c[0] != split)]
-                w, b = solve(spec.linear_kind, spec.params, combine(moments, chosen))
+                w, b = solve(spec.linear_kind, spec.params, combine(moments, chosen), origin)
                 cols[split] = prediction_sql(feats, w, b)
                 if split is None:
                     models[(spec.name, None)] = as_pipeline_model(feats, w, b)

@@ -4,31 +4,13 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, Window
 
 from ..functions.timecols import US_PER_DAY, calendar_columns
 from .ordered import DEFAULT_BLOCK_ROWS, ordered_select
 from .preprocess import numeric_columns
 
 
-def lag_feature_columns(columns: Sequence[str], lag_steps: Sequence[int], w: Window) -> list[Column]:
-    """``<c>_lag_<k>`` = value k rows earlier."""
-    return [F.lag(F.col(c), int(k)).over(w).alias(f"{c}_lag_{k}") for c in columns for k in lag_steps]
-
-
-def rolling_feature_columns(columns: Sequence[str], windows: Sequence[int], w: Window) -> list[Column]:
-    """Trailing mean and sample std over the last n rows (min 1 row;
-    a std over one row is 0.0)."""
-    out = []
-    for c in columns:
-        for n in windows:
-            frame = w.rowsBetween(-(int(n) - 1), 0)
-            out.append(F.avg(F.col(c)).over(frame).alias(f"{c}_roll_mean_{n}"))
-            out.append(F.coalesce(F.stddev_samp(F.col(c)).over(frame), F.lit(0.0)).alias(f"{c}_roll_std_{n}"))
-    return out
-
-
 def lag_feature_sql(columns: Sequence[str], lag_steps: Sequence[int]) -> list[str]:
     """W3 as SQL text over the window ``{w}`` (one parse per column)."""
     return [f"lag(`{c}`, {int(k)}) OVER ({{w}}) AS `{c}_lag_{k}`" for c in columns for k in lag_steps]
@@ -95,4 +77,4 @@ def engineer_features(df: DataFrame, ts: str, target: str, config: dict, keys: S
         out = out.select(*df.columns, *lag_cols, *roll_cols)
     if bool(config.get("add_time_features", True)):
         out = create_time_features(out, ts)
-    return out.dropna(how="any")
+    return out.dropna(how="any", subset=[c for c in out.columns if c not in keys])

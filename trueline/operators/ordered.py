@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timecols import US_PER_DAY, epoch_us
+from .joins import KEY, with_series
 
 POS = "__pos"
 _BLK = "__tblk"
@@ -50,12 +51,14 @@ def dense_positions(df: DataFrame, ts: str, keys: Sequence[str] = (),
     blk = F.floor(epoch_us(ts) / F.lit(time_block_us)).cast("bigint")
     # one exchange by (keys, block) feeds both the block sizes and the row
     # numbers, so Spark reuses it and the input is computed once
-    with_blk = df.withColumn(_BLK, blk).repartition(*keys, _BLK)
-    sizes = with_blk.groupBy(*keys, _BLK).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = _block_offsets(sizes, keys)
-    inner = Window.partitionBy(*keys, _BLK).orderBy(ts)
-    joined = with_blk.join(offsets, on=[*keys, _BLK], how="inner")
-    return joined.withColumn(pos_col, F.col("__off") + F.row_number().over(inner) - 1).drop(_BLK, "__off")
+    # (keys compare as one struct: a NULL key is a series like any other)
+    series = [KEY] if keys else []
+    with_blk = (with_series(df, keys) if keys else df).withColumn(_BLK, blk).repartition(*series, _BLK)
+    sizes = with_blk.groupBy(*series, _BLK).agg(F.count(F.lit(1)).alias("__n"))
+    offsets = _block_offsets(sizes, series)
+    inner = Window.partitionBy(*series, _BLK).orderBy(ts)
+    joined = with_blk.join(offsets, on=[*series, _BLK], how="inner")
+    return joined.withColumn(pos_col, F.col("__off") + F.row_number().over(inner) - 1).drop(_BLK, "__off", KEY)
 
 
 SUPER_BLOCK = 1024

@@ -3,9 +3,9 @@
 Statistics are computed with one ``groupBy(keys).agg`` (partial aggregation
 runs map-side).  With no keys the result is one row; it is read on the
 driver and inlined as literals, so applying it is a plain projection with no
-join.  With keys the table has one row per key and is joined on the keys;
-AQE turns that join into a broadcast when the measured table is small and
-keeps a shuffle join otherwise.
+join.  With keys the table has one row per key; it is checkpointed, counted
+and attached by :func:`trueline.operators.joins.attach` (broadcast below a
+size bound, salted beyond it), so rows are never shuffled by key alone.
 """
 
 from __future__ import annotations
@@ -15,16 +15,21 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage_counted
+from .joins import attach
+
 
 class Params:
     def __init__(self, table: DataFrame, keys: Sequence[str] = ()):
         self.keys = list(keys)
-        self.table = table
         self._row = None
-        if not self.keys:
+        if self.keys:
+            self.table, self.rows = cut_lineage_counted(table)
+        else:
             self._row = table.first()
             if self._row is None:
                 raise ValueError("cannot fit parameters on an empty dataset")
+            self.table = table.sparkSession.createDataFrame([self._row], table.schema)
 
     def value(self, name: str):
         """Driver-side value (unkeyed parameters only)."""
@@ -43,7 +48,7 @@ class Params:
         if self._row is not None:
             return df
         small = self.table.select(*self.keys, *[F.col(n).alias(f"__p_{n}") for n in names])
-        return df.join(small, on=self.keys, how="left")
+        return attach(df, small, self.keys, rows=self.rows)
 
     def detach(self, df: DataFrame) -> DataFrame:
         return df.drop(*[c for c in df.columns if c.startswith("__p_")])

@@ -4,38 +4,38 @@ Spark's ``percentile`` keeps a value → count map per group and merges it in
 one task, which is impossible for one series of billions of readings.
 Here the order statistics are found by selection:
 
-1. one aggregation gives n, min and max per (keys, column); the quantile
-   q needs the values of rank ⌊q(n−1)⌋ and ⌈q(n−1)⌉;
+1. one aggregation over the wide rows gives n, min and max per (keys,
+   column); the quantile q needs the values of rank ⌊q(n−1)⌋ and ⌈q(n−1)⌉;
 2. while a rank's value interval holds more than ``final_rows`` rows, one
-   pass counts the rows of that interval in ``buckets`` equal-width
-   buckets (grouped aggregation, map-side combined) and the interval
-   shrinks to the [min, max] of the bucket that holds the rank.  Width
-   falls by the bucket factor each pass, so a handful of passes suffice
-   even for heavily repeated or clustered values; an interval whose min
-   equals its max is resolved at once;
+   pass takes approximate quantiles of the interval as edges and the next
+   counts rows per bucket exactly; every edge value is a bucket of its own.
+   The interval shrinks to the [min, max] of the bucket that holds the rank.
+   Edges follow the values, so a bucket between edges holds about
+   1/``EDGES`` of the interval's rows whatever their spread, and a heavily
+   repeated value becomes a resolved bucket at once;
 3. the few remaining rows of each unresolved interval are sorted inside
    one aggregate (bounded by ``final_rows``) and the rank is picked.
 
-When no group has more than ``final_rows`` values, step 2-3 are skipped
-and Spark's exact ``percentile`` runs directly (its buffer is then bounded).
+When no group has more than ``final_rows`` values, the whole group is sorted
+in one aggregate.  All ways end in the same interpolation of the two order
+statistics, so results do not depend on the way, bit for bit.
 
-Every pass is over the long (keys, column, value) table, with small
-per-rank interval tables that are checkpointed between passes.
+Interval tables have a few rows per (keys, column); they are checkpointed
+between passes and attached to the rows without shuffling them by key.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, cut_lineage_counted
+from .joins import attach, keyed_join
 
 FINAL_ROWS = 1_000_000
-BUCKETS = 1024
-MAX_PASSES = 16
+EDGES = 63
 
 
 def long_values(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -46,53 +46,83 @@ def long_values(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ())
             .where(F.col("v").isNotNull() & ~F.isnan("v")))
 
 
+def value_stats(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """(keys…, column, n, lo, hi) from one aggregation of the wide rows."""
+    aggs = []
+    for i, c in enumerate(columns):
+        v = F.col(c).cast("double")
+        v = F.when(~F.isnan(v), v)
+        aggs += [F.count(v).alias(f"__n{i}"), F.min(v).alias(f"__lo{i}"), F.max(v).alias(f"__hi{i}")]
+    wide = (df.groupBy(*keys) if keys else df.groupBy()).agg(*aggs)
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"__n{i}").alias("n"), F.col(f"__lo{i}").alias("lo"),
+                               F.col(f"__hi{i}").alias("hi")) for i, c in enumerate(columns)])
+    return wide.select(*keys, F.explode(cells).alias("s")).select(*keys, "s.*").where("n > 0")
+
+
+def interpolated(lo: Column, hi: Column, frac: Column) -> Column:
+    """The one interpolation of two neighbouring order statistics."""
+    return lo + frac * (hi - lo)
+
+
+def _sorted_quantile(vs: Column, n: Column, q: float) -> Column:
+    h = F.lit(float(q)) * (n - 1)
+    at = lambda r: F.element_at(vs, (r + 1).cast("int"))
+    return interpolated(at(F.floor(h)), at(F.ceil(h)), h - F.floor(h))
+
+
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: Sequence[str] = (),
-                    final_rows: int | None = None, buckets: int | None = None,
-                    row_bound: int | None = None) -> DataFrame:
+                    final_rows: int | None = None, row_bound: int | None = None) -> DataFrame:
     """``(keys…, column, values)`` where ``values[i]`` is the probs[i]
-    quantile of the column's non-null values in that key (NULL if none).
+    quantile of the column's non-null values in that key.
 
     ``row_bound``, an upper bound on the rows of ``df`` (e.g. the count made
     by validation), lets small inputs skip the group-size pass."""
     final_rows = FINAL_ROWS if final_rows is None else int(final_rows)
-    buckets = BUCKETS if buckets is None else int(buckets)
     keys = list(keys)
     group = [*keys, "column"]
-    probs_col = F.array(*[F.lit(float(q)) for q in probs])
+
+    def direct() -> DataFrame:
+        vs = long_values(df, columns, keys).groupBy(*group).agg(F.sort_array(F.collect_list("v")).alias("vs"))
+        return vs.select(*group, F.array(*[_sorted_quantile(F.col("vs"), F.size("vs"), q) for q in probs])
+                         .alias("values"))
+
     if row_bound is not None and row_bound <= final_rows:
-        return long_values(df, columns, keys).groupBy(*group).agg(F.percentile("v", probs_col).alias("values"))
-    values = long_values(df, columns, keys).persist(StorageLevel.MEMORY_AND_DISK)
-    stats = values.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        return direct()
+    stats = cut_lineage(value_stats(df, columns, keys))
     largest = stats.agg(F.max("n")).first()[0] or 0
     if largest <= final_rows:
-        # every group fits a bounded buffer: Spark's exact percentile in one pass
-        out = cut_lineage(values.groupBy(*group).agg(F.percentile("v", probs_col).alias("values")))
-        values.unpersist()
-        return out
+        return direct()
     ranks = []
     for i, q in enumerate(probs):
         h = F.lit(float(q)) * (F.col("n") - 1)
         ranks.append(F.struct(F.lit(i).alias("qi"), F.floor(h).cast("bigint").alias("r_lo"),
                               F.ceil(h).cast("bigint").alias("r_hi"), (h - F.floor(h)).alias("frac")))
-    wanted = stats.select(*group, "n", "lo", "hi", F.explode(F.array(*ranks)).alias("t")).select(
-        *group, "n", "lo", "hi", "t.*")
-    wanted = cut_lineage(wanted)
+    wanted = cut_lineage(stats.select(*group, "n", "lo", "hi", F.explode(F.array(*ranks)).alias("t")).select(
+        *group, "n", "lo", "hi", "t.*"))
     targets = wanted.select(*group, F.explode(F.array_distinct(F.array("r_lo", "r_hi"))).alias("rank"), "n", "lo", "hi") \
         .distinct().select(*group, "rank", F.col("lo").alias("a"), F.col("hi").alias("b"),
                            F.lit(0).cast("bigint").alias("below"), F.col("n").alias("cnt"))
     resolved = []
-    for _ in range(MAX_PASSES):
+
+    def rows_in(intervals: DataFrame, n: int) -> DataFrame:
+        """The values inside open intervals (only those columns are exploded)."""
+        return attach(long_values(df, columns, keys), intervals, keys, ["column"], "inner", n).where(
+            F.col("v").between(F.col("a"), F.col("b")))
+
+    while True:
         targets = cut_lineage(targets)
         done = targets.where(F.col("a") == F.col("b"))
         resolved.append(done.select(*group, "rank", F.col("a").alias("value")))
         open_ = targets.where(F.col("a") < F.col("b"))
-        big = open_.where(F.col("cnt") > final_rows)
-        if big.isEmpty():
+        big, n_big = cut_lineage_counted(open_.where(F.col("cnt") > final_rows))
+        if not n_big:
             break
-        inside = values.join(big, on=group).where(F.col("v").between(F.col("a"), F.col("b")))
-        width = F.col("b") - F.col("a")
-        bucket = F.least(F.floor((F.col("v") - F.col("a")) / width * buckets).cast("int"), F.lit(buckets - 1))
-        hist = inside.groupBy(*group, "rank", "below", bucket.alias("bk")).agg(
+        cuts = F.array(*[F.lit(i / (EDGES + 1)) for i in range(1, EDGES + 1)])
+        edges, n_edges = cut_lineage_counted(rows_in(big, n_big).groupBy(*group, "rank", "below", "a", "b").agg(
+            F.array_distinct(F.percentile_approx("v", cuts, F.lit(100 * EDGES))).alias("edges")))
+        # 2·(edges below) + (on an edge): an edge value is a bucket of its own
+        bucket = F.expr("aggregate(edges, 0, (n, e) -> n + if(e < v, 2, if(e = v, 1, 0)))")
+        hist = rows_in(edges, n_edges).groupBy(*group, "rank", "below", bucket.alias("bk")).agg(
             F.count(F.lit(1)).alias("c"), F.min("v").alias("bmin"), F.max("v").alias("bmax"))
         w = Window.partitionBy(*group, "rank").orderBy("bk").rowsBetween(Window.unboundedPreceding, 0)
         hist = hist.withColumn("upto", F.col("below") + F.sum("c").over(w))
@@ -100,24 +130,21 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         refined = chosen.select(*group, "rank", F.col("bmin").alias("a"), F.col("bmax").alias("b"),
                                 (F.col("upto") - F.col("c")).alias("below"), F.col("c").alias("cnt"))
         targets = open_.where(F.col("cnt") <= final_rows).unionByName(refined)
-    else:
-        raise RuntimeError("quantile selection did not converge")
-    small = targets.where((F.col("a") < F.col("b")) & (F.col("cnt") <= final_rows))
-    picked = (values.join(small, on=group).where(F.col("v").between(F.col("a"), F.col("b")))
-              .groupBy(*group, "rank", "below").agg(F.sort_array(F.collect_list("v")).alias("vs"))
+    small, n_small = cut_lineage_counted(targets.where((F.col("a") < F.col("b")) & (F.col("cnt") <= final_rows)))
+    picked = (rows_in(small, n_small).groupBy(*group, "rank", "below")
+              .agg(F.sort_array(F.collect_list("v")).alias("vs"))
               .select(*group, "rank", F.element_at("vs", (F.col("rank") - F.col("below") + 1).cast("int")).alias("value")))
     found = picked
     for part in resolved:
         found = found.unionByName(part)
+    found = cut_lineage(found)
     lo = found.select(*group, F.col("rank").alias("r_lo"), F.col("value").alias("v_lo"))
     hi = found.select(*group, F.col("rank").alias("r_hi"), F.col("value").alias("v_hi"))
-    per_q = (wanted.join(lo, on=[*group, "r_lo"]).join(hi, on=[*group, "r_hi"])
-             .select(*group, "qi", (F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo"))).alias("value")))
+    per_q = keyed_join(keyed_join(wanted, lo, keys, ["column", "r_lo"]), hi, keys, ["column", "r_hi"]).select(
+        *group, "qi", interpolated(F.col("v_lo"), F.col("v_hi"), F.col("frac")).alias("value"))
     result = per_q.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("qi", "value"))).alias("s")) \
         .select(*group, F.transform("s", lambda x: x["value"]).alias("values"))
-    out = cut_lineage(result)
-    values.unpersist()
-    return out
+    return cut_lineage(result)
 
 
 def exact_quantile_params(df: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: Sequence[str],

@@ -1,9 +1,9 @@
 """A2: resample a series to a time grid and aggregate every column.
 
-Fixed rules (s, min, h, D and multiples) label a bucket by its start; the
-grid origin is midnight of the series' first day (per key), as pandas
-does.  When the width divides a day the origin does not matter and no
-extra pass is made.  Calendar rules use date functions.  Buckets are
+Fixed rules label a bucket by its start; the grid origin is midnight of the
+series' first day (per key), as pandas does.  When the width divides a day
+the origin does not matter and no extra pass is made.  Calendar rules number
+their periods; multiples count from the series' first period.  Buckets are
 ``groupBy(keys, bucket)`` aggregations with map-side partial aggregation.
 Aggregations whose empty bucket is a number (sum, prod, count, nunique)
 get a spine of every bucket from first to last per key.
@@ -20,53 +20,67 @@ from pyspark.sql.types import NumericType, BooleanType
 from ..functions.rules import Rule, parse_rule
 from ..functions.stats import aggregation
 from ..functions.timecols import US_PER_DAY, epoch_us, from_epoch_us
+from .joins import attach, keyed_join
 
 _B = "__bucket"
+#: Buckets of a spine that one row makes.
+SPINE_BUCKETS = 1 << 14
 
 
-def _period_start(ts: Column, kind: str) -> Column:
+def _period_number(ts: Column, r: Rule) -> Column:
+    """Consecutive number of the week, month, quarter or year of ``ts``."""
     d = ts.cast("date")
-    if kind == "week":
-        return F.date_sub(d, F.weekday(d))             # Monday of the week
-    if kind in ("month_end", "month_start"):
-        return F.trunc(d, "month")
-    if kind in ("quarter_end", "quarter_start"):
-        return F.trunc(d, "quarter")
-    return F.trunc(d, "year")
-
-
-def _label(start: Column, kind: str) -> Column:
-    if kind == "week":
-        d = F.date_add(start, 6)                       # the Sunday that ends the week
-    elif kind == "month_end":
-        d = F.last_day(start)
-    elif kind == "quarter_end":
-        d = F.last_day(F.add_months(start, 2))
-    elif kind == "year_end":
-        d = F.make_date(F.year(start), F.lit(12), F.lit(31))
+    if r.kind == "week":
+        first = (r.week_end + 1) % 7                   # the week's first day; day 0 was a Thursday
+        return F.floor((F.unix_date(d).cast("bigint") + F.lit(3 - first)) / 7).cast("bigint")
+    year = F.year(d).cast("bigint")
+    if r.kind.startswith("month"):
+        return year * 12 + F.month(d) - 1
+    if r.kind.startswith("quarter"):
+        return year * 4 + F.quarter(d) - 1
+    return year
+
+
+def _period_label(n: Column, r: Rule) -> Column:
+    """First or last day of a period."""
+    if r.kind == "week":
+        first = (r.week_end + 1) % 7
+        d = F.date_from_unix_date((n * 7 - F.lit(3 - first) + 6).cast("int"))
     else:
-        d = start
+        per = {"m": 12, "q": 4, "y": 1}[r.kind[0]]
+        year, month = F.floor(n / per).cast("int"), (F.pmod(n, F.lit(per)) * (12 // per) + 1).cast("int")
+        d = F.make_date(year, month, F.lit(1))
+        if r.kind.endswith("_end"):
+            d = F.last_day(F.add_months(d, 12 // per - 1))
     return d.cast("timestamp_ntz")
 
 
-_STEP = {"week": "7 days", "month_end": "1 month", "month_start": "1 month",
-         "quarter_end": "3 months", "quarter_start": "3 months",
-         "year_end": "12 months", "year_start": "12 months"}
-
-
-def _fixed_bucket(df: DataFrame, ts: str, keys: list[str], rule: Rule) -> tuple[DataFrame, Column]:
-    t = epoch_us(ts)
-    w = F.lit(rule.width_us)
-    if rule.divides_day:
-        return df, F.floor(t / w).cast("bigint") * w
-    first_day = F.unix_date(F.col(ts).cast("date")).cast("bigint")
+def _from_first(df: DataFrame, keys: list[str], value: Column) -> tuple[DataFrame, Column]:
+    """The smallest ``value`` of each row's series: a literal without keys, else
+    attached without shuffling the rows by key."""
     if keys:
-        origins = df.groupBy(*keys).agg((F.min(first_day) * F.lit(US_PER_DAY)).alias("__origin"))
-        df = df.join(origins, on=keys, how="inner")
-        origin = F.col("__origin")
-    else:
-        row = df.agg(F.min(first_day).alias("d")).first()
-        origin = F.lit(int(row["d"] or 0) * US_PER_DAY)
+        return attach(df, df.groupBy(*keys).agg(F.min(value).alias("__origin")), keys), F.col("__origin")
+    row = df.agg(F.min(value).alias("o")).first()
+    return df, F.lit(int(row["o"] or 0)).cast("bigint")
+
+
+def _bucket(df: DataFrame, ts: str, keys: list[str], r: Rule) -> tuple[DataFrame, Column]:
+    """Bucket of each row: its start in microseconds (fixed rules) or its
+    labelling period's number."""
+    if r.kind != "fixed":
+        p = _period_number(F.col(ts), r)
+        if r.multiple == 1:
+            return df, p
+        df, origin = _from_first(df, keys, p)
+        steps = (p - origin) / F.lit(r.multiple)
+        # labelled by its last period, a bucket ends with it; else it starts there
+        steps = F.floor(steps) if r.kind.endswith("_start") else F.ceil(steps)
+        return df, origin + steps.cast("bigint") * F.lit(r.multiple)
+    t, w = epoch_us(ts), F.lit(r.width_us)
+    if r.divides_day:
+        return df, F.floor(t / w).cast("bigint") * w
+    midnight = F.unix_date(F.col(ts).cast("date")).cast("bigint") * F.lit(US_PER_DAY)
+    df, origin = _from_first(df, keys, midnight)
     return df, origin + F.floor((t - origin) / w).cast("bigint") * w
 
 
@@ -82,10 +96,7 @@ def resample_timeseries(df: DataFrame, ts: str = "timestamp", rule: str = "1h",
                and (not isinstance(f.dataType, NumericType) or isinstance(f.dataType, BooleanType))]
         if bad:
             raise ValueError(f"aggregation {aggregation_name!r} needs numeric columns; not numeric: {bad}")
-    if r.kind == "fixed":
-        src, bucket = _fixed_bucket(df, ts, keys, r)
-    else:
-        src, bucket = df, _period_start(F.col(ts), r.kind)
+    src, bucket = _bucket(df, ts, keys, r)
     tsc = F.col(ts)
     if aggregation_name == "median" and values:
         grouped = _bucket_medians(src.withColumn(_B, bucket), keys, values)
@@ -96,7 +107,7 @@ def resample_timeseries(df: DataFrame, ts: str = "timestamp", rule: str = "1h",
         out = grouped.dropna(how="all", subset=values) if values else grouped
     else:
         out = _with_spine(grouped, keys, values, r, agg.empty)
-    label = from_epoch_us(F.col(_B)) if r.kind == "fixed" else _label(F.col(_B), r.kind)
+    label = from_epoch_us(F.col(_B)) if r.kind == "fixed" else _period_label(F.col(_B), r)
     return out.select(*keys, label.alias(ts), *values)
 
 
@@ -114,11 +125,15 @@ def _bucket_medians(df: DataFrame, keys: list[str], values: list[str]) -> DataFr
 def _with_spine(grouped: DataFrame, keys: list[str], values: list[str], r: Rule, empty) -> DataFrame:
     """Every bucket between the first and last one per key; empty → ``empty``."""
     span = grouped.groupBy(*keys).agg(F.min(_B).alias("__lo"), F.max(_B).alias("__hi"))
-    if r.kind == "fixed":
-        seq = F.sequence(F.col("__lo"), F.col("__hi"), F.lit(r.width_us))
-    else:
-        seq = F.sequence(F.col("__lo"), F.col("__hi"), F.expr(f"INTERVAL {_STEP[r.kind]}"))
-    spine = span.select(*keys, F.explode(seq).alias(_B))
-    joined = spine.join(grouped, on=[*keys, _B], how="left")
+    step = r.width_us if r.kind == "fixed" else r.multiple
+    # starts of stretches first, dealt out over the tasks, then the buckets
+    # inside each: no row ever holds a series' whole spine
+    stretch = SPINE_BUCKETS * step
+    starts = span.where("__lo is not null").select(*keys, "__hi", F.explode(
+        F.sequence(F.col("__lo"), F.col("__hi"), F.lit(stretch).cast("bigint"))).alias("__from"))
+    last = F.least(F.col("__hi"), F.col("__from") + F.lit(stretch - step))
+    spine = starts.repartition(*keys, "__from").select(*keys, F.explode(
+        F.sequence(F.col("__from"), last, F.lit(step).cast("bigint"))).alias(_B))
+    joined = keyed_join(spine, grouped, keys, [_B], "left")
     fills = {c: F.coalesce(F.col(c), F.lit(empty).cast(grouped.schema[c].dataType)) for c in values}
     return joined.select(*keys, _B, *[fills[c].alias(c) for c in values])

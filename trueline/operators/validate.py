@@ -13,13 +13,24 @@ from ..functions.timecols import to_ntz
 def require_columns(df: DataFrame, columns: Sequence[str], name: str = "dataset") -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise ValueError(f"{name} dataset must contain column(s) {missing}")
+        raise ValueError(f"{name}: column(s) {missing} are missing")
 
 
-def coerce_timestamp(df: DataFrame, ts: str = "timestamp", name: str = "dataset") -> DataFrame:
-    """the timestamp column as ``timestamp_ntz``; unparseable values → NULL."""
+def coerce_timestamp(df: DataFrame, ts: str = "timestamp", name: str = "dataset",
+                     fmt: str | None = None) -> DataFrame:
+    """the timestamp column as ``timestamp_ntz``; unparseable values → NULL.
+
+    Text is ISO, or of the pattern ``fmt``.  Text that carries an offset is an
+    instant and is brought to UTC; text without one is taken as it stands."""
     require_columns(df, [ts], name)
-    return df.withColumn(ts, to_ntz(ts, df.schema[ts].dataType))
+    return df.withColumn(ts, to_ntz(ts, df.schema[ts].dataType, fmt))
+
+
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN readings as NULL, in every float and double column."""
+    cols = {f.name: F.when(~F.isnan(f.name), F.col(f.name)) for f in df.schema.fields
+            if f.dataType.simpleString() in ("float", "double")}
+    return df.withColumns(cols) if cols else df
 
 
 def drop_bad_timestamps(df: DataFrame, ts: str = "timestamp") -> DataFrame:
@@ -36,9 +47,9 @@ def check_series(df: DataFrame, ts: str = "timestamp", name: str = "dataset") ->
     require_columns(df, [ts], name)
     row = df.agg(F.count(F.lit(1)).alias("n"), F.count(ts).alias("good")).first()
     if row["n"] == 0:
-        raise ValueError(f"{name} dataset is empty.")
+        raise ValueError(f"{name}: there are no rows")
     if row["good"] == 0:
-        raise ValueError(f"{name} dataset contains no valid timestamps in '{ts}'.")
+        raise ValueError(f"{name}: no value of '{ts}' can be read as a timestamp")
     return int(row["n"])
 
 
@@ -67,9 +78,10 @@ def sort_series(df: DataFrame, ts: str = "timestamp", keys: Sequence[str] = ())
 
 
 def validate_series(df: DataFrame, ts: str = "timestamp", keys: Sequence[str] = (),
-                    name: str = "dataset", check: bool = True) -> DataFrame:
-    """F1 → F3 → F2 → A1.  The result has unique (keys, timestamp)."""
-    parsed = coerce_timestamp(df, ts, name)
+                    name: str = "dataset", check: bool = True, fmt: str | None = None) -> DataFrame:
+    """F1 (and NaN → NULL) → F3 → F2 → A1.  The result has unique (keys,
+    timestamp).  A NULL key is a series of its own."""
+    parsed = nan_to_null(coerce_timestamp(df, ts, name, fmt))
     if check:
         check_series(parsed, ts, name)
     return dedupe_timestamps(drop_bad_timestamps(parsed, ts), ts, keys)

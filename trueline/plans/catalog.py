@@ -26,6 +26,7 @@ from ..operators import preprocess as pp
 from ..operators.align import (align_and_merge, apply_lag, best_lag_table, lag_join, lag_scores)
 from ..operators.features import (create_lag_features, create_rolling_features, create_time_features,
                                   engineer_features)
+from ..operators.ordered import dense_positions
 from ..operators.resample import resample_timeseries
 from ..operators.validate import (coerce_timestamp, dedupe_timestamps, drop_bad_timestamps, sort_series,
                                   validate_series)
@@ -443,6 +444,42 @@ def q_calibrated_left_join(spark, d):
     return rounded(joined.withColumnRenamed("prediction", "calibrated_prediction"))
 
 
+def nan_valid(spark, d):
+    return validate_series(fx.sen_nan(spark, d), TS)
+
+
+def q_preprocess_nan(spark, d):
+    out, _ = pp.preprocess_dataset(nan_valid(spark, d), TS, merged_config()["preprocessing"])
+    return rounded(out)
+
+
+def q_scan_csv_na(spark, d):
+    path = _scratch(spark, "tokens-csv")
+    write_csv(fx.ref_tokens(spark, d), path)
+    return rounded(validate_series(scan_csv(spark, path, TS), TS))
+
+
+def q_positions_null_key(spark, d):
+    rows = validate_series(fx.null_key(spark, d), TS, ["series"])
+    return dense_positions(rows, TS, ["series"], pos_col="position").select("series", TS, "position")
+
+
+def q_coerce_timestamp_offset(spark, d):
+    return coerce_timestamp(fx.offset_text(spark, d), TS)
+
+
+def q_coerce_timestamp_format(spark, d):
+    return coerce_timestamp(fx.format_text(spark, d), TS, fmt="dd/MM/yyyy HH:mm:ss")
+
+
+def _two_features(name):
+    def q(spark, d):
+        data = aligned_full(spark, d).select(TS, "reference_pm25", "sensor_pm25_raw", "sensor_humidity")
+        r = train_models(data, "reference_pm25", TS, {"selected_models": [name]}, SEED, cross_validate=False)[0]
+        return rounded(r.predictions)
+    return q
+
+
 def q_preview(spark, d):
     return rounded(preview(ref_valid(spark, d), TS, 50))
 
@@ -510,6 +547,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "drop_bad_timestamp": q_drop_bad_timestamp,
     "dedupe_timestamp": q_dedupe_timestamp,
     "validated_series": q_validated_series,
+    "validated_nan": lambda spark, d: rounded(nan_valid(spark, d)),
+    "preprocess_nan": q_preprocess_nan,
+    "resample_nan": _resample(nan_valid, "1h", "mean"),
+    "scan_csv_na": q_scan_csv_na,
+    "positions_null_key": q_positions_null_key,
+    "coerce_timestamp_offset": q_coerce_timestamp_offset,
+    "coerce_timestamp_format": q_coerce_timestamp_format,
+    "resample_2w": _resample(orders_series, "2W", "mean", digits=4),
+    "resample_w_mon": _resample(orders_series, "W-MON", "mean", digits=4),
+    "resample_3m": _resample(orders_series, "3ME", "mean", digits=4),
+    "resample_100ms": _resample(ref_valid, "100ms", "mean"),
+    "ols_two_features": _two_features("multilinear_regression"),
+    "ridge_two_features": _two_features("ridge"),
     "sorted_series": q_sorted_series,
     # preprocessing
     "numeric_columns": q_numeric_columns,

@@ -32,6 +32,8 @@ FIXTURES = {
                     "ORDER BY pm25_raw ASC NULLS FIRST, humidity ASC NULLS FIRST) AS rn FROM dirty_parsed "
                     "WHERE timestamp IS NOT NULL) WHERE rn = 1"),
     "orders_series": "SELECT o_orderdate AS timestamp, o_totalprice FROM orders",
+    "nan_valid": ("SELECT ts AS timestamp, CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS pm25_raw, "
+                  "CASE WHEN event_id % 13 = 0 THEN NULL ELSE CAST(user_id AS DOUBLE) END AS humidity FROM events"),
     "lineitem_values": "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem",
     "lineitem_daily": "SELECT l_shipdate AS timestamp, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem",
 }
@@ -293,7 +295,7 @@ HASH = "('0x' || substr(md5(concat_ws('|', CAST(epoch_us(timestamp) AS VARCHAR),
 
 
 def split_columns() -> str:
-    return (f"{HASH.format(salt='split:42')} / 4294967296.0 < 0.2 AS is_test, "
+    return (f"rank() OVER (ORDER BY {HASH.format(salt='split:42')}) <= ceil(0.2e0 * count(*) OVER ()) AS is_test, "
             f"CAST({HASH.format(salt='fold:42')} % 5 AS INTEGER) AS fold")
 
 
@@ -614,8 +616,8 @@ def s_features_keyed():
 
 
 def s_holdout_split():
-    return Sql("ref_clean").final(f"SELECT timestamp, {HASH.format(salt='split:42')} / 4294967296.0 < 0.2 AS is_test "
-                                  f"FROM ref_clean")
+    return Sql("ref_clean").final(f"SELECT timestamp, rank() OVER (ORDER BY {HASH.format(salt='split:42')}) "
+                                  f"<= ceil(0.2e0 * count(*) OVER ()) AS is_test FROM ref_clean")
 
 
 def s_kfold():
@@ -705,12 +707,91 @@ def s_preview():
                                   f"ORDER BY timestamp LIMIT 50")
 
 
+def s_validated_nan():
+    return Sql("nan_valid").final(f"SELECT timestamp, {_sel(_round_cols(DIRTY_COLS))} FROM nan_valid")
+
+
+def s_preprocess_nan():
+    q = Sql("nan_valid")
+    p = preprocess(q, "nan_valid", ["timestamp"], DIRTY_COLS, "pre")
+    return q.final(f"SELECT timestamp, {_sel(_round_cols(DIRTY_COLS))} FROM {p}")
+
+
+def s_scan_csv_na():
+    v = "CASE WHEN event_id % 9 = 0 OR event_id % 17 = 0 THEN NULL ELSE value END"
+    return f"SELECT ts AS timestamp, {r6(v, 'pm25')}, user_id FROM events"
+
+
+def s_positions_null_key():
+    return ("SELECT series, timestamp, row_number() OVER (PARTITION BY series ORDER BY timestamp) - 1 AS position FROM ("
+            "SELECT DISTINCT CASE WHEN user_id % 3 = 0 THEN NULL ELSE event_type END AS series, ts AS timestamp FROM events)")
+
+
+def s_coerce_offset():
+    return ("SELECT event_id, CASE event_id % 4 WHEN 0 THEN ts - INTERVAL '330' MINUTE WHEN 1 THEN ts + INTERVAL '480' MINUTE "
+            "ELSE ts END AS timestamp FROM events")
+
+
+def s_coerce_format():
+    return "SELECT event_id, date_trunc('second', ts) AS timestamp FROM events"
+
+
+def s_resample_periods(period: str, every: int, label: str):
+    """Calendar multiples: ``period`` numbers a row's period, ``label`` dates the
+    period n."""
+    return (f"WITH o AS (SELECT o_totalprice, {period} AS p FROM orders), "
+            f"b AS (SELECT o_totalprice, m + CAST(ceil((p - m) / {every}.0) AS BIGINT) * {every} AS n "
+            f"FROM o, (SELECT min(p) AS m FROM o)) "
+            f"SELECT CAST({label} AS TIMESTAMP) AS timestamp, {r6('avg(o_totalprice)', 'o_totalprice', 4)} FROM b GROUP BY n")
+
+
+def week_number(first_day: str) -> str:
+    """Weeks since a first weekday before all data."""
+    return f"(date_diff('day', DATE '{first_day}', CAST(o_orderdate AS DATE)) // 7)"
+
+
+def s_resample_100ms():
+    return (f"SELECT make_timestamp(epoch_us(ts) // 100000 * 100000) AS timestamp, {r6('avg(value)', 'pm25')}, "
+            f"{r6('avg(CAST(user_id AS DOUBLE))', 'temperature')} FROM events GROUP BY ALL")
+
+
+def s_two_features(alpha: str):
+    """Ridge (alpha 0: least squares) with two features: Cramer's rule on the
+    population covariances of the training rows."""
+    q = Sql("ref_clean", "sen_clean")
+    al = align(q, "ref_clean", REF_COLS, "sen_clean", SEN_COLS, "pm25", "al2")
+    q.add("d", f"SELECT timestamp, reference_pm25 AS y, sensor_pm25_raw AS a, sensor_humidity AS b, {split_columns()} "
+               f"FROM {al}")
+    q.add("m", f"SELECT avg(a) AS am, avg(b) AS bm, avg(y) AS ym, var_pop(a) + {alpha} / count(*) AS aa, "
+               f"var_pop(b) + {alpha} / count(*) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, "
+               f"covar_pop(b, y) AS byc FROM d WHERE NOT is_test")
+    q.add("w", "SELECT *, (ay * bb - byc * ab) / (aa * bb - ab * ab) AS wa, (byc * aa - ay * ab) / (aa * bb - ab * ab) AS wb "
+               "FROM m")
+    p = "ym + wa * (a - am) + wb * (b - bm)"
+    return q.final(f"SELECT timestamp, {r6('y', 'actual')}, {r6(p, 'predicted')} FROM d, w WHERE is_test")
+
+
 def build() -> dict[str, str]:
     hourly_dirty = lambda agg, digits=6: s_resample("dirty_valid", DIRTY_COLS, HOURLY, agg, digits=digits)
     q15 = lambda agg: s_resample("dirty_valid", DIRTY_COLS, ("fixed", M15_US, False), agg)
     orders = lambda rule, agg: s_resample("orders_series", ["o_totalprice"], rule, agg,
                                           digits=4)
     out = {
+        "validated_nan": s_validated_nan(),
+        "preprocess_nan": s_preprocess_nan(),
+        "resample_nan": s_resample("nan_valid", DIRTY_COLS, HOURLY, "mean"),
+        "scan_csv_na": s_scan_csv_na(),
+        "positions_null_key": s_positions_null_key(),
+        "coerce_timestamp_offset": s_coerce_offset(),
+        "coerce_timestamp_format": s_coerce_format(),
+        "resample_2w": s_resample_periods(week_number("1900-01-01"), 2, "DATE '1900-01-07' + CAST(n * 7 AS INTEGER)"),
+        "resample_w_mon": s_resample_periods(week_number("1900-01-02"), 1, "DATE '1900-01-08' + CAST(n * 7 AS INTEGER)"),
+        "resample_3m": s_resample_periods(
+            "(year(o_orderdate) * 12 + month(o_orderdate) - 1)", 3,
+            "last_day(make_date(n // 12, n % 12 + 1, 1))"),
+        "resample_100ms": s_resample_100ms(),
+        "ols_two_features": s_two_features("0.0"),
+        "ridge_two_features": s_two_features("1.0"),
         "scan_frame": s_scan_frame(),
         "scan_csv": s_scan_frame(),
         "sink_csv": s_aligned(),

@@ -37,6 +37,23 @@ SEN_KEYED_SQL = ("SELECT event_type, ts + INTERVAL '2' HOUR AS timestamp, "
                  "CAST(user_id AS DOUBLE) AS humidity FROM events")
 
 
+# NaN and NULL readings
+SEN_NAN_SQL = ("SELECT ts AS timestamp, CASE WHEN event_id % 11 = 0 THEN CAST('NaN' AS DOUBLE) ELSE value END AS pm25_raw, "
+               "CASE WHEN event_id % 13 = 0 THEN CAST(NULL AS DOUBLE) ELSE CAST(user_id AS DOUBLE) END AS humidity FROM events")
+# readings as text with missing-value tokens
+REF_TOKENS_SQL = ("SELECT CAST(ts AS STRING) AS timestamp, CASE WHEN event_id % 9 = 0 THEN 'NA' WHEN event_id % 17 = 0 "
+                  "THEN 'null' ELSE CAST(value AS STRING) END AS pm25, user_id FROM events")
+# a third of the users without a series name
+NULL_KEY_SQL = ("SELECT CASE WHEN user_id % 3 = 0 THEN NULL ELSE event_type END AS series, ts AS timestamp, value AS pm25 "
+                "FROM events")
+# timestamps as text, some with an offset
+OFFSET_SQL = ("SELECT event_id, CASE event_id % 4 WHEN 0 THEN concat(CAST(ts AS STRING), '+05:30') "
+              "WHEN 1 THEN concat(CAST(ts AS STRING), '-0800') WHEN 2 THEN concat(CAST(ts AS STRING), 'Z') "
+              "ELSE CAST(ts AS STRING) END AS timestamp FROM events")
+# timestamps as text of a named pattern
+FORMAT_SQL = "SELECT event_id, date_format(ts, 'dd/MM/yyyy HH:mm:ss') AS timestamp FROM events"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -59,6 +76,26 @@ def sen_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from_events(spark, sf_dir, SEN_DIRTY_SQL)
 
 
+def sen_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _from_events(spark, sf_dir, SEN_NAN_SQL)
+
+
+def ref_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _from_events(spark, sf_dir, REF_TOKENS_SQL)
+
+
+def null_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _from_events(spark, sf_dir, NULL_KEY_SQL)
+
+
+def offset_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _from_events(spark, sf_dir, OFFSET_SQL)
+
+
+def format_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _from_events(spark, sf_dir, FORMAT_SQL)
+
+
 def growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from_events(spark, sf_dir, GROWTH_SQL)
 
