@@ -45,7 +45,7 @@ def test_model_roundtrip(spark, result, tmp_path):
 
 def test_missing_target_fails_early(spark):
     ref = fx.ref_clean(spark, SF_SMALL).drop("pm25")
-    with pytest.raises(ValueError, match="target"):
+    with pytest.raises(ValueError, match="to calibrate against"):
         run_calibration_pipeline(ref, fx.sen_clean(spark, SF_SMALL), {})
 
 

@@ -12,7 +12,7 @@ from trueline.sources.sinks import write_csv
 
 def test_empty_dataset_raises(spark):
     df = spark.createDataFrame([], "timestamp string, v double")
-    with pytest.raises(ValueError, match="empty"):
+    with pytest.raises(ValueError, match="no rows"):
         validate_series(df)
 
 

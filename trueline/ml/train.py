@@ -61,7 +61,10 @@ def add_holdout_flag(df: DataFrame, ts: str, keys: Sequence[str] = (), test_size
     """M9: ``__is_test`` for the ⌈test_size · n⌉ rows with the smallest hash of
     (keys, timestamp, seed): an exact share (equal draws stay together),
     independent of partitioning.  At least one row stays for training; a
-    table with fewer than two rows cannot be split."""
+    table with fewer than two rows cannot be split; ``test_size`` 0 holds
+    nothing out."""
+    if float(test_size) <= 0:
+        return df.withColumn(IS_TEST, F.lit(False))
     draw = hash_uint32(ts, keys, split_salt(seed))
     draws = df.select(draw.alias("d"))
     n = draws.count()
