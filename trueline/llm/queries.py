@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trueline.llm import decontam, html_extract, knn, langid, license_scan, line_dedup, packing, pii, sharding, simhash
+from trueline.llm.oracles import ORACLE_SQL  # noqa: F401  (for the entry point)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,5 +112,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extraction": op9_html_extraction,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
-
-ORACLE_SQL: dict[str, str] = {}
