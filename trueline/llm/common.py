@@ -11,9 +11,22 @@ from pyspark.sql import functions as F
 from trueline.session import checkpoint_dir
 
 
+_written: list[str] = []
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     """A new folder name under the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    _written.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this process staged so far.  Call it once the results that
+    read these tables have been written."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
