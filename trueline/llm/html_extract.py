@@ -60,10 +60,11 @@ sidebar signup social sponsor sponsored subscribe subscription toolbar widget wi
 #: In a name like "no-sidebar" the mark describes a layout, not the element.
 NEGATIONS = frozenset(("has", "no", "with", "without"))
 
-#: Block rules: shorter blocks stay open; longer ones with many stop words are
-#: good; shares of stop words and of linked characters that decide.
-SHORT, LONG = 70, 200
-STOP_LOW, STOP_HIGH, LINKED = 0.2, 0.3, 0.35
+#: Block rules: blocks up to SHORT characters with a link are boilerplate,
+#: blocks over LONG with a share of stop words of at least STOP are good, a
+#: share of linked characters over LINKED is boilerplate; others stay open.
+SHORT, LONG = 70, 100
+STOP, LINKED = 0.1, 0.35
 HEADING_REACH = 200
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"<]*+"|'[^'<]*+')*+)>"""
@@ -173,11 +174,9 @@ def first_pass(b: Block) -> int | None:
         return GOOD
     words = WORD.findall(b.text.lower())
     stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if len(b.text) < SHORT:
-        return BAD if b.linked else OPEN
-    if stop >= STOP_HIGH and len(b.text) > LONG:
-        return GOOD
-    return OPEN if stop >= STOP_LOW else BAD
+    if len(b.text) < SHORT and b.linked:
+        return BAD
+    return GOOD if stop >= STOP and len(b.text) > LONG else OPEN
 
 
 def decided(blocks: list[Block], labels: list[int | None], order: range) -> list[tuple[float, int]]:
