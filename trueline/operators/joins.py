@@ -37,18 +37,19 @@ def keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], extra: Se
 
 
 def attach(df: DataFrame, table: DataFrame, keys: Sequence[str], extra: Sequence[str] = (),
-           how: str = "left", rows: int | None = None) -> DataFrame:
+           how: str = "left", rows: int | None = None, array_bytes: int = 0) -> DataFrame:
     """Join a table with a few rows per key onto ``df``'s rows.
 
     The table is checkpointed and counted (unless the caller knows its
-    ``rows``); up to ``BROADCAST_BYTES`` it is broadcast, so the rows stay
+    ``rows``; ``array_bytes`` is the size of a row's arrays); up to an estimated
+    ``BROADCAST_BYTES`` it is broadcast, so the rows stay
     where they are.  A larger one is repeated ``SALTS`` times and joined on
     (key, salt), with the salt from a hash of the whole row, so one series is
     spread over up to ``SALTS`` tasks.
     """
     if rows is None:
         table, rows = cut_lineage_counted(table)
-    if rows * (_ROW_BYTES + _CELL_BYTES * len(table.columns)) <= BROADCAST_BYTES:
+    if rows * (_ROW_BYTES + _CELL_BYTES * len(table.columns) + array_bytes) <= BROADCAST_BYTES:
         return keyed_join(df, F.broadcast(table), keys, extra, how)
     copies = table.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = df.withColumn(SALT, F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))

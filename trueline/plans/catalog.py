@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from ..config import LINEAR_FAMILY, merged_config
+from ..ml.per_key import train_models_per_key
 from ..ml.train import (FOLD, IS_TEST, add_folds, add_holdout_flag, predict_with_model, train_models)
 from ..operators import preprocess as pp
 from ..operators.align import (align_and_merge, apply_lag, best_lag_table, lag_join, lag_scores)
@@ -480,6 +481,17 @@ def _two_features(name):
     return q
 
 
+def _per_key(features):
+    def q(spark, d):
+        merged, _, _ = align_and_merge(ref_keyed_valid(spark, d), sen_keyed_valid(spark, d), TS, "pm25",
+                                       {"resample_rule": "1H"}, keys=["event_type"], block_rows=BLOCK)
+        r = train_models_per_key(merged.select("event_type", TS, "reference_pm25", *features), "reference_pm25", TS,
+                                 {"selected_models": ["linear_regression", "ridge"]}, SEED, ["event_type"])
+        best = r.best_models().withColumnRenamed("model", "best")
+        return rounded(r.predictions.join(best, "event_type"))
+    return q
+
+
 def q_preview(spark, d):
     return rounded(preview(ref_valid(spark, d), TS, 50))
 
@@ -560,6 +572,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "resample_100ms": _resample(ref_valid, "100ms", "mean"),
     "ols_two_features": _two_features("multilinear_regression"),
     "ridge_two_features": _two_features("ridge"),
+    "calibrate_per_key": _per_key(["sensor_pm25_raw"]),
+    "calibrate_per_key_two": _per_key(["sensor_pm25_raw", "sensor_humidity"]),
     "sorted_series": q_sorted_series,
     # preprocessing
     "numeric_columns": q_numeric_columns,

@@ -771,6 +771,33 @@ def s_two_features(alpha: str):
     return q.final(f"SELECT timestamp, {r6('y', 'actual')}, {r6(p, 'predicted')} FROM d, w WHERE is_test")
 
 
+def s_per_key(two: bool):
+    """Least squares and ridge (alpha 1) per series on its own training rows,
+    and the series' best model by hold-out rmse."""
+    q = Sql("ref_keyed", "sen_keyed")
+    al = _aligned_keyed(q)
+    h = HASH.replace("concat_ws('|', ", "concat_ws('|', event_type, ").format(salt="split:42")
+    q.add("d", f"SELECT event_type, timestamp, reference_pm25 AS y, sensor_pm25_raw AS a, sensor_humidity AS b, "
+               f"rank() OVER (PARTITION BY event_type ORDER BY {h}) <= ceil(0.2e0 * count(*) OVER (PARTITION BY event_type)) "
+               f"AS is_test FROM {al}")
+    parts = []
+    for model, alpha in (("linear_regression", "0.0"), ("ridge", "1.0")):
+        m = (f"SELECT event_type, '{model}' AS model, avg(a) AS am, avg(b) AS bm, avg(y) AS ym, "
+             f"var_pop(a) + {alpha} / count(*) AS aa, var_pop(b) + {alpha} / count(*) AS bb, covar_pop(a, b) AS ab, "
+             f"covar_pop(a, y) AS ay, covar_pop(b, y) AS byc FROM d WHERE NOT is_test GROUP BY event_type")
+        wa, wb = ("(ay * bb - byc * ab) / (aa * bb - ab * ab)", "(byc * aa - ay * ab) / (aa * bb - ab * ab)") if two \
+            else ("ay / aa", "0.0")
+        parts.append(f"SELECT event_type, model, am, bm, ym, {wa} AS wa, {wb} AS wb FROM ({m})")
+    q.add("fits", " UNION ALL ".join(parts))
+    q.add("preds", "SELECT event_type, timestamp, model, y AS actual, ym + wa * (a - am) + wb * (b - bm) AS predicted "
+                   "FROM d JOIN fits USING (event_type) WHERE is_test")
+    q.add("scores", "SELECT event_type, model, sqrt(avg((actual - predicted) * (actual - predicted))) AS rmse FROM preds "
+                    "GROUP BY event_type, model")
+    q.add("best", "SELECT event_type, arg_min(model, rmse) AS best FROM scores GROUP BY event_type")
+    return q.final(f"SELECT event_type, timestamp, model, {r6('actual', 'actual')}, {r6('predicted', 'predicted')}, best "
+                   f"FROM preds JOIN best USING (event_type)")
+
+
 def build() -> dict[str, str]:
     hourly_dirty = lambda agg, digits=6: s_resample("dirty_valid", DIRTY_COLS, HOURLY, agg, digits=digits)
     q15 = lambda agg: s_resample("dirty_valid", DIRTY_COLS, ("fixed", M15_US, False), agg)
@@ -792,6 +819,8 @@ def build() -> dict[str, str]:
         "resample_100ms": s_resample_100ms(),
         "ols_two_features": s_two_features("0.0"),
         "ridge_two_features": s_two_features("1.0"),
+        "calibrate_per_key": s_per_key(False),
+        "calibrate_per_key_two": s_per_key(True),
         "scan_frame": s_scan_frame(),
         "scan_csv": s_scan_frame(),
         "sink_csv": s_aligned(),
