@@ -5,8 +5,8 @@ character n-grams over the words so counted.  The model keeps the ``WORD_LIMIT``
 most frequent words and the ``GRAM_LIMIT`` most frequent n-grams; its size is
 bounded whatever the corpus, and it is what goes to the tasks.
 
-A text is scored word by word.  A known word adds its smoothed log frequency
-in each language.  An unseen word falls back to its character n-grams: the
+A text is scored word by word.  A known word adds its log frequency in each
+language (relative to the language where it is most frequent, with a floor).  An unseen word falls back to its character n-grams: the
 longest order that has a known n-gram decides, by the mean log frequency of
 its known n-grams; shorter orders are tried in turn, and a word without any
 known n-gram adds nothing.  The score is the softmax of the sums, tempered
@@ -32,12 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from trueline.llm.common import stage
+
 WORD_LIMIT, GRAM_LIMIT = 100_000, 100_000
 ORDERS = (4, 3, 2, 1)
 #: Longer words are not learned (they still fall back to their n-grams), and
 #: are kept out of the workers' caches.
 WORD_LENGTH = 40
-SMOOTHING = 0.5
+FLOOR = 0.01
 CACHE_WORDS = 200_000
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -91,10 +93,20 @@ def gram_counts(words: DataFrame) -> DataFrame:
 
 
 def _top(counts: DataFrame, limit: int) -> list:
-    """The ``limit`` most frequent entries with their counts per language."""
-    per = counts.groupBy("word").agg(F.sum("n").alias("total"),
-                                     F.collect_list(F.struct("lang", "n")).alias("langs"))
-    return per.orderBy(F.desc("total"), "word").limit(limit).collect()
+    """The most frequent entries with their counts per language: all whose
+    total reaches the smallest bound that at most ``limit`` entries reach.
+    Bounds are eighths of powers of two, so the driver reads a histogram of a
+    few hundred rows, then at most ``limit`` entries."""
+    per = stage(counts.groupBy("word").agg(F.sum("n").alias("total"),
+                                           F.collect_list(F.struct("lang", "n")).alias("langs")), "entries")
+    step = F.floor(8 * F.log2("total")).cast("int")
+    left, least = limit, None
+    for r in sorted(per.groupBy(step.alias("step")).count().collect(), reverse=True):
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["step"]
+    return [] if least is None else per.where(step >= least).collect()
 
 
 @dataclass
@@ -116,7 +128,10 @@ class Model:
 
 
 def _scores(rows: list, languages: list[str], orders: bool) -> tuple[dict[str, int], np.ndarray]:
-    """Smoothed log frequencies; n-grams are relative to their own order."""
+    """Log of an entry's relative frequency in each language, relative to the
+    language where it is most frequent and never below log(FLOOR), so neither
+    the amount of text learned per language nor a single word decides.
+    N-grams are relative to their own order."""
     at = {lang: k for k, lang in enumerate(languages)}
     counts = np.zeros((len(rows), len(languages)))
     for i, r in enumerate(rows):
@@ -125,14 +140,13 @@ def _scores(rows: list, languages: list[str], orders: bool) -> tuple[dict[str, i
     kind = np.array([len(r["word"]) if orders else 0 for r in rows], dtype=int)
     out = np.zeros_like(counts)
     for k in np.unique(kind):
-        part = counts[kind == k] + SMOOTHING
-        out[kind == k] = np.log(part / part.sum(axis=0))
+        share = counts[kind == k] / np.maximum(counts[kind == k].sum(axis=0), 1)
+        out[kind == k] = np.log(share / share.max(axis=1, keepdims=True) + FLOOR)
     return {r["word"]: i for i, r in enumerate(rows)}, out
 
 
 def train(training: DataFrame) -> Model:
     """Learn from (text, lang)."""
-    from trueline.llm.common import stage
     words = stage(word_counts(training), "word-counts")
     languages = sorted(r["lang"] for r in words.select("lang").distinct().collect())
     return Model(languages, *_scores(_top(words, WORD_LIMIT), languages, False),
