@@ -44,9 +44,9 @@ from trueline.llm.components import connected_components
 WORDS, DISTANCE, SEED = 4, 4, 42
 #: Most rows of one value that are compared at once.
 TILE = 1024
-#: Random pairs looked at for the estimates, and the cost of verifying a
-#: candidate pair relative to moving a probe row.
-PAIR_SAMPLE, PAIR_COST = 65_536, 0.02
+#: Fingerprints (about) whose random pairs are looked at for the estimates, and
+#: the cost of verifying a candidate pair relative to moving a probe row.
+PAIR_SAMPLE, PAIR_COST = 16_384, 0.02
 #: Shingles unpacked to bits at once.
 CHUNK = 65_536
 
@@ -128,8 +128,11 @@ def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
         array_to_vector("s").alias("s"), F.pmod(F.spark_partition_id(), F.lit(64)).alias("g"))
     half = partial.groupBy("g").agg(Summarizer.sum(F.col("s")).alias("s"))
     vec = half.agg(Summarizer.sum(F.col("s")).alias("s")).first()["s"].toArray()
-    some = fps.orderBy(F.xxhash64("fp"), "fp").limit(PAIR_SAMPLE).toPandas()["fp"].to_numpy(np.int64)
-    return int(vec[0]), vec[1:].reshape(64, 64), some ^ np.roll(some, 1)
+    n = int(vec[0])
+    mixed = F.xxhash64("fp")
+    some = np.array([r["fp"] for r in fps.where(F.pmod(mixed, F.lit(max(1, n // PAIR_SAMPLE))) == 0)
+                     .select("fp", mixed.alias("at")).sort("at").select("fp").collect()], dtype=np.int64)
+    return n, vec[1:].reshape(64, 64), some ^ np.roll(some, 1)
 
 
 def group_bits(together: np.ndarray, n: int, m: int) -> list[list[int]]:
