@@ -40,20 +40,16 @@ def feature_columns(df: DataFrame, target: str, ts: str, keys: Sequence[str] = (
     return numeric_columns(df, exclude=[target, ts, *keys])
 
 
-def smallest_draw(draws: DataFrame, k: int) -> int:
-    """The k-th smallest of the 32-bit integers in column ``d``: two counting
-    passes, over the upper and the lower 16 bits, of at most 65536 rows each."""
-    def pick(counts: DataFrame, k: int) -> tuple[int, int]:
-        for r in sorted(counts.collect()):
-            if k <= r["count"]:
-                return int(r["b"]), k
-            k -= r["count"]
-        raise ValueError("fewer draws than asked for")
-
-    high = F.shiftright("d", 16)
-    h, k = pick(draws.groupBy(high.alias("b")).count(), k)
-    low, _ = pick(draws.where(high == h).groupBy(F.col("d").bitwiseAND(65535).alias("b")).count(), k)
-    return h * 65536 + low
+def kth_of_counts(counts: DataFrame, share) -> tuple[int, int]:
+    """(value, rest): the value at which the running count of (b, count) rows
+    reaches ``share(total)``, and what is left of it inside that value."""
+    rows = sorted((int(r["b"]), int(r["count"])) for r in counts.collect())
+    k = share(sum(n for _, n in rows))
+    for value, n in rows:
+        if k <= n:
+            return value, k
+        k -= n
+    raise ValueError("fewer rows than asked for")
 
 
 def add_holdout_flag(df: DataFrame, ts: str, keys: Sequence[str] = (), test_size: float = 0.2,
@@ -62,16 +58,23 @@ def add_holdout_flag(df: DataFrame, ts: str, keys: Sequence[str] = (), test_size
     (keys, timestamp, seed): an exact share (equal draws stay together),
     independent of partitioning.  At least one row stays for training; a
     table with fewer than two rows cannot be split; ``test_size`` 0 holds
-    nothing out."""
+    nothing out.  The limit comes from two counting passes, over the upper
+    and the lower 16 bits of the draws, of at most 65536 rows each."""
     if float(test_size) <= 0:
         return df.withColumn(IS_TEST, F.lit(False))
     draw = hash_uint32(ts, keys, split_salt(seed))
     draws = df.select(draw.alias("d"))
-    n = draws.count()
-    if n < 2:
-        raise ValueError(f"{n} row(s) cannot be split into training and test rows")
-    k = min(max(1, math.ceil(float(test_size) * n)), n - 1)
-    return df.withColumn(IS_TEST, draw <= F.lit(smallest_draw(draws, k)))
+    high = F.shiftright("d", 16)
+
+    def share(n: int) -> int:
+        if n < 2:
+            raise ValueError(f"{n} row(s) cannot be split into training and test rows")
+        return min(max(1, math.ceil(float(test_size) * n)), n - 1)
+
+    upper, k = kth_of_counts(draws.groupBy(high.alias("b")).count(), share)
+    lower, _ = kth_of_counts(draws.where(high == upper).groupBy(F.col("d").bitwiseAND(65535).alias("b")).count(),
+                             lambda n: k)
+    return df.withColumn(IS_TEST, draw <= F.lit(upper * 65536 + lower))
 
 
 def add_folds(df: DataFrame, ts: str, keys: Sequence[str] = (), folds: int = 5, seed: int = 42) -> DataFrame:
