@@ -54,7 +54,9 @@ def test_empty_table(spark):
 
 def test_word_cache_equals_whole_text(tok):
     texts = ["a  b", "foo   bar", "x \n\n y", " lead", "trail ", "trail \n ", "a\n b", "<|endoftext|> x", "", "  ",
-             "　 x", "ñ  ", "a \n", " ", "tab\t end", LONG[:5000]]
+             "　 x", "ñ  ", "a \n", " ", "tab\t end", LONG[:5000], "it's I'll we've he'd 'tis x's.\n\nNew 12th 3.14%",
+             "Ünïcödé ß çà ñandú Łódź, (q)uoted \"text\" -- and...more!!\n\tIndented", "日本語 text 中 😀x é́ \x1c \x85a \xa0b",
+             "a\x00b \x7f c", "y" * 500 + " " + "é" * 500, "²³ ½ Ⅷ ٣ a²"]
     coder = packing.TokenBytes(tokenizer_path())
     whole = [np.asarray(tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
     assert coder.batch(texts) == whole

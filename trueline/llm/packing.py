@@ -26,6 +26,8 @@ and ``text`` are ignored.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -34,6 +36,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +49,8 @@ CAPACITY = 2048
 ROUNDS, RATE, STEP, KEEP = 40, 0.5, 0.25, 0.9
 #: Words in each of the two generations of a worker's token cache.
 CACHE_WORDS = 250_000
+#: Longer words are always encoded by the whole tokenizer.
+LONG_WORD = 200
 #: Characters of text that are split into words at once.
 CHUNK_CHARS = 1_000_000
 
@@ -58,17 +63,39 @@ class TokenBytes:
     The byte-level pre-tokeniser never joins a non-space character with a
     following space, and a lone space always opens the next token, so a text
     without double spaces is the concatenation of its space-separated words,
-    each encoded with its space.  Words are encoded by the tokenizer once
-    per worker and cached.  Texts where this does not hold (runs of white
-    space with spaces, added tokens) are encoded whole.
+    each encoded with its space.  Words are encoded once per worker and
+    cached.  Within a word of plain Latin characters the pre-tokeniser's
+    pattern gives the pieces, and the tokenizer's model encodes each distinct
+    piece; other words go through the whole tokenizer.  Texts where the split
+    does not hold (runs of white space with spaces, added tokens) are encoded
+    whole.
     """
 
+    # Fixed value: the pre-tokeniser's pattern.
+    PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+    PLAIN = re.compile("[\t\n\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        # The byte-level alphabet: printable Latin-1 bytes stand for themselves,
+        # the others are numbered from 256.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+    def _piece(self, piece: str) -> bytes:
+        raw = self.pieces.get(piece)
+        if raw is None:
+            if len(self.pieces) >= CACHE_WORDS:
+                self.pieces.clear()
+            ids = [t.id for t in self.tok.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]
+            raw = self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return raw
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes()
@@ -83,17 +110,21 @@ class TokenBytes:
         need = set()
         for w in words:
             if w:
-                need.update(w[1:])
+                need.update(w)
         if len(self.cache) > CACHE_WORDS:
             self.cache, self.old = {}, self.cache
         cache = self.cache
-        need.difference_update(cache)
-        known = need & self.old.keys()
-        cache.update(zip(known, map(self.old.__getitem__, known)))
-        missing = list(need - known)
-        for lo in range(0, len(missing), 20_000):
-            part = missing[lo:lo + 20_000]
-            cache.update(zip(part, self._encode([" " + m for m in part])))
+        old, missing = self.old, []
+        for word in need:
+            if word in cache:
+                continue
+            if word in old:
+                cache[word] = old[word]
+            elif len(word) < LONG_WORD and self.PLAIN.fullmatch(word):
+                cache[word] = b"".join(map(self._piece, self.PIECES.findall(" " + word)))
+            else:
+                missing.append(word)
+        cache.update(zip(missing, self._encode([" " + m for m in missing])))
         whole = [t if w is None else w[0] for t, w in zip(texts, words)]
         heads = self._encode(whole)
         return [h if w is None or len(w) == 1 else h + b"".join(map(cache.__getitem__, w[1:]))
