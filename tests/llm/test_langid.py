@@ -59,3 +59,27 @@ def test_labels_of_held_out_rows_are_not_used(spark):
     a = langid.train(train)
     b = langid.train(spoilt.where(~langid.held_out(F.col("doc_id"))))
     assert a.languages == b.languages and a.words == b.words
+
+
+def test_every_entry_counts_whatever_the_cache_holds(spark, monkeypatch):
+    """A small language beside a hot one with more words than the caches hold,
+    hot unseen words, long runs and repeated rows."""
+    hot = [(k, " ".join(f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"[:1 + k % 6]), "aa", None)
+           for k in range(40)]
+    run = "".join(chr(0x4E00 + 7 * k % 5000) for k in range(60))
+    small = [(100, "ένα σπίτι δύο δέντρα τρία", "zz", None), (101, f"σπίτι {run}", "zz", None)]
+    model = langid.train(edge_docs(spark, hot + small))
+    texts = ["ένα σπίτι", "σπιτάκι", run[5:30], run, "bal dem", "bulz", "qqqq", "", None, "12", "ένα σπίτι"]
+    texts += ["bulz δέντρα", "bulz"] * 50
+    docs = edge_docs(spark, [(k, t, None, None) for k, t in enumerate(texts)]).withColumn("key", F.col("doc_id"))
+    whole = {r.key: (r.lang_pred, r.score) for r in langid.identify(docs, model, carry=("key", "row")).collect()}
+    assert len(whole) == len(texts)
+    assert [whole[k][0] for k in range(6)] == ["zz", "zz", "zz", "zz", "aa", "aa"]
+    for limits in ((0, 0), (20, 30), (1000, 30)):
+        monkeypatch.setattr(langid, "WORD_LIMIT", limits[0])
+        monkeypatch.setattr(langid, "GRAM_LIMIT", limits[1])
+        model = langid.train(edge_docs(spark, hot + small))
+        assert len(model.words) <= limits[0] and len(model.grams) <= limits[1]
+        cached = langid.identify(docs, model, carry=("key", "row")).collect()
+        assert len(cached) == len(texts)
+        assert {r.key: (r.lang_pred, r.score) for r in cached} == whole

@@ -1,17 +1,20 @@
 """Language identification with word-first backoff.
 
 Training counts words per language over all labelled training documents and
-character n-grams over the words so counted.  The model keeps the ``WORD_LIMIT``
-most frequent words and the ``GRAM_LIMIT`` most frequent n-grams; its size is
-bounded whatever the corpus, and it is what goes to the tasks.
+character n-grams over the words so counted.  All of them are learned and stay
+in tables keyed by entry.  What goes to the tasks is a cache of the most
+frequent ones (``WORD_LIMIT``, ``GRAM_LIMIT``); words that are not in it are
+looked up by joins, so the size of the cache has no influence on the result.
 
 A text is scored word by word.  A known word adds its log frequency in each
-language (relative to the language where it is most frequent, with a floor).  An unseen word falls back to its character n-grams: the
+language (relative to the language where it is most frequent, with a floor, and
+counted from that floor).  An unseen word falls back to its character n-grams: the
 longest order that has a known n-gram decides, by the mean log frequency of
 its known n-grams; shorter orders are tried in turn, and a word without any
 known n-gram adds nothing.  The score is the softmax of the sums, tempered
 by the square root of the number of words so that long texts do not all
-score 1.
+score 1.  Scores are whole multiples of 1 / ``UNIT``, so sums do not depend on
+their order.
 
 Words are runs of letters of the lower-cased text.  A null text or one
 without a letter is ``und`` with score 0, as is every text if nothing could
@@ -24,22 +27,25 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from trueline.llm.common import stage
 
+#: Entries in the tasks' caches.
 WORD_LIMIT, GRAM_LIMIT = 100_000, 100_000
 ORDERS = (4, 3, 2, 1)
-#: Longer words are not learned (they still fall back to their n-grams), and
-#: are kept out of the workers' caches.
+#: Longer words are kept out of the workers' caches.
 WORD_LENGTH = 40
 FLOOR = 0.01
+UNIT = 1 << 20
+ENTRY = "array<struct<lang:int,v:bigint>>"
 CACHE_WORDS = 200_000
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -63,7 +69,7 @@ def word_counts(training: DataFrame) -> DataFrame:
             counts: dict[str, Counter] = {}
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 counts.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
-            rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items() if len(w) <= WORD_LENGTH]
+            rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))],
                 ["lang", "word", "n"])
@@ -92,65 +98,87 @@ def gram_counts(words: DataFrame) -> DataFrame:
             .groupBy("lang", "word").agg(F.sum("n").alias("n")))
 
 
-def _top(counts: DataFrame, limit: int) -> list:
-    """The most frequent entries with their counts per language: all whose
-    total reaches the smallest bound that at most ``limit`` entries reach.
-    Bounds are eighths of powers of two, so the driver reads a histogram of a
-    few hundred rows, then at most ``limit`` entries."""
-    per = stage(counts.groupBy("word").agg(F.sum("n").alias("total"),
-                                           F.collect_list(F.struct("lang", "n")).alias("langs")), "entries")
+def _entries(counts: DataFrame, languages: list[str], orders: bool) -> DataFrame:
+    """(word, total, scores) of every counted entry.  A score is the log of the
+    entry's relative frequency in a language, relative to the language where it
+    is most frequent and counted from log(FLOOR), so neither the amount of text
+    learned per language nor a single word decides; languages without the entry
+    score 0 and are left out.  N-grams are relative to their own order."""
+    kind = F.char_length("word") if orders else F.lit(0)
+    counts = counts.withColumn("kind", kind)
+    at = {lang: k for k, lang in enumerate(languages)}
+    totals = [(r["lang"], r["kind"], r["n"], at[r["lang"]])
+              for r in counts.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()]
+    totals = counts.sparkSession.createDataFrame(totals, "lang string, kind int, of long, at int")
+    share = F.col("n") / F.col("of")
+    per = counts.join(F.broadcast(totals), ["lang", "kind"]).groupBy("word").agg(
+        F.sum("n").alias("total"), F.max(share).alias("best"),
+        F.collect_list(F.struct(F.col("at").alias("lang"), share.alias("share"))).alias("langs"))
+    score = lambda x: F.log(x["share"] / F.col("best") / FLOOR + 1) * UNIT
+    scores = F.transform("langs", lambda x: F.struct(x["lang"].alias("lang"), F.round(score(x)).cast("long").alias("v")))
+    return stage(per.select("word", "total", scores.alias("scores")), "entries")
+
+
+def _cache(entries: DataFrame, limit: int, width: int) -> tuple[dict[str, int], np.ndarray, bool]:
+    """The most frequent entries with their scores, and whether these are all:
+    all entries of at most WORD_LENGTH characters whose total reaches the
+    smallest bound that at most ``limit`` entries reach.  Bounds are eighths of
+    powers of two, so the driver reads a histogram of a few hundred rows, then
+    at most ``limit`` entries."""
+    short = F.char_length("word") <= WORD_LENGTH
     step = F.floor(8 * F.log2("total")).cast("int")
-    left, least = limit, None
-    for r in sorted(per.groupBy(step.alias("step")).count().collect(), reverse=True):
+    left, least, whole = limit, None, True
+    for r in sorted(entries.groupBy(short.alias("short"), step.alias("step")).count().collect(),
+                    key=lambda r: (r["short"], r["step"]), reverse=True):
         left -= r["count"]
-        if left < 0:
+        if left < 0 or not r["short"]:
+            whole = False
             break
         least = r["step"]
-    return [] if least is None else per.where(step >= least).collect()
+    rows = [] if least is None else entries.where(short & (step >= least)).collect()
+    scores = np.zeros((len(rows), width), dtype=np.int64)
+    for i, r in enumerate(rows):
+        for x in r["scores"]:
+            scores[i, x["lang"]] = x["v"]
+    return {r["word"]: i for i, r in enumerate(rows)}, scores, whole
 
 
 @dataclass
 class Model:
-    """Log frequencies per language; bounded by WORD_LIMIT and GRAM_LIMIT."""
+    """Scores per language: caches of frequent entries, bounded by WORD_LIMIT
+    and GRAM_LIMIT, and the tables of all entries where the caches do not hold
+    all of them."""
 
     languages: list[str]
     words: dict[str, int]
     word_scores: np.ndarray
     grams: dict[str, int]
     gram_scores: np.ndarray
+    tables: tuple[DataFrame, DataFrame] | None = None
 
-    def backoff(self, word: str) -> np.ndarray | None:
+    def cached_order(self, word: str) -> tuple[int, list[int]]:
+        """The longest order with a cached n-gram (0 if none has) and its
+        cached n-grams."""
         for n in ORDERS:
             rows = [i for i in map(self.grams.get, grams(word, n)) if i is not None]
             if rows:
-                return self.gram_scores[rows].mean(axis=0)
-        return None
-
+                return n, rows
+        return 0, []
 
-def _scores(rows: list, languages: list[str], orders: bool) -> tuple[dict[str, int], np.ndarray]:
-    """Log of an entry's relative frequency in each language, relative to the
-    language where it is most frequent and never below log(FLOOR), so neither
-    the amount of text learned per language nor a single word decides.
-    N-grams are relative to their own order."""
-    at = {lang: k for k, lang in enumerate(languages)}
-    counts = np.zeros((len(rows), len(languages)))
-    for i, r in enumerate(rows):
-        for x in r["langs"]:
-            counts[i, at[x["lang"]]] = x["n"]
-    kind = np.array([len(r["word"]) if orders else 0 for r in rows], dtype=int)
-    out = np.zeros_like(counts)
-    for k in np.unique(kind):
-        share = counts[kind == k] / np.maximum(counts[kind == k].sum(axis=0), 1)
-        out[kind == k] = np.log(share / share.max(axis=1, keepdims=True) + FLOOR)
-    return {r["word"]: i for i, r in enumerate(rows)}, out
+    def backoff(self, word: str) -> np.ndarray | None:
+        rows = self.cached_order(word)[1]
+        return self.gram_scores[rows].sum(axis=0) // len(rows) if rows else None
 
 
 def train(training: DataFrame) -> Model:
     """Learn from (text, lang)."""
     words = stage(word_counts(training), "word-counts")
     languages = sorted(r["lang"] for r in words.select("lang").distinct().collect())
-    return Model(languages, *_scores(_top(words, WORD_LIMIT), languages, False),
-                 *_scores(_top(gram_counts(words), GRAM_LIMIT), languages, True))
+    parts = stage(gram_counts(words), "gram-counts")
+    tables = _entries(words, languages, False), _entries(parts, languages, True)
+    *word_cache, all_words = _cache(tables[0], WORD_LIMIT, len(languages))
+    *gram_cache, all_grams = _cache(tables[1], GRAM_LIMIT, len(languages))
+    return Model(languages, *word_cache, *gram_cache, None if all_words and all_grams else tables)
 
 
 class Predictor:
@@ -168,39 +196,147 @@ class Predictor:
             self.unseen[word] = self.model.backoff(word)
         return self.unseen[word]
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def cached(self, text: str | None) -> tuple[int, np.ndarray, list[tuple[str, int]]]:
+        """Number of words (0 for a text without a letter), sum of the scores
+        of cached words, and the other words with their counts."""
         m = self.model
         words = WORD.findall(text.lower()) if text else []
+        total = np.zeros(len(m.languages), dtype=np.int64)
         if not m.languages or not any(w.isalpha() or any(map(str.isalpha, w)) for w in words):
-            return UNKNOWN, 0.0
-        total = np.zeros(len(m.languages))
+            return 0, total, []
         counts = Counter(words)
         known = [(i, n) for i, n in zip(map(m.words.get, counts), counts.values()) if i is not None]
         if known:
             rows, n = zip(*known)
-            total += np.array(n, dtype=float) @ m.word_scores[list(rows)]
-        if len(known) < len(counts):
-            for w, n in counts.items():
-                if w not in m.words:
-                    s = self._unseen(w)
-                    if s is not None:
-                        total += n * s
-        z = np.exp((total - total.max()) / np.sqrt(len(words)))
+            total += np.array(n, dtype=np.int64) @ m.word_scores[list(rows)]
+        return len(words), total, [(w, n) for w, n in counts.items() if w not in m.words]
+
+    def decide(self, words: int, total: np.ndarray) -> tuple[str, float]:
+        if not words:
+            return UNKNOWN, 0.0
+        z = np.exp((total - total.max()) / (UNIT * np.sqrt(words)))
         best = int(total.argmax())
-        return m.languages[best], float(z[best] / z.sum())
+        return self.model.languages[best], float(z[best] / z.sum())
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        """For a model whose caches hold all entries."""
+        words, total, others = self.cached(text)
+        for w, n in others:
+            s = self._unseen(w)
+            if s is not None:
+                total += n * s
+        return self.decide(words, total)
+
+
+def _backoff(words: DataFrame, shipped, grams_table: DataFrame) -> DataFrame:
+    """(id, scores) of distinct words (word, id) by their n-grams.  Cached n-grams are
+    summed in the tasks; those of the same or a longer order that are not
+    cached are joined with the table of all."""
+    entry = StructType.fromDDL(f"id long, kind int, gram string, times long, scores {ENTRY}")
+
+    def run(batches):
+        m = shipped.value
+        for b in batches:
+            rows = []
+            for word, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                least, found = m.cached_order(word)
+                if found:
+                    total = m.gram_scores[found].sum(axis=0)
+                    rows.append((key, least, None, len(found),
+                                 [{"lang": int(k), "v": int(total[k])} for k in total.nonzero()[0]]))
+                for order in ORDERS:
+                    if order >= least:
+                        rows += [(key, order, g, n, None) for g, n in Counter(grams(word, order)).items()
+                                 if g not in m.grams]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[k] for r in rows], t) for k, t in enumerate(
+                    (pa.int64(), pa.int32(), pa.string(), pa.int64(),
+                     pa.list_(pa.struct([("lang", pa.int32()), ("v", pa.int64())]))))], entry.names)
+
+    parts = stage(words.mapInArrow(run, entry), "gram-parts")
+    looked = (parts.where("gram is not null").drop("scores")
+              .join(grams_table.select(F.col("word").alias("gram"), "scores"), "gram")
+              .select("id", "kind", "times", F.transform("scores", lambda x: F.struct(
+                  x["lang"].alias("lang"), (x["v"] * F.col("times")).alias("v"))).alias("scores")))
+    found = parts.where("gram is null").select("id", "kind", "times", "scores").unionByName(looked)
+    # One row per language, and one without a language that counts the n-grams.
+    one = F.struct(F.lit(-1).alias("lang"), F.col("times").alias("v"))
+    sums = (found.select("id", "kind", F.explode(F.concat(F.array(one), "scores")).alias("x"))
+            .groupBy("id", "kind", "x.lang").agg(F.sum("x.v").alias("v")))
+    orders = sums.groupBy("id", "kind").agg(F.collect_list(F.struct("lang", "v")).alias("scores"))
+    top = orders.groupBy("id").agg(F.max_by("scores", "kind").alias("scores"))
+    times = F.filter("scores", lambda x: x["lang"] < 0)[0]["v"]
+    top = top.select("id", "scores", times.alias("times"))
+    mean = F.expr("transform(filter(scores, x -> x.lang >= 0), "
+                  "x -> named_struct('lang', x.lang, 'v', x.v div times))")
+    return top.select("id", mean.alias("scores"))
+
+
+def _look_up(partial: DataFrame, shipped, tables: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(__row, __found: list of (n, scores)) for the words of ``partial`` that
+    are not cached.  Each distinct word is looked up once; hot ones are split
+    by AQE, for both sides of the joins are plain exchanges."""
+    pairs = partial.select("__row", F.inline("__others").alias("word", "n"))
+    needed = pairs.select("word").distinct().join(tables[0].select("word", "scores"), "word", "left")
+    needed = stage(needed.withColumn("id", F.monotonically_increasing_id()), "needed")
+    unseen = needed.where("scores is null").select("word", "id")
+    by_grams = unseen.join(_backoff(unseen, shipped, tables[1]), "id").select("word", "scores")
+    found = stage(needed.where("scores is not null").select("word", "scores").unionByName(by_grams), "found")
+    return pairs.join(found, "word").groupBy("__row").agg(F.collect_list(F.struct("n", "scores")).alias("__found"))
 
 
 def identify(docs: DataFrame, model: Model, carry: tuple[str, ...]) -> DataFrame:
     """The ``carry`` columns with lang_pred and score of each row's text."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([docs.schema[c] for c in carry]).add("lang_pred", "string").add("score", "double")
+    shipped = docs.sparkSession.sparkContext.broadcast(replace(model, tables=None))
+    kept = StructType([docs.schema[c] for c in carry])
+    schema = StructType([*kept.fields]).add("lang_pred", "string").add("score", "double")
+
+    def answers(b, columns, found):
+        return pa.RecordBatch.from_arrays(
+            [*columns, pa.array([f[0] for f in found], pa.string()),
+             pa.array([f[1] for f in found], pa.float64())], schema.names)
 
     def run(batches):
         predictor = Predictor(shipped.value)
         for b in batches:
-            found = [predictor.predict(t) for t in b.column(0).to_pylist()]
+            yield answers(b, b.columns[1:], [predictor.predict(t) for t in b.column(0).to_pylist()])
+
+    if model.tables is None:
+        return docs.select(F.col("text").alias("__text"), *carry).mapInArrow(run, schema)
+
+    own = StructType.fromDDL("__row long, __words int, __total array<bigint>, "
+                             "__others array<struct<word:string,n:bigint>>")
+
+    def first(batches):
+        predictor = Predictor(shipped.value)
+        for b in batches:
+            found = [predictor.cached(t) for t in b.column(0).to_pylist()]
+            others = pa.StructArray.from_arrays(
+                [pa.array([w for f in found for w, _ in f[2]], pa.string()),
+                 pa.array([n for f in found for _, n in f[2]], pa.int64())], ["word", "n"])
+            ends = np.cumsum([0, *(len(f[2]) for f in found)])
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[1:], pa.array([f[0] for f in found], pa.string()),
-                 pa.array([f[1] for f in found], pa.float64())], schema.names)
+                [b.column(1), pa.array([f[0] for f in found], pa.int32()),
+                 pa.array([f[1] for f in found], pa.list_(pa.int64())),
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), others), *b.columns[2:]],
+                [*own.names, *kept.names])
 
-    return docs.select(F.col("text").alias("__text"), *carry).mapInArrow(run, schema)
+    def last(batches):
+        predictor = Predictor(shipped.value)
+        for b in batches:
+            if not len(b):
+                continue
+            totals = b.column(1).flatten().to_numpy().reshape(len(b), -1).copy()
+            n, scores = b.column(2).flatten().flatten()
+            row, entry = pc.list_parent_indices(b.column(2)).to_numpy(), pc.list_parent_indices(scores).to_numpy()
+            lang, v = scores.flatten().flatten()
+            np.add.at(totals, (row[entry], lang.to_numpy()), n.to_numpy()[entry] * v.to_numpy())
+            found = [predictor.decide(w, t) for w, t in zip(b.column(0).to_pylist(), totals)]
+            yield answers(b, b.columns[3:], found)
+
+    # Row numbers are fixed by the staged files.
+    partial = stage(docs.select(F.col("text").alias("__text"), F.monotonically_increasing_id().alias("__row"), *carry)
+                    .mapInArrow(first, StructType([*own.fields, *kept.fields])), "cached-scores")
+    looked = _look_up(partial, shipped, model.tables)
+    return (partial.join(looked, "__row", "left")
+            .select("__words", "__total", "__found", *carry).mapInArrow(last, schema))
