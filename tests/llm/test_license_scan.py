@@ -1,4 +1,6 @@
+import math
 import posixpath
+from collections import Counter
 
 import pytest
 
@@ -74,3 +76,31 @@ def test_inheritance_equals_a_walk_up(spark):
             while up and up not in held:
                 up = posixpath.dirname(up)
             assert (r.licence, r.from_dir) == ((held[up][2], up) if up in held else (None, None))
+
+
+def test_scores_are_tf_idf_over_the_corpus(spark):
+    """Words of no template weigh by the files that hold them, and by how
+    often a unit holds them."""
+    head = "foo.c - reads frames, frames\nCopyright 2019 Jane Doe\n"
+    rows = [(k, f"s/f{k}", head + "\n" + f"word{k} of file") for k in range(200)]
+    rows += [(1000 + k, f"t/f{k}", head + ls.TEMPLATES[name][-1].replace(" of ", "\nof "))
+             for k, name in enumerate(["GPL-3.0", "Apache-2.0", "MIT", "ISC"])]
+    rows += [(2000, "u/f", "rarely seen " * 9 + ls.TEMPLATES["MIT"][1]), (2000, "u/f", None)]
+    n = len(rows)
+    held = Counter(w for _, _, t in rows for w in set(ls.words_of(t or "")))
+
+    def vector(words):
+        return {w: c * (math.log((1 + n) / (1 + held[w])) + 1) for w, c in Counter(words).items()}
+
+    def cosine(a, b):
+        length = math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+        return sum(x * b.get(w, 0) for w, x in a.items()) / length
+
+    made = [(name, vector(ls.words_of(t))) for name, texts in ls.TEMPLATES.items() for t in texts]
+    want = []
+    for d, _, text in rows:
+        best = max(((cosine(vector(u), v), name) for u in ls.units_of(text or "") for name, v in made), default=(0, None))
+        want.append((d, best[1] if best[0] >= ls.THRESHOLD else None, round(best[0], 6) if best[0] >= ls.THRESHOLD else None))
+    got = [(r.doc_id, r.own, r.score and round(r.score, 6)) for r in ls.detect(files(spark, rows), carry=("doc_id",)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {r[1] for r in want if 1000 <= r[0] < 2000} == {"GPL-3.0", "Apache-2.0", "MIT", "ISC"}

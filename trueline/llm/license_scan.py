@@ -3,9 +3,10 @@
 A file's units are its lines and its paragraphs of several lines (runs of
 lines with words), so a notice is found wherever it stands in the whole
 text.  A unit's vector has its words' term frequency times inverse document
-frequency; document frequencies are counted over all files.  Words of no
-template cannot add to a product, so each only adds to the unit's length, as
-a word of its own with the weight of a word that no other file holds.  A unit
+frequency; document frequencies of all words are counted over all files.  Words
+of no template cannot add to a product, only to the unit's length; their
+frequencies stay in a table, which is joined to the units that could reach
+``threshold`` if all such words had the least weight there is.  A unit
 whose best cosine reaches ``threshold`` carries that template's licence; the
 file's licence is that of its best unit (ties: the template that comes first
 by name).
@@ -37,6 +38,8 @@ from pyspark.sql.types import StructType
 from trueline.llm.common import stage
 
 THRESHOLD = 0.6
+#: Words that a task counts before it hands them on.
+COUNTED_WORDS = 200_000
 WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|copyright)([-._][a-z0-9.-]*)?$"
 
@@ -123,28 +126,33 @@ def template_words(templates: dict[str, tuple[str, ...]]) -> set[str]:
     return {w for texts in templates.values() for t in texts for w in words_of(t)}
 
 
-def document_frequencies(files: DataFrame, vocabulary: set[str]) -> tuple[int, dict[str, int]]:
-    """(number of files, files that hold each template word)."""
+def document_frequencies(files: DataFrame) -> DataFrame:
+    """(word, files): files that hold each word; the word "" has their number."""
     def run(batches):
+        def rows():
+            return pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.string()),
+                                               "n": pa.array(list(counts.values()), pa.int64())})
+
+        counts: Counter = Counter()
         for b in batches:
-            counts: Counter = Counter({"": len(b)})
+            counts[""] += len(b)
             for text in b.column(0).to_pylist():
-                counts.update(vocabulary.intersection(words_of(text)))
-            yield pa.RecordBatch.from_pydict({"word": list(counts), "n": list(counts.values())})
+                counts.update(set(words_of(text)))
+                if len(counts) > COUNTED_WORDS:
+                    yield rows()
+                    counts.clear()
+        yield rows()
 
-    rows = (files.select(F.coalesce("text", F.lit(""))).mapInArrow(run, "word string, n long")
-            .groupBy("word").agg(F.sum("n").alias("n")).collect())  # one row per template word
-    found = {r["word"]: r["n"] for r in rows}
-    return found.pop("", 0), found
+    return (files.select(F.coalesce("text", F.lit(""))).mapInArrow(run, "word string, n long")
+            .groupBy("word").agg(F.sum("n").alias("files")))
 
 
 class Matcher:
     """Templates as sparse TF-IDF vectors of unit length."""
 
     def __init__(self, templates: dict[str, tuple[str, ...]], n: int, df: dict[str, int], threshold: float):
-        self.threshold = threshold
-        self.idf = {w: math.log((1 + n) / (1 + df.get(w, 0))) + 1 for w in sorted(template_words(templates))}
-        self.rare = (math.log(1 + n) + 1) ** 2
+        self.threshold, self.n, self.df = threshold, n, df
+        self.idf = {w: self.weight(df.get(w, 0)) for w in sorted(template_words(templates))}
         self.names: list[str] = []
         self.postings: dict[str, list[tuple[int, float]]] = {}
         for name in sorted(templates):
@@ -155,25 +163,47 @@ class Matcher:
                     self.postings.setdefault(w, []).append((len(self.names), c * self.idf[w] / length))
                 self.names.append(name)
 
-    def best(self, words: list[str]) -> tuple[float, str] | None:
-        """(cosine, licence) of a unit, if it reaches the threshold."""
-        tf: dict[str, int] = {}
-        for w in words:
-            if w in self.idf:
-                tf[w] = tf.get(w, 0) + 1
-        if not tf:
+    def weight(self, files: int) -> float:
+        """Inverse document frequency of a word that ``files`` files hold."""
+        return math.log((1 + self.n) / (1 + files)) + 1
+
+    def product(self, words: list[str]) -> tuple[float, str, float, dict[str, int]] | None:
+        """(best product, its licence, squared length of the template words,
+        other words) of a unit, if it can reach the threshold."""
+        tf = Counter(words)
+        others = {w: c for w, c in tf.items() if w not in self.idf}
+        if len(others) == len(tf):
             return None
-        known = sum((c * self.idf[w]) ** 2 for w, c in tf.items())
-        length = known + self.rare * (len(words) - sum(tf.values()))
-        if known < self.threshold ** 2 * length:  # a cosine is at most sqrt(known / length)
+        # In order of the words, so that equal units give equal sums.
+        known = sorted((w, c) for w, c in tf.items() if w in self.idf)
+        square = sum((c * self.idf[w]) ** 2 for w, c in known)
+        least = sum(c * c for c in others.values())  # no weight is below 1
+        if square < self.threshold ** 2 * (square + least) * (1 - 1e-9):  # a cosine is at most sqrt(known / length)
             return None
         dots = [0.0] * len(self.names)
-        for w, c in tf.items():
+        for w, c in known:
             for t, weight in self.postings[w]:
                 dots[t] += c * self.idf[w] * weight
         top = max(range(len(dots)), key=lambda t: (round(dots[t], 9), -t))
-        score = round(dots[top] / math.sqrt(length), 9)
-        return (score, self.names[top]) if score >= self.threshold else None
+        if self.score(dots[top], square, least) < self.threshold:
+            return None
+        return dots[top], self.names[top], square, others
+
+    def score(self, dot: float, square: float, others: float) -> float:
+        return round(dot / math.sqrt(square + others), 9)
+
+    def length(self, counts: list[tuple[int, int]]) -> float:
+        """Squared length of words (times in the unit, files that hold it)."""
+        return math.fsum((c * self.weight(files)) ** 2 for c, files in counts)
+
+    def best(self, words: list[str]) -> tuple[float, str] | None:
+        """(cosine, licence) of a unit, if it reaches the threshold."""
+        found = self.product(words)
+        if not found:
+            return None
+        dot, name, square, others = found
+        score = self.score(dot, square, self.length([(c, self.df.get(w, 0)) for w, c in others.items()]))
+        return (score, name) if score >= self.threshold else None
 
     def scan(self, text: str) -> tuple[float, str] | None:
         best = None
@@ -188,19 +218,47 @@ def detect(files: DataFrame, templates: dict[str, tuple[str, ...]] | None = None
            carry: tuple[str, ...] = ()) -> DataFrame:
     """The ``carry`` columns, path, own (licence or null) and score."""
     templates = templates or TEMPLATES
-    n, df = document_frequencies(files, template_words(templates))
-    matcher = Matcher(templates, n, df, threshold)
-    schema = StructType([files.schema[c] for c in carry]).add("path", "string").add("own", "string")
-    schema = schema.add("score", "double")
+    frequencies = stage(document_frequencies(files), "document-frequencies")
+    known = frequencies.where(F.col("word").isin("", *template_words(templates)))
+    df = {r["word"]: r["files"] for r in known.collect()}  # one row per template word
+    matcher = Matcher(templates, df.pop("", 0), df, threshold)
+    own = StructType.fromDDL("__row long, __units array<struct<dot:double,name:string,square:double,"
+                             "others:array<struct<word:string,n:bigint>>>>")
+    kept = [*(files.schema[c] for c in carry), files.schema["path"]]
+    units_type = pa.list_(pa.struct([
+        ("dot", pa.float64()), ("name", pa.string()), ("square", pa.float64()),
+        ("others", pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))]))
 
-    def run(batches):
+    def products(batches):
+        for b in batches:
+            units = [[{"dot": f[0], "name": f[1], "square": f[2],
+                       "others": [{"word": w, "n": c} for w, c in f[3].items()]}
+                      for f in map(matcher.product, units_of(t)) if f] for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(units, units_type), *b.columns[2:]],
+                                             [*own.names, *(k.name for k in kept)])
+
+    def scores(batches):
         for b in batches:
-            found = [matcher.scan(t) for t in b.column(0).to_pylist()]
+            rows = []
+            for row, dot, name, square, counts in zip(*(b.column(k).to_pylist() for k in range(5))):
+                others = matcher.length([(c["n"], c["files"]) for c in counts or ()])
+                rows.append((row, name, matcher.score(dot, square, others)))
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[1:], pa.array([f and f[1] for f in found], pa.string()),
-                 pa.array([f and f[0] for f in found], pa.float64())], schema.names)
+                [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.float64()))],
+                ["__row", "name", "value"])
 
-    return files.select(F.coalesce("text", F.lit("")).alias("__text"), *carry, "path").mapInArrow(run, schema)
+    # Row numbers are fixed by the staged files.
+    rows = files.select(F.coalesce("text", F.lit("")).alias("__text"),
+                        F.monotonically_increasing_id().alias("__row"), *carry, "path")
+    rows = stage(rows.mapInArrow(products, StructType([*own.fields, *kept])), "products")
+    units = rows.select("__row", F.posexplode("__units").alias("unit", "u")).select("__row", "unit", "u.*")
+    counts = (units.select("__row", "unit", F.inline("others")).join(frequencies, "word")
+              .groupBy("__row", "unit").agg(F.collect_list(F.struct("n", "files")).alias("counts")))
+    found = (units.join(counts, ["__row", "unit"], "left").select("__row", "dot", "name", "square", "counts")
+             .mapInArrow(scores, "__row long, name string, value double").where(F.col("value") >= threshold))
+    best = found.groupBy("__row").agg(F.min(F.struct((-F.col("value")).alias("s"), "name")).alias("best"))
+    return rows.join(best, "__row", "left").select(
+        *carry, "path", F.col("best.name").alias("own"), (-F.col("best.s")).alias("score"))
 
 
 def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, threshold: float = THRESHOLD,
