@@ -59,6 +59,21 @@ def test_near_duplicate_stage(spark, sf):
     assert pairs(out) == sorted(want, key=str)
 
 
+def test_near_duplicate_stage_keeps_one_document_per_component(spark, sf):
+    """Null ids, and an id that several rows with different texts share."""
+    one, two, three = (f"{w} " * 3 + " ".join(f"{w}{k}" for k in range(40)) for w in ("red", "green", "blue"))
+    rows = [(5, one), (5, two), (3, two.upper()), (None, one), (None, three), (None, f" {three}"), (5, f"{one} "),
+            (None, "quite another text that nobody else has written so far")]
+    docs = edge_docs(spark, [(d, t, "en", "a") for d, t in rows])
+    out = pairs(cp.drop_near_duplicates(spark, docs, sf))
+    fps = [simhash(t) for _, t in rows]
+    roots = components(len(rows), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 4)
+    assert len(set(roots)) == 4
+    kept = [[k for k, r in enumerate(rows) if r == x] for x in out]
+    assert all(len(k) == 1 for k in kept) and sorted(roots[k[0]] for k in kept) == sorted(set(roots))
+    assert [d for d, _ in out if d is not None] == [3, 5] and (5, two) not in out
+
+
 def test_decontamination_stage(spark, sf):
     rows = [(d, t) for d, t, *_ in edge_rows() + MORE]
     hit = {d for d, _ in contained(rows, [(1, ITEM)])}

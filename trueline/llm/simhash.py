@@ -37,6 +37,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from trueline.llm.common import stage
 from trueline.llm.components import connected_components
@@ -95,17 +96,20 @@ def fingerprints_of(texts: list[str], words: int) -> np.ndarray:
     return np.packbits(2 * total > size[:, None], axis=1).view(">i8").ravel().astype(np.int64)
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp) of every row."""
+def fingerprints(docs: DataFrame, words: int = WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) and the ``carry`` columns of every row."""
+    schema = StructType([*StructType.fromDDL("doc_id long, fp long"), *(docs.schema[c] for c in carry)])
+
     def run(batches):
         for b in batches:
             texts = b.column(1).to_pylist()
             fps = [fingerprints_of(texts[k:k + 256], words) for k in range(0, len(texts), 256)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(fps or [np.empty(0, np.int64)]))],
-                                             ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(fps or [np.empty(0, np.int64)])),
+                                              *b.columns[2:]], schema.names)
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return source.mapInArrow(run, "doc_id long, fp long")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
+                         *carry)
+    return source.mapInArrow(run, schema)
 
 
 # --- the plan of partitions and thresholds ----------------------------------
@@ -311,18 +315,23 @@ def links(fps: DataFrame, partitions: list[tuple[list[int], int]], tau: int) ->
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE,
+                    carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id among all documents
-    reachable over fingerprints that differ in at most ``distance`` bits."""
-    rows = stage(fingerprints(docs, words), "fingerprints")
+    reachable over fingerprints that differ in at most ``distance`` bits.
+    With ``carry``, also root, a fingerprint that names the component whatever
+    its ids are, and the ``carry`` columns."""
+    rows = stage(fingerprints(docs, words, carry), "fingerprints")
     fps = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     partitions = plan(fps, distance)
+    root = ["root"] if carry else []
     if not partitions:
-        return rows.join(fps, "fp").select("doc_id", "fp", F.col("first").alias("component_id"))
+        return rows.join(fps, "fp").withColumn("root", F.col("fp")).select(
+            "doc_id", "fp", F.col("first").alias("component_id"), *root, *carry)
     found = connected_components(links(fps, partitions, distance))
     rooted = fps.join(found, F.col("fp") == F.col("node"), "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = stage(rooted, "rooted")
     low = stage(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "component-ids")
-    named = stage(rooted.join(low, "root").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = stage(rooted.join(low, "root").select("fp", "component_id", *root), "named")
+    return rows.join(named, "fp").select("doc_id", "fp", "component_id", *root, *carry)
