@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trueline.llm import decontam, html_extract, knn, langid, license_scan, line_dedup, packing, pii, sharding, simhash
+from trueline.llm import (conversation_repair, decontam, html_extract, knn, langid, lexical_search, license_scan,
+                          line_dedup, packing, pii, sharding, simhash, substring_dedup)
 from trueline.llm.oracles import ORACLE_SQL  # noqa: F401  (for the entry point)
 
 
@@ -100,6 +101,25 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
                                     words=5, threshold=0.8)
 
 
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations, their faults and their cheapest repair."""
+    rows = _table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damage(rows), rows.select("conv_id").distinct())
+
+
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of 50-byte strings that a smaller document holds, removed."""
+    found = substring_dedup.dedupe_substrings(_table(spark, sf_dir, "documents"), length=50)
+    span = lambda s: s[1] - s[0]
+    return found.select("doc_id", "n_bytes", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + span(s)).alias("n_removed"),
+                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -111,4 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_html_extraction": op9_html_extraction,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_ranked_lexical_search": op11_ranked_lexical_search,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_suffix_array_dedup": op13_suffix_array_dedup,
 }
