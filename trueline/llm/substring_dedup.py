@@ -15,7 +15,7 @@ Plan, all on whole texts:
    the largest document.
 3. A task takes the labels of a bucket.  Labels that one document holds alone
    go.  The texts of the others' runs are laid out in tiles of at most
-   ``TILE`` symbols, whose suffix arrays are built by the linear grouping of
+   about ``TILE`` symbols, whose suffix arrays are built by the linear grouping of
    :mod:`suffix_groups`.  Neighbouring suffixes that agree on ``length`` bytes
    are one window, held by the smallest of its documents; windows of a label
    that spans several tiles are merged by their bytes.
@@ -44,11 +44,11 @@ from trueline.llm.common import stage
 from trueline.llm.suffix_groups import suffix_arrays
 
 #: Bytes of text in a unit (a longer text is a unit of its own).
-UNIT = 1 << 22
+UNIT = 1 << 20
 #: Bytes hashed for a label, and most windows in a run.
 ANCHOR, RUN = 20, 48
-#: Runs that a bucket receives on average.
-BUCKET = 500_000
+#: Labels, and runs with their texts, that a bucket receives on average.
+LABELS, BUCKET = 2_000_000, 150_000
 #: Symbols of a tile, and of the tiles that are sorted together.
 TILE, BATCH = 1024, 1 << 21
 NO_ID = np.iinfo(np.int64).max
@@ -181,45 +181,99 @@ def _unit_runs(row: dict, length: int) -> Runs:
     return Runs(row["ids"], row["lengths"], zstandard.ZstdDecompressor().decompress(row["texts"]), length)
 
 
-def _send(length: int, buckets: int):
-    """(bucket, unit, base, payload): the entries of a unit by ranges of labels."""
+def _ranges_of(labels: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each of ``buckets`` equal ranges begins in sorted labels, and the end."""
+    edges = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
+    return np.concatenate([[0], np.searchsorted(labels, edges), [len(labels)]])
+
+
+def _short(label: np.ndarray, bits: int) -> np.ndarray:
+    return label >> np.uint64(64 - bits)
+
+
+def _send_labels(length: int, buckets: int, bits: int):
+    """(bucket, unit, base, payload): the distinct shortened labels of a unit,
+    ascending, as differences."""
+    def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for row in batch.to_pylist():
+                short = np.unique(_short(_unit_runs(row, length).entry_label, bits))
+                cut = _ranges_of(short << np.uint64(64 - bits), buckets)
+                rows = [(k, row["unit"], int(cut[k]), squeeze.compress(
+                    np.diff(short[cut[k]:cut[k + 1]], prepend=np.uint64(0)).tobytes()))
+                    for k in range(buckets) if cut[k] < cut[k + 1]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[k] for r in rows], kind) for k, kind in
+                     enumerate((pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "unit", "base", "payload"])
+    return run
+
+
+def _met(table: pa.Table) -> pa.Table:
+    """Per unit: which of its labels another unit has too, as bits."""
+    parts = [np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint64), dtype=np.uint64)
+             for x in table.column("payload").to_pylist()]
+    _, which, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    shared = (count > 1)[which]
+    ends = np.cumsum([len(x) for x in parts])
+    return pa.table({"unit": table.column("unit"), "base": table.column("base"),
+                     "n": pa.array([len(x) for x in parts], pa.int64()),
+                     "bits": pa.array([np.packbits(x).tobytes() for x in np.split(shared, ends[:-1])], pa.binary()),
+                     "shared": pa.array([int(x.sum()) for x in np.split(shared, ends[:-1])], pa.int64())})
+
+
+def _candidates(runs: Runs, met: list[dict], bits: int) -> np.ndarray:
+    """Entries whose label another unit or another document of the unit has."""
+    short = np.unique(_short(runs.entry_label, bits))
+    flag = np.zeros(len(short), bool)
+    for part in met:
+        flag[part["base"]:part["base"] + part["n"]] = np.unpackbits(
+            np.frombuffer(part["bits"], np.uint8), count=part["n"]).view(bool)
+    wanted = flag[np.searchsorted(short, _short(runs.entry_label, bits))]
+    if len(wanted):
+        head = np.flatnonzero(np.concatenate([[True], np.diff(runs.entry_label) != 0]))
+        several = np.minimum.reduceat(runs.least, head) < np.maximum.reduceat(runs.most, head)
+        wanted |= np.repeat(several, np.diff(np.append(head, len(wanted))))
+    return np.flatnonzero(wanted)
+
+
+def _send(length: int, buckets: int, bits: int):
+    """(bucket, unit, payload): a unit's candidate entries by ranges of labels."""
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
-        edges = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
         for batch in batches:
             for row in batch.to_pylist():
                 runs = _unit_runs(row, length)
-                cut = np.concatenate([[0], np.searchsorted(runs.entry_label, edges), [len(runs.entry_label)]])
-                out = {"bucket": [], "unit": [], "base": [], "payload": []}
+                chosen = _candidates(runs, row["met"] or [], bits)
+                cut = _ranges_of(runs.entry_label[chosen], buckets)
+                rows = []
                 for k in range(buckets):
-                    entries = np.arange(cut[k], cut[k + 1])
-                    if not len(entries):
-                        continue
-                    size, texts = runs.texts_of(entries)
-                    head = np.int64(len(entries)).tobytes()
-                    body = b"".join([head, runs.entry_label[entries].tobytes(), runs.least[entries].tobytes(),
-                                     runs.most[entries].tobytes(), size.astype(np.int32).tobytes(), texts])
-                    for name, value in zip(out, (k, row["unit"], int(cut[k]), squeeze.compress(body))):
-                        out[name].append(value)
+                    entries = chosen[cut[k]:cut[k + 1]]
+                    if len(entries):
+                        size, texts = runs.texts_of(entries)
+                        rows.append((k, row["unit"], squeeze.compress(b"".join(
+                            [np.int64(len(entries)).tobytes(), runs.entry_label[entries].tobytes(),
+                             runs.least[entries].tobytes(), runs.most[entries].tobytes(), size.astype(np.int32).tobytes(),
+                             entries.astype(np.int32).tobytes(), texts]))))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out["bucket"], pa.int32()), pa.array(out["unit"], pa.int64()),
-                     pa.array(out["base"], pa.int64()), pa.array(out["payload"], pa.binary())], names=list(out))
+                    [pa.array([r[k] for r in rows], kind) for k, kind in
+                     enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "unit", "payload"])
     return run
 
 
 def _receive(payloads: list[bytes]):
-    """(label, least, most, size, texts, number of entries of each payload)."""
+    """(label, least, most, size, entry, texts, number of entries of each payload)."""
     parts = []
     for payload in payloads:
         body = zstandard.ZstdDecompressor().decompress(payload)
         n = int(np.frombuffer(body, np.int64, 1)[0])
         at, fields = 8, []
-        for kind in (np.uint64, np.int64, np.int64, np.int32):
+        for kind in (np.uint64, np.int64, np.int64, np.int32, np.int32):
             fields.append(np.frombuffer(body, kind, n, at))
             at += n * np.dtype(kind).itemsize
         parts.append((*fields, np.frombuffer(body, np.uint8, offset=at), n))
-    label, least, most, size, texts, n = zip(*parts)
-    return (*map(np.concatenate, (label, least, most, size, texts)), np.array(n))
+    *fields, n = zip(*parts)
+    return (*map(np.concatenate, fields), np.array(n))
 
 
 def _windows_equal(symbols: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
@@ -310,7 +364,7 @@ def _decide(length: int):
     """Per bucket: for every unit, (entry, first window, windows, smallest
     document) of the windows that a document smaller than the entry's largest holds."""
     def run(table: pa.Table) -> pa.Table:
-        label, least, most, size, texts, sent = _receive(table.column("payload").to_pylist())
+        label, least, most, size, place, texts, sent = _receive(table.column("payload").to_pylist())
         by = np.argsort(label, kind="stable")
         new = np.concatenate([[True], label[by][1:] != label[by][:-1]])
         head = np.flatnonzero(new)
@@ -331,11 +385,9 @@ def _decide(length: int):
             head, count = head[taken[head]], count[taken[head]]
             entry = chosen[entry_of[head]]
             source = np.repeat(np.arange(len(sent)), sent)
-            first = np.cumsum(sent) - sent
-            base = np.array(table.column("base").to_pylist(), np.int64)
             unit = np.array(table.column("unit").to_pylist(), np.int64)
             where = source[entry]
-            rows = np.stack([base[where] + entry - first[where], head - offset[entry_of[head]], count, found[head]])
+            rows = np.stack([place[entry], head - offset[entry_of[head]], count, found[head]])
             for k in np.unique(where):
                 units.append(int(unit[k]))
                 payloads.append(rows[:, where == k].tobytes())
@@ -390,9 +442,17 @@ def dedupe_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
     units = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         _pack, "unit long, n_bytes long, ids array<long>, lengths array<long>, texts binary"), "units")
     total = units.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(8, total // (BUCKET * (length - ANCHOR) // 2) if length > ANCHOR else total // BUCKET)
-    sent = units.mapInArrow(_send(length, int(buckets)), "bucket int, unit long, base long, payload binary")
-    found = stage(sent.repartition(int(buckets), "bucket").groupBy("bucket").applyInArrow(
+    labels = max(1, 2 * total // max(2, length - ANCHOR))             # about two runs per window length without an anchor
+    bits, buckets = min(63, labels.bit_length() + 8), max(8, labels // LABELS)
+    sent = units.select("unit", "ids", "lengths", "texts").mapInArrow(
+        _send_labels(length, buckets, bits), "bucket int, unit long, base long, payload binary")
+    met = stage(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(
+        _met, "unit long, base long, n long, bits binary, shared long"), "labels")
+    met_of = met.groupBy("unit").agg(F.collect_list(F.struct("base", "n", "bits")).alias("met"))
+    buckets = max(8, (met.agg(F.sum("shared")).first()[0] or 0) // BUCKET)
+    sent = units.join(met_of, "unit", "left").mapInArrow(
+        _send(length, buckets, bits), "bucket int, unit long, payload binary")
+    found = stage(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(
         _decide(length), "unit long, found binary"), "repeats")
     replies = found.groupBy("unit").agg(F.collect_list("found").alias("found"))
     return units.join(replies, "unit", "left").mapInArrow(
