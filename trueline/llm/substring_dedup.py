@@ -30,10 +30,10 @@ columns of the input are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -50,7 +50,7 @@ ANCHOR, RUN = 20, 48
 #: Labels, and runs with their texts, that a bucket receives on average.
 LABELS, BUCKET = 2_000_000, 150_000
 #: Symbols of a tile, and of the tiles that are sorted together.
-TILE, BATCH = 1024, 1 << 21
+TILE, BATCH = 512, 1 << 20
 NO_ID = np.iinfo(np.int64).max
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -83,6 +83,9 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield unit()
 
 
+_SPREAD = np.random.default_rng(13).integers(0, 1 << 63, 256, dtype=np.uint64)      # a number for every byte
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
@@ -90,7 +93,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def _substring_hashes(data: np.ndarray, size: int) -> np.ndarray:
     """Hash of every ``size`` bytes, by joining hashes of halves."""
-    joined, length, power = data.astype(np.uint64) + np.uint64(1), 1, _MULTIPLIER
+    joined, length, power = data.astype(np.uint64) + np.uint64(1), 1, np.array([_MULTIPLIER])
     total, covered = None, 0
     while True:
         if size & length:
@@ -106,6 +109,21 @@ def _substring_hashes(data: np.ndarray, size: int) -> np.ndarray:
         joined, power, length = joined[:n] * power + joined[length:length + n], power * power, 2 * length
 
 
+@functools.lru_cache(maxsize=1)
+def _powers_up_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    base = int(_MULTIPLIER) ^ 6
+    steps = [np.full(n, x, np.uint64) for x in (base, pow(base, -1, 1 << 64))]
+    for x in steps:
+        x[0] = 1
+    return np.cumprod(steps[0]), np.cumprod(steps[1])
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2 ** 64."""
+    power, inverse = _powers_up_to(max(2 * UNIT, 1 << n.bit_length()))
+    return power[:n], inverse[:n]
+
+
 def _window_least(h: np.ndarray, width: int) -> np.ndarray:
     """Least value of every ``width`` neighbours."""
     n, span = len(h) - width + 1, 1
@@ -126,35 +144,38 @@ class Runs:
         anchor = min(ANCHOR, length)
         n = len(self.data) - length + 1
         if n <= 0:
-            self.start = self.count = self.doc = self.entry = np.zeros(0, np.int64)
+            self.start = self.count = self.doc = np.zeros(0, np.int64)
             self.label = np.zeros(0, np.uint64)
-            self.entry_label, self.entry_run, self.least, self.most = self.label, self.start, self.start, self.start
             return
         label = _window_least(_substring_hashes(self.data, anchor), length - anchor + 1)[:n]
-        doc = np.repeat(np.arange(len(self.ends)), np.diff(np.concatenate([[0], self.ends])))[:n]
-        inside = np.arange(n) + length <= self.ends[doc]
         new = np.ones(n, bool)
-        new[1:] = (label[1:] != label[:-1]) | (doc[1:] != doc[:-1])
-        first = np.flatnonzero(new)
-        since = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
-        new |= since % RUN == 0
+        new[1:] = label[1:] != label[:-1]
+        begins = self.ends[:-1]
+        new[begins[begins < n]] = True
         start = np.flatnonzero(new)
-        count = np.add.reduceat(inside.astype(np.int64), start)       # windows over a text's end are last
+        size = np.diff(np.append(start, n))
+        pieces = -(-size // RUN)                                      # a long run is several
+        part = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start = np.repeat(start, pieces) + RUN * part
+        doc = np.searchsorted(self.ends, start, "right")
+        # windows over a text's end are the last of their run
+        count = np.minimum(np.diff(np.append(start, n)), self.ends[doc] - length + 1 - start)
         keep = count > 0
-        self.start, self.count = start[keep], count[keep]
-        self.label, self.doc = label[self.start], doc[self.start]
-        self._entries()
-
-    def _entries(self) -> None:
-        # texts of runs are compared by a second hash of their bytes
-        power = np.cumprod(np.full(RUN + self.length, _MULTIPLIER | np.uint64(6)), dtype=np.uint64)
-        mixed = _mix(self.data.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(7))
-        size = self.count + self.length - 1
-        digest = np.zeros(len(self.start), np.uint64)
-        for k in range(int(size.max())):
-            more = np.flatnonzero(size > k) if k >= self.length else slice(None)
-            digest[more] += mixed[self.start[more] + k] * power[k]
-        digest = _mix(digest)
+        self.start, self.count, self.doc = start[keep], count[keep], doc[keep]
+        self.label = _mix(label[self.start] + _MULTIPLIER)            # least values crowd near 0
+
+    def enter(self) -> "Runs":
+        """Number the entries."""
+        if not len(self.start):
+            self.entry = self.entry_run = self.least = self.most = self.start
+            self.entry_label = self.label
+            return self
+        # texts of runs are compared by a second hash of their bytes, from sums of powers
+        power, inverse = _powers(len(self.data) + 1)
+        sums = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum(_SPREAD[self.data] * power[:-1], out=sums[1:])
+        end = self.start + self.count + self.length - 1
+        digest = _mix((sums[end] - sums[self.start]) * inverse[self.start])
         by = np.lexsort((self.start, self.count, digest, self.label))
         same = np.zeros(len(by), bool)
         for x in (self.label, digest, self.count):
@@ -168,6 +189,7 @@ class Runs:
         self.entry_label = self.label[self.entry_run]
         owner = self.ids[self.doc[by]]
         self.least, self.most = np.minimum.reduceat(owner, head), np.maximum.reduceat(owner, head)
+        return self
 
     def texts_of(self, entries: np.ndarray) -> tuple[np.ndarray, bytes]:
         run = self.entry_run[entries]
@@ -198,7 +220,7 @@ def _send_labels(length: int, buckets: int, bits: int):
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for row in batch.to_pylist():
-                short = np.unique(_short(_unit_runs(row, length).entry_label, bits))
+                short = np.unique(_short(_unit_runs(row, length).label, bits))
                 cut = _ranges_of(short << np.uint64(64 - bits), buckets)
                 rows = [(k, row["unit"], int(cut[k]), squeeze.compress(
                     np.diff(short[cut[k]:cut[k + 1]], prepend=np.uint64(0)).tobytes()))
@@ -243,7 +265,7 @@ def _send(length: int, buckets: int, bits: int):
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for row in batch.to_pylist():
-                runs = _unit_runs(row, length)
+                runs = _unit_runs(row, length).enter()
                 chosen = _candidates(runs, row["met"] or [], bits)
                 cut = _ranges_of(runs.entry_label[chosen], buckets)
                 rows = []
@@ -276,12 +298,16 @@ def _receive(payloads: list[bytes]):
     return (*map(np.concatenate, fields), np.array(n))
 
 
-def _windows_equal(symbols: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
-    """Whether the ``length`` symbols from a and from b agree."""
-    same = np.ones(len(a), bool)
-    for k in range(length):
-        at = np.flatnonzero(same) if k else slice(None)
-        same[at] = symbols[a[at] + k] == symbols[b[at] + k]
+def _windows_equal(texts: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether the ``length`` bytes from a and from b agree."""
+    wide = 8 if length >= 8 else 1
+    words = np.lib.stride_tricks.as_strided(texts[:1].view(np.uint8), (len(texts) - wide + 1, wide), (1, 1))
+    words = words.view(np.uint64)[:, 0] if wide == 8 else texts
+    left = np.arange(len(a))
+    for k in sorted({*range(0, length - wide + 1, wide), length - wide}, reverse=True):
+        left = left[words[a[left] + k] == words[b[left] + k]]
+    same = np.zeros(len(a), bool)
+    same[left] = True
     return same
 
 
@@ -341,7 +367,8 @@ def _sort_tiles(part: slice, starts, label, least, size, texts, text_at, offset,
     a, b = order[:-1], order[1:]
     joined = (label[part][run_of[a]] == label[part][run_of[b]]) & (tile_of[run_of[a]] == tile_of[run_of[b]])
     pairs = np.flatnonzero(joined)
-    joined[pairs] = _windows_equal(symbols, a[pairs], b[pairs], length)
+    byte_at = text_at[part][run_of[order]] + inside[order]
+    joined[pairs] = _windows_equal(texts, byte_at[pairs], byte_at[pairs + 1], length)
     head = np.flatnonzero(np.concatenate([[True], ~joined]))
     owner = least[part][run_of[order]]
     lowest = np.minimum.reduceat(owner, head)
@@ -372,12 +399,20 @@ def _decide(length: int):
         chosen = by[np.repeat(several, np.diff(np.append(head, len(by))))]
         units, payloads = [], []
         if len(chosen):
+            # copies from other units are one text, held by the smallest document
             begins = np.cumsum(size.astype(np.int64)) - size
-            span = size[chosen].astype(np.int64)
-            before = np.cumsum(span) - span
-            own = texts[np.repeat(begins[chosen] - before, span) + np.arange(int(span.sum()))]
-            offset, found = _least_by_window(label[chosen], least[chosen], span, own, length)
-            entry_of = np.repeat(np.arange(len(chosen)), span - length + 1)
+            raw, known = texts.tobytes(), {}
+            text_of = np.array([known.setdefault(raw[x:x + n], len(known))
+                                for x, n in zip(begins[chosen].tolist(), size[chosen].tolist())], np.int64)
+            head = np.unique(text_of, return_index=True)[1]
+            lowest = np.full(len(head), NO_ID, np.int64)
+            np.minimum.at(lowest, text_of, least[chosen])
+            own = np.frombuffer(b"".join(known), np.uint8)
+            offset, least_of = _least_by_window(label[chosen[head]], lowest, size[chosen[head]].astype(np.int64), own, length)
+            n_windows = size[chosen].astype(np.int64) - length + 1
+            first = np.cumsum(n_windows) - n_windows
+            entry_of = np.repeat(np.arange(len(chosen)), n_windows)
+            found = least_of[np.repeat(offset[text_of] - first, n_windows) + np.arange(len(entry_of))]
             taken = found < most[chosen][entry_of]
             new = np.concatenate([[True], (entry_of[1:] != entry_of[:-1]) | (found[1:] != found[:-1])])
             head = np.flatnonzero(new)
@@ -387,7 +422,7 @@ def _decide(length: int):
             source = np.repeat(np.arange(len(sent)), sent)
             unit = np.array(table.column("unit").to_pylist(), np.int64)
             where = source[entry]
-            rows = np.stack([place[entry], head - offset[entry_of[head]], count, found[head]])
+            rows = np.stack([place[entry], head - first[entry_of[head]], count, found[head]])
             for k in np.unique(where):
                 units.append(int(unit[k]))
                 payloads.append(rows[:, where == k].tobytes())
@@ -403,6 +438,7 @@ def _apply(length: int):
                 runs = _unit_runs(row, length)
                 edge = np.zeros(len(runs.data) + 1, np.int32)
                 if row["found"]:
+                    runs.enter()
                     entry, first, count, least = np.concatenate(
                         [np.frombuffer(x, np.int64).reshape(4, -1) for x in row["found"]], axis=1)
                     by = np.argsort(entry, kind="stable")

@@ -34,22 +34,23 @@ class SuffixGroups:
     """
 
     def __init__(self, symbols: np.ndarray, ends: np.ndarray):
-        self.high = ends.astype(np.int64)
-        self.low = np.concatenate([[0], self.high[:-1]]).astype(np.int64)
         n = len(symbols)
+        kind = np.int32 if n < 1 << 31 else np.int64
+        self.high = ends.astype(kind)
+        self.low = np.concatenate([[0], self.high[:-1]]).astype(kind)
         self.text_of = np.repeat(np.arange(len(ends)), self.high - self.low)
         key = self.text_of * (int(symbols.max()) + 1 if n else 1) + symbols
-        self.order = np.argsort(key, kind="stable")
+        self.order = np.argsort(key, kind="stable").astype(kind)
         first = np.concatenate([[True], np.diff(key[self.order]) != 0]) if n else np.zeros(0, bool)
         starts = np.flatnonzero(first)
-        self.size = np.zeros(n, np.int64)
+        self.size = np.zeros(n, kind)
         self.size[starts] = np.diff(np.append(starts, n))
-        self.place = np.empty(n, np.int64)
+        self.place = np.empty(n, kind)
         self.place[self.order] = np.arange(n)
-        self.group = np.empty(n, np.int64)
+        self.group = np.empty(n, kind)
         self.group[self.order] = np.repeat(starts, self.size[starts])
-        self.previous = np.full(n, -1, np.int64)
-        self.seen = np.full(n, -1, np.int64)
+        self.previous = np.full(n, -1, kind)
+        self.seen = np.full(n, -1, kind)
 
     def _pointers(self, s: np.ndarray, group: np.ndarray, low: np.ndarray) -> np.ndarray:
         """Nearest position left of each s whose group is smaller; below
@@ -104,15 +105,16 @@ class SuffixGroups:
             self.previous[s] = np.where(q >= low, q, -1)
             p = q[q >= low]
             if len(p):
-                p, times = np.unique(p, return_counts=True)
-                self._append(p, times, step)
+                p.sort()
+                head = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+                self._append(p[head], np.diff(np.append(head, len(p))), step)
             step += 1
             live = live[high[live] > self.low[live]]
 
     def emit(self) -> np.ndarray:
         """Phase two: all suffixes in order, text after text."""
-        out = np.empty(len(self.order), np.int64)
-        front = np.arange(len(self.order))
+        out = np.empty_like(self.order)
+        front = np.arange(len(self.order), dtype=self.order.dtype)
         placed = np.zeros(len(self.order), bool)
         ends = self.high - 1
         some = self.high > self.low
