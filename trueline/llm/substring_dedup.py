@@ -59,7 +59,7 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Units of (doc_id, text) rows."""
     part = TaskContext.get().partitionId()
-    squeeze = zstandard.ZstdCompressor(level=1)
+    squeeze = zstandard.ZstdCompressor(level=3)
     ids, texts, held, n = [], [], 0, 0
 
     def unit():
@@ -217,7 +217,7 @@ def _send_labels(length: int, buckets: int, bits: int):
     """(bucket, unit, base, payload): the distinct shortened labels of a unit,
     ascending, as differences."""
     def run(batches):
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for row in batch.to_pylist():
                 short = np.unique(_short(_unit_runs(row, length).label, bits))
@@ -262,7 +262,7 @@ def _candidates(runs: Runs, met: list[dict], bits: int) -> np.ndarray:
 def _send(length: int, buckets: int, bits: int):
     """(bucket, unit, payload): a unit's candidate entries by ranges of labels."""
     def run(batches):
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for row in batch.to_pylist():
                 runs = _unit_runs(row, length).enter()
@@ -312,27 +312,32 @@ def _windows_equal(texts: np.ndarray, a: np.ndarray, b: np.ndarray, length: int)
 
 
 def _least_by_window(label, least, size, texts, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every window of every run (runs sorted by label): the run and the
-    smallest document that holds the window, windows in order."""
+    """For every window of every run (distinct, sorted by label): where the
+    run's windows begin, and the smallest document that holds the window."""
     n_windows = size - length + 1
     offset = np.cumsum(n_windows) - n_windows
-    found = np.full(int(n_windows.sum()), NO_ID, np.int64)
+    found = np.repeat(least, n_windows)
     text_at = np.cumsum(size) - size
+    # a run alone under its label has no other text that could hold its windows
+    other = np.zeros(len(label), bool)
+    other[1:] = label[1:] == label[:-1]
+    other[:-1] |= other[1:]
+    runs = np.flatnonzero(other)
+    label, least, size, text_at, first = label[runs], least[runs], size[runs], text_at[runs], offset[runs]
     # tiles: neighbouring runs, with a separator after each and a last symbol
     tile = (np.cumsum(size + 1) - size - 1) // TILE
-    heads = np.flatnonzero(np.concatenate([[True], np.diff(tile) != 0]))
+    heads = np.flatnonzero(np.concatenate([[True], np.diff(tile) != 0])) if len(runs) else runs
     spread = []
     begin = 0
     while begin < len(heads):
         stop = int(np.searchsorted(tile[heads], tile[heads[begin]] + BATCH // TILE))
         lo, hi = heads[begin], heads[stop] if stop < len(heads) else len(size)
         starts = heads[begin:stop] - lo
-        spread.append(_sort_tiles(slice(lo, hi), starts, label, least, size, texts, text_at, offset, length, found))
+        spread.append(_sort_tiles(slice(lo, hi), starts, label, least, size, texts, text_at, first, length, found))
         begin = stop
     # labels in several tiles: the classes of all tiles meet by their bytes
-    runs, windows = (np.concatenate(x) for x in zip(*spread))
-    if len(runs):
-        at = text_at[runs] + windows - offset[runs]
+    at, windows = (np.concatenate(x) for x in zip(*spread)) if spread else (runs, runs)
+    if len(at):
         rows = np.lib.stride_tricks.sliding_window_view(texts, length)[at]
         key = np.ascontiguousarray(rows).view(np.dtype((np.void, length))).ravel()
         _, which = np.unique(key, return_inverse=True)
@@ -343,8 +348,8 @@ def _least_by_window(label, least, size, texts, length: int) -> tuple[np.ndarray
 
 
 def _sort_tiles(part: slice, starts, label, least, size, texts, text_at, offset, length, found):
-    """Fill ``found`` for the runs of ``part``; returns (run, window) of the
-    windows whose label spans tiles."""
+    """Fill ``found`` for the runs of ``part``; returns (place in ``texts``,
+    window) of the windows whose label spans tiles."""
     sizes = size[part].astype(np.int64)
     n = len(sizes)
     last = np.zeros(n, bool)
@@ -352,8 +357,9 @@ def _sort_tiles(part: slice, starts, label, least, size, texts, text_at, offset,
     room = sizes + 1 + last
     at = np.cumsum(room) - room
     symbols = np.ones(int(room.sum()), np.int64)               # separators
-    body = text_at[part.start] + np.arange(int(sizes.sum()))
-    place = np.repeat(at - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+    before, within = np.cumsum(sizes) - sizes, np.arange(int(sizes.sum()))
+    body = np.repeat(text_at[part] - before, sizes) + within
+    place = np.repeat(at - before, sizes) + within
     symbols[place] = texts[body].astype(np.int64) + 2
     ends = np.append(at[starts[1:]], len(symbols))
     symbols[ends - 1] = 0
@@ -384,7 +390,7 @@ def _sort_tiles(part: slice, starts, label, least, size, texts, text_at, offset,
     if not shared:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     wide = np.isin(tags[run_of[order]], np.array(shared, np.uint64))
-    return part.start + run_of[order[wide]], window[wide]
+    return byte_at[wide], window[wide]
 
 
 def _decide(length: int):
