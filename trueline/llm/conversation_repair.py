@@ -130,18 +130,19 @@ class _Stretch:
         self.steps = []
 
     def row(self, task: int, whole: bool):
-        if whole and self.items is None:            # the whole conversation: straight to the goal
+        """``whole``: no other task has rows of the conversation."""
+        if whole and self.items is None:            # straight to the goal
             found = lightest(self.steps, START, insert=True, goal=GOAL)
-            items = [(START, q, *w) for q, w in found.items()]
         else:
             if self.steps:
                 self._join()
-            items = [(p, *x) for p in self.items for x in self.items[p]]
-        return (self.conv, task, [list(x) for x in zip(*items)], self.illegal, self.first, self.last)
+            found = lightest([self.items], START, insert=False, goal=GOAL) if whole else {}
+        items = [(START, q, *w) for q, w in found.items()] if whole else [(p, *x) for p in self.items for x in self.items[p]]
+        return (self.conv, task, [list(x) for x in zip(*items)], self.illegal, self.first, self.last, whole)
 
 
 _STRETCH = ("conv_id long, task int, p array<int>, q array<int>, cost array<long>, audit array<string>, "
-            "illegal long, first string, last string")
+            "illegal long, first string, last string, whole boolean")
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,11 +151,11 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, out = None, []
 
     def flush(rows):
-        names = ("conv_id", "task", "p", "q", "cost", "audit", "illegal", "first", "last")
+        names = ("conv_id", "task", "p", "q", "cost", "audit", "illegal", "first", "last", "whole")
         kinds = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()),
-                 pa.list_(pa.string()), pa.int64(), pa.string(), pa.string())
+                 pa.list_(pa.string()), pa.int64(), pa.string(), pa.string(), pa.bool_())
         columns = [[r[0] for r in rows], [r[1] for r in rows], *[[r[2][k] for r in rows] for k in range(4)],
-                   *[[r[k] for r in rows] for k in (3, 4, 5)]]
+                   *[[r[k] for r in rows] for k in (3, 4, 5, 6)]]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=list(names))
 
     n_seen = 0
@@ -248,7 +249,10 @@ def _audits(found: DataFrame) -> DataFrame:
     ready = found.repartitionByRange(*order).sortWithinPartitions(*order).select(
         "conv_id", "initial", (F.col("blank") | F.col("repeated")).alias("forced"), "open", "copies")
     stretches = stage(ready.mapInArrow(_stretches, _STRETCH), "stretches")
-    return stretches.groupBy("conv_id").applyInPandas(_goal, "conv_id long, illegal long, cost long, audit string")
+    parts = stretches.where("not whole").groupBy("conv_id").applyInPandas(
+        _goal, "conv_id long, illegal long, cost long, audit string")
+    return stretches.where("whole").select("conv_id", "illegal", F.col("cost")[0].alias("cost"),
+                                           F.col("audit")[0].alias("audit")).unionByName(parts)
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
