@@ -36,7 +36,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +46,10 @@ CAPACITY = 2048
 #: of a length's demand that one round may move; the share of a fractional
 #: pattern count that rounding keeps (best fit packs the rest).
 ROUNDS, RATE, STEP, KEEP = 40, 0.5, 0.25, 0.9
-#: Words in each of the two generations of a worker's token cache.
-CACHE_WORDS = 250_000
+#: Words, and pieces of words, in a worker's token caches.
+CACHE_WORDS, CACHE_PIECES = 500_000, 100_000
+# Fixed value: signs that are no part of 's and its like.
+ENDS = tuple(",.!?;:")
 #: Longer words are always encoded by the whole tokenizer.
 LONG_WORD = 200
 #: Characters of text that are split into words at once.
@@ -57,6 +58,28 @@ CHUNK_CHARS = 1_000_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+class _Words(dict):
+    """Words (each with its space) of one lookup: filled on a miss, emptied
+    at CACHE_WORDS entries."""
+
+    def __init__(self, coder: "TokenBytes"):
+        super().__init__()
+        self.coder = coder
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        coder = self.coder
+        if word.isalpha() and len(word) < LONG_WORD and coder.PLAIN.fullmatch(word):
+            value = coder.letters(word)
+        elif word[-1:] in ENDS and word[:-1].isalpha():      # the sign is a piece of its own
+            value = self[word[:-1]] + coder.piece(word[-1])
+        else:
+            value = coder.word(" " + word)
+        self[word] = value
+        return value
+
+
 class TokenBytes:
     """Token ids of a text as little-endian unsigned 32-bit bytes.
 
@@ -64,71 +87,82 @@ class TokenBytes:
     following space, and a lone space always opens the next token, so a text
     without double spaces is the concatenation of its space-separated words,
     each encoded with its space.  Words are encoded once per worker and
-    cached.  Within a word of plain Latin characters the pre-tokeniser's
-    pattern gives the pieces, and the tokenizer's model encodes each distinct
-    piece; other words go through the whole tokenizer.  Texts where the split
-    does not hold (runs of white space with spaces, added tokens) are encoded
-    whole.
+    cached, in one lookup a word.  Within a word of plain Latin characters the
+    pre-tokeniser's pattern gives the pieces, and the tokenizer's model encodes
+    each distinct piece; other words go through the whole tokenizer.  Texts
+    where the split does not hold (runs of white space with spaces, added
+    tokens) are encoded whole.
     """
 
-    # Fixed value: the pre-tokeniser's pattern.
-    PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+    # Fixed value: the pre-tokeniser's pattern, its letters and digits being
+    # those of PLAIN.
+    LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+    PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+")
     PLAIN = re.compile("[\t\n\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.words = _Words(self)
+        self.heads: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.model = self.tok.model.tokenize
+        self.raw = [struct.pack("<I", k) for k in range(self.tok.get_vocab_size(with_added_tokens=True))]
         # The byte-level alphabet: printable Latin-1 bytes stand for themselves,
         # the others are numbered from 256.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.alphabet = {b: chr(256 + k) for k, b in enumerate(hidden)}
-
-    def _piece(self, piece: str) -> bytes:
-        raw = self.pieces.get(piece)
-        if raw is None:
-            if len(self.pieces) >= CACHE_WORDS:
+        self.space = self.alphabet[32]
+
+    def letters(self, word: str) -> bytes:
+        """A word of plain letters, with its space: one piece."""
+        raw = self.raw
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.alphabet)
+        return b"".join([raw[t.id] for t in self.model(self.space + word)])
+
+    def piece(self, piece: str) -> bytes:
+        value = self.pieces.get(piece)
+        if value is None:
+            raw, shown = self.raw, piece.encode().decode("latin-1").translate(self.alphabet)
+            value = b"".join([raw[t.id] for t in self.model(shown)])
+            if len(self.pieces) >= CACHE_PIECES:
                 self.pieces.clear()
-            ids = [t.id for t in self.tok.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]
-            raw = self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
-        return raw
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes()
-                for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+            self.pieces[piece] = value
+        return value
+
+    def word(self, word: str) -> bytes:
+        if len(word) < LONG_WORD and self.PLAIN.fullmatch(word):
+            return b"".join(map(self.piece, self.PIECES.findall(word)))
+        return self._encode(word)
+
+    def _head(self, word: str) -> bytes:
+        value = self.heads.get(word)
+        if value is None:
+            if len(self.heads) >= CACHE_PIECES:
+                self.heads.clear()
+            value = self.heads[word] = self.word(word)
+        return value
+
+    def _encode(self, text: str) -> bytes:
+        ids = self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return np.array(ids, dtype="<u4").tobytes()
 
     def _split(self, text: str) -> bool:
         return not ("  " in text or (text.endswith(" ") and text[:-1][-1:].isspace())
                     or any(a in text for a in self.added))
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        words = [t.split(" ") if self._split(t) else None for t in texts]
-        need = set()
-        for w in words:
-            if w:
-                need.update(w)
-        if len(self.cache) > CACHE_WORDS:
-            self.cache, self.old = {}, self.cache
-        cache = self.cache
-        old, missing = self.old, []
-        for word in need:
-            if word in cache:
-                continue
-            if word in old:
-                cache[word] = old[word]
-            elif len(word) < LONG_WORD and self.PLAIN.fullmatch(word):
-                cache[word] = b"".join(map(self._piece, self.PIECES.findall(" " + word)))
+        of, out = self.words.__getitem__, []
+        for text in texts:
+            if self._split(text):
+                head, *tail = text.split(" ")
+                out.append(self._head(head) + b"".join(map(of, tail)))
             else:
-                missing.append(word)
-        cache.update(zip(missing, self._encode([" " + m for m in missing])))
-        whole = [t if w is None else w[0] for t, w in zip(texts, words)]
-        heads = self._encode(whole)
-        return [h if w is None or len(w) == 1 else h + b"".join(map(cache.__getitem__, w[1:]))
-                for h, w in zip(heads, words)]
+                out.append(self._encode(text))
+        return out
 
 
 @lru_cache(maxsize=2)
