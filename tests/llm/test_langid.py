@@ -83,3 +83,71 @@ def test_every_entry_counts_whatever_the_cache_holds(spark, monkeypatch):
         cached = langid.identify(docs, model, carry=("key", "row")).collect()
         assert len(cached) == len(texts)
         assert {r.key: (r.lang_pred, r.score) for r in cached} == whole
+
+
+def plain_scorer(training, texts):
+    """Predictions from dictionaries, entry by entry."""
+    import math
+    from collections import Counter, defaultdict
+    words = defaultdict(Counter)
+    for text, lang in training:
+        words[lang].update(langid.WORD.findall(text.lower()))
+    grams = defaultdict(Counter)
+    for lang, c in words.items():
+        for w, n in c.items():
+            for order in (4, 3, 2, 1):
+                for g in langid.grams(w, order):
+                    grams[lang][g] += n
+    languages = sorted(words)
+
+    def table(counts):
+        totals = Counter()
+        for lang, c in counts.items():
+            for e, n in c.items():
+                totals[lang, len(e) if counts is grams else 0] += n
+        out = {}
+        for e in {e for c in counts.values() for e in c}:
+            kind = len(e) if counts is grams else 0
+            share = {lang: counts[lang][e] / totals[lang, kind] for lang in languages if counts[lang][e]}
+            best = max(share.values())
+            out[e] = [math.floor(math.log(share[lang] / best / langid.FLOOR + 1) * langid.UNIT + 0.5) if lang in share else 0
+                      for lang in languages]
+        return out
+
+    of_word, of_gram = table(words), table(grams)
+    out = []
+    for text in texts:
+        found = langid.WORD.findall(text.lower())
+        total = [0] * len(languages)
+        for w in found:
+            if w in of_word:
+                own = of_word[w]
+            else:
+                own = [0] * len(languages)
+                for order in (4, 3, 2, 1):
+                    known = [of_gram[g] for g in langid.grams(w, order) if g in of_gram]
+                    if known:
+                        own = [sum(x) // len(known) for x in zip(*known)]
+                        break
+            total = [a + b for a, b in zip(total, own)]
+        z = [math.exp((t - max(total)) / (langid.UNIT * math.sqrt(len(found)))) for t in total]
+        out.append((languages[total.index(max(total))], max(z) / sum(z)))
+    return out
+
+
+def test_equals_a_plain_scorer(spark, monkeypatch):
+    """With caches that hold nearly nothing, so that the joins decide."""
+    import random
+    rng = random.Random(4)
+    parts = {"aa": ["ka", "lo", "mi", "ste", "qu"], "bb": ["lo", "zer", "ung", "ka", "ö"], "cc": ["mi", "xo", "rr", "é"]}
+    word = lambda lang: "".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 4)))
+    text = lambda lang: " ".join(word(lang) for _ in range(rng.randint(1, 30)))
+    training = [(text(lang), lang) for lang in parts for _ in range(25)]
+    texts = [text(rng.choice(list(parts))) + " " + "w" * rng.randint(0, 50) for _ in range(60)]
+    monkeypatch.setattr(langid, "WORD_LIMIT", 12)
+    monkeypatch.setattr(langid, "GRAM_LIMIT", 12)
+    model = langid.train(spark.createDataFrame(training, "text string, lang string"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, model, carry=("doc_id",)).collect()}
+    for k, (lang, score) in enumerate(plain_scorer(training, texts)):
+        assert got[k][0] == lang and abs(got[k][1] - score) < 1e-6

@@ -47,6 +47,8 @@ FLOOR = 0.01
 UNIT = 1 << 20
 ENTRY = "array<struct<lang:int,v:bigint>>"
 CACHE_WORDS = 200_000
+#: Words counted up to so often share the counting of their n-grams.
+ALIKE = 8
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -62,40 +64,64 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3 == 1
 
 
-def word_counts(training: DataFrame) -> DataFrame:
-    """(lang, word, n) over all rows of ``training`` (text, lang)."""
+def _by_entry(rows: DataFrame) -> DataFrame:
+    """(word, langs array<struct<lang, n>>) from (lang, word, n) rows that the
+    tasks have counted: one exchange, by word, serves both groupings."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (rows.repartition(tasks, "word").groupBy("word", "lang").agg(F.sum("n").alias("n"))
+            .groupBy("word").agg(F.collect_list(F.struct("lang", "n")).alias("langs")))
+
+
+def _counted(counts: dict[str, Counter]) -> pa.RecordBatch:
+    size = sum(map(len, counts.values()))
+    words = pa.array((w for c in counts.values() for w in c), pa.string(), size=size)
+    n = pa.array((n for c in counts.values() for n in c.values()), pa.int64(), size=size)
+    langs = pa.DictionaryArray.from_arrays(
+        pa.array(np.repeat(np.arange(len(counts)), [len(c) for c in counts.values()]), pa.int32()),
+        pa.array(list(counts), pa.string())).cast(pa.string())
+    return pa.RecordBatch.from_arrays([langs, words, n], ["lang", "word", "n"])
+
+
+def _word_table(training: DataFrame) -> DataFrame:
+    """(word, langs) over all rows of ``training`` (text, lang)."""
     def run(batches):
         for b in batches:
             counts: dict[str, Counter] = {}
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 counts.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
-            rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))],
-                ["lang", "word", "n"])
+            yield _counted(counts)
 
     rows = training.where("text is not null and lang is not null").select("text", "lang")
-    return (rows.mapInArrow(run, "lang string, word string, n long")
-            .groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    return _by_entry(rows.mapInArrow(run, "lang string, word string, n long"))
+
+
+def word_counts(training: DataFrame) -> DataFrame:
+    """(lang, word, n) over all rows of ``training`` (text, lang)."""
+    return _word_table(training).select(F.inline("langs"), "word").select("lang", "word", "n")
 
 
 def gram_counts(words: DataFrame) -> DataFrame:
-    """(lang, gram, n) over the counted words, all orders."""
+    """(word, langs) of the n-grams over the counted words, all orders."""
     def run(batches):
         for b in batches:
             counts: dict[str, Counter] = {}
-            for lang, word, n in zip(*(b.column(k).to_pylist() for k in range(3))):
+            alike: dict[tuple[str, int], Counter] = {}       # words that count the same are counted together
+            for word, langs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = [g for order in ORDERS for g in grams(word, order)]
+                for x in langs:
+                    if x["n"] <= ALIKE:
+                        alike.setdefault((x["lang"], x["n"]), Counter()).update(own)
+                    else:
+                        c = counts.setdefault(x["lang"], Counter())
+                        for g in own:
+                            c[g] += x["n"]
+            for (lang, n), same in alike.items():
                 c = counts.setdefault(lang, Counter())
-                for order in ORDERS:
-                    for g in grams(word, order):
-                        c[g] += n
-            rows = [(lang, g, n) for lang, c in counts.items() for g, n in c.items()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))],
-                ["lang", "word", "n"])
+                for g, k in same.items():
+                    c[g] += n * k
+            yield _counted(counts)
 
-    return (words.select("lang", "word", "n").mapInArrow(run, "lang string, word string, n long")
-            .groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    return _by_entry(words.mapInArrow(run, "lang string, word string, n long"))
 
 
 def _entries(counts: DataFrame, languages: list[str], orders: bool) -> DataFrame:
@@ -106,14 +132,19 @@ def _entries(counts: DataFrame, languages: list[str], orders: bool) -> DataFrame
     score 0 and are left out.  N-grams are relative to their own order."""
     kind = F.char_length("word") if orders else F.lit(0)
     counts = counts.withColumn("kind", kind)
-    at = {lang: k for k, lang in enumerate(languages)}
-    totals = [(r["lang"], r["kind"], r["n"], at[r["lang"]])
-              for r in counts.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()]
-    totals = counts.sparkSession.createDataFrame(totals, "lang string, kind int, of long, at int")
-    share = F.col("n") / F.col("of")
-    per = counts.join(F.broadcast(totals), ["lang", "kind"]).groupBy("word").agg(
-        F.sum("n").alias("total"), F.max(share).alias("best"),
-        F.collect_list(F.struct(F.col("at").alias("lang"), share.alias("share"))).alias("langs"))
+    sums = {(r["kind"], r["lang"]): r["n"] for r in counts.select("kind", F.inline("langs")).groupBy("kind", "lang")
+            .agg(F.sum("n").alias("n")).collect()}
+    kinds = sorted({k for k, _ in sums})
+    totals = F.create_map(*[x for k in kinds for x in (F.lit(k), F.create_map(*[
+        y for j, lang in enumerate(languages) if (k, lang) in sums
+        for y in (F.lit(lang), F.struct(F.lit(j).alias("at"), F.lit(sums[k, lang]).alias("of")))]))]) if sums else None
+    if totals is None:
+        return counts.sparkSession.createDataFrame([], f"word string, total long, scores {ENTRY}")
+    of = lambda x: F.col("totals")[x["lang"]]
+    shares = F.transform("langs", lambda x: F.struct(of(x)["at"].alias("lang"), (x["n"] / of(x)["of"]).alias("share")))
+    total = F.aggregate("langs", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    per = (counts.withColumn("totals", totals[F.col("kind")]).select("word", total.alias("total"), shares.alias("langs"))
+           .withColumn("best", F.array_max(F.transform("langs", lambda x: x["share"]))))
     score = lambda x: F.log(x["share"] / F.col("best") / FLOOR + 1) * UNIT
     scores = F.transform("langs", lambda x: F.struct(x["lang"].alias("lang"), F.round(score(x)).cast("long").alias("v")))
     return stage(per.select("word", "total", scores.alias("scores")), "entries")
@@ -172,8 +203,8 @@ class Model:
 
 def train(training: DataFrame) -> Model:
     """Learn from (text, lang)."""
-    words = stage(word_counts(training), "word-counts")
-    languages = sorted(r["lang"] for r in words.select("lang").distinct().collect())
+    words = stage(_word_table(training), "word-counts")
+    languages = sorted(r["lang"] for r in words.select(F.inline("langs")).select("lang").distinct().collect())
     parts = stage(gram_counts(words), "gram-counts")
     tables = _entries(words, languages, False), _entries(parts, languages, True)
     *word_cache, all_words = _cache(tables[0], WORD_LIMIT, len(languages))
@@ -273,16 +304,22 @@ def _backoff(words: DataFrame, shipped, grams_table: DataFrame) -> DataFrame:
 
 
 def _look_up(partial: DataFrame, shipped, tables: tuple[DataFrame, DataFrame]) -> DataFrame:
-    """(__row, __found: list of (n, scores)) for the words of ``partial`` that
-    are not cached.  Each distinct word is looked up once; hot ones are split
-    by AQE, for both sides of the joins are plain exchanges."""
+    """(__row, __found: list of (lang, v)) sums for the words of ``partial`` that
+    are not cached.  Words meet the table of learned ones once; what is not
+    there is scored once per distinct word and joined again.  Hot words are
+    split by AQE, for both sides of the joins are plain exchanges."""
     pairs = partial.select("__row", F.inline("__others").alias("word", "n"))
-    needed = pairs.select("word").distinct().join(tables[0].select("word", "scores"), "word", "left")
-    needed = stage(needed.withColumn("id", F.monotonically_increasing_id()), "needed")
-    unseen = needed.where("scores is null").select("word", "id")
-    by_grams = unseen.join(_backoff(unseen, shipped, tables[1]), "id").select("word", "scores")
-    found = stage(needed.where("scores is not null").select("word", "scores").unionByName(by_grams), "found")
-    return pairs.join(found, "word").groupBy("__row").agg(F.collect_list(F.struct("n", "scores")).alias("__found"))
+    met = stage(pairs.join(tables[0].select("word", "scores"), "word", "left")
+                .select(F.when(F.col("scores").isNull(), F.col("word")).alias("word"), "__row", "n", "scores"), "met")
+    unseen = met.where("word is not null").select("word", "__row", "n")
+    words = stage(unseen.select("word").distinct().withColumn("id", F.monotonically_increasing_id()), "unseen")
+    by_grams = words.join(_backoff(words, shipped, tables[1]), "id").select("word", "scores")
+    found = met.where("scores is not null").select("__row", "n", "scores").unionByName(
+        unseen.join(by_grams, "word").select("__row", "n", "scores"))
+    one = found.select("__row", "n", F.inline("scores")).select("__row", "lang", (F.col("n") * F.col("v")).alias("v"))
+    tasks = int(partial.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (one.repartition(tasks, "__row").groupBy("__row", "lang").agg(F.sum("v").alias("v"))
+            .groupBy("__row").agg(F.collect_list(F.struct("lang", "v")).alias("__found")))
 
 
 def identify(docs: DataFrame, model: Model, carry: tuple[str, ...]) -> DataFrame:
@@ -327,10 +364,9 @@ def identify(docs: DataFrame, model: Model, carry: tuple[str, ...]) -> DataFrame
             if not len(b):
                 continue
             totals = b.column(1).flatten().to_numpy().reshape(len(b), -1).copy()
-            n, scores = b.column(2).flatten().flatten()
-            row, entry = pc.list_parent_indices(b.column(2)).to_numpy(), pc.list_parent_indices(scores).to_numpy()
-            lang, v = scores.flatten().flatten()
-            np.add.at(totals, (row[entry], lang.to_numpy()), n.to_numpy()[entry] * v.to_numpy())
+            lang, v = b.column(2).flatten().flatten()
+            row = pc.list_parent_indices(b.column(2)).to_numpy()
+            np.add.at(totals, (row, lang.to_numpy()), v.to_numpy())
             found = [predictor.decide(w, t) for w, t in zip(b.column(0).to_pylist(), totals)]
             yield answers(b, b.columns[3:], found)
 
