@@ -47,7 +47,7 @@ CAPACITY = 2048
 #: pattern count that rounding keeps (best fit packs the rest).
 ROUNDS, RATE, STEP, KEEP = 40, 0.5, 0.25, 0.9
 #: Words, and pieces of words, in a worker's token caches.
-CACHE_WORDS, CACHE_PIECES = 500_000, 100_000
+CACHE_WORDS, CACHE_PIECES = 300_000, 100_000
 # Fixed value: signs that are no part of 's and its like.
 ENDS = tuple(",.!?;:")
 #: Longer words are always encoded by the whole tokenizer.
