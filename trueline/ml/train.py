@@ -19,7 +19,8 @@ from ..session import cut_lineage
 from .evaluate import cv_metric_columns, metric_columns
 from .extra_trees import ExtraTreesRegressor
 from .linear import MAX_FEATURES, as_pipeline_model, cell_moments, combine, prediction_sql, solve
-from .registry import ModelSpec, TrainStats, get_selected_models
+from .registry import TREE_MODELS, ModelSpec, TrainStats, get_selected_models, tree_params
+from .tree_grower import HOLDOUT, Grower, TreeModel
 
 IS_TEST = "__is_test"
 FOLD = "__fold"
@@ -121,15 +122,36 @@ def _label_stats(df: DataFrame, label: str, folds: int) -> dict:
     return out
 
 
+def _grow_trees(data: DataFrame, feats: list, target: str, specs: list, splits: list, row_hash) -> dict:
+    """The tree models of all splits, from scans that all splits share."""
+    out: dict = {}
+    if not specs:
+        return out
+    fits = [HOLDOUT if s is None else s for s in splits]
+    for spec in specs:
+        grower = Grower(data, feats, target, FOLD, IS_TEST, row_hash)
+        p, bins = tree_params(spec.name, spec.params, spec.seed, len(feats)), int(spec.params.get("max_bins", 32))
+        if spec.name == "gradient_boosting":
+            rate = float(spec.params["learning_rate"])
+            found = grower.boost(fits, p, rate, float(spec.params["subsample"]), bins)
+            made = {f: TreeModel(list(feats), trees, start, rate) for f, (start, trees) in found.items()}
+        else:
+            made = {f: TreeModel(list(feats), trees) for f, trees in grower.grow(fits, p, bins).items()}
+        out.update({(spec.name, None if f == HOLDOUT else f): m for f, m in made.items()})
+    return out
+
+
 def train_models(df: DataFrame, target: str, ts: str, config: dict, random_state: int = 42,
                  keys: Sequence[str] = (), parallelism: int = 4, cross_validate: bool = True,
                  checkpoint: bool = True) -> list[TrainingResult]:
     """For each selected model fit on the hold-out training rows, score
     the hold-out rows, and pool out-of-fold predictions over k folds.
     Linear models (``linear_solver: "moments"``, the default) are fitted for
-    all splits from one moment pass and scored by one more pass; the other
-    models are fitted in a driver thread pool and their metrics come from
-    one grouped aggregation over their stacked predictions.
+    all splits from one moment pass and scored by one more pass; tree models
+    (``tree_grower: "levels"``, the default) are grown for all splits from
+    shared scans; MLlib models are fitted in a driver thread pool.  Metrics of
+    the latter two come from one grouped aggregation over their stacked
+    predictions.
 
     The training table (features, label, split and fold columns) is written
     once as a reliable checkpoint: every fit then starts from a one-node
@@ -151,7 +173,8 @@ def train_models(df: DataFrame, target: str, ts: str, config: dict, random_state
     models: dict = {}
     solver = str(config.get("linear_solver", "moments")) if len(feats) <= MAX_FEATURES else "mllib"
     linear = [s for s in specs.values() if s.linear_kind and solver == "moments"]
-    rest = [s for s in specs.values() if s not in linear]
+    grown = [s for s in specs.values() if s.name in TREE_MODELS and config.get("tree_grower", "levels") == "levels"]
+    rest = [s for s in specs.values() if s not in linear and s not in grown]
     actual = F.col(target).alias("actual")
     predictions: dict = {}
     metrics: dict[str, dict] = {name: {} for name in specs}
@@ -193,6 +216,7 @@ def train_models(df: DataFrame, target: str, ts: str, config: dict, random_state
             name, metric = key.split("\x1f")
             metrics[name][metric] = value
 
+    models.update(_grow_trees(data, feats, target, grown, splits, hash_uint32(ts, keys, "tree")))
     stats = _label_stats(data, target, k) if any(s.needs_stats for s in rest) else \
         {key: TrainStats(0, 0.0) for key in ["holdout", *range(k)]}
 
@@ -211,7 +235,7 @@ def train_models(df: DataFrame, target: str, ts: str, config: dict, random_state
         return model.transform(rows).select(*keys, ts, actual, F.col("prediction").alias("predicted"))
 
     stacked = None
-    for spec in rest:
+    for spec in [*grown, *rest]:
         hold = scored(models[(spec.name, None)], test)
         oof = None
         if cross_validate:

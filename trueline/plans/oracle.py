@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 
+from ..ml.tree_grower import POISSON, draw, mix
 from ..sources.fixtures import (GROWTH_SQL, REF_CLEAN_SQL, REF_KEYED_SQL, SEN_CLEAN_SQL, SEN_DIRTY_SQL, SEN_KEYED_SQL)
 
 H_US = 3_600_000_000
@@ -798,6 +799,113 @@ def s_per_key(two: bool):
                    f"FROM preds JOIN best USING (event_type)")
 
 
+def _splits(q: Sql, columns: str, al: str) -> None:
+    """``tr``: the training rows of the hold-out fit (-1) and of the folds."""
+    q.add("d", f"SELECT timestamp, reference_pm25 AS y, {columns}, {HASH.format(salt='tree')} AS h, {split_columns()} FROM {al}")
+    q.add("tr", "SELECT s.sid, d.* FROM d JOIN (VALUES (-1), (0), (1), (2), (3), (4)) s(sid) "
+                "ON (s.sid = -1 AND NOT d.is_test) OR (s.sid >= 0 AND d.fold <> s.sid)")
+
+
+def _stump(q: Sql, name: str, rows: str, key: str) -> None:
+    """Best cut of ``rows`` (key, x, t, w) by squared error, between values:
+    ``name``(key, cut, lo, hi)."""
+    q.add(f"{name}_v", f"SELECT {key}, x, sum(w) AS n, sum(w * t) AS s FROM {rows} WHERE w > 0 GROUP BY ALL")
+    q.add(f"{name}_c", f"SELECT {key}, x, sum(n) OVER a AS nl, sum(s) OVER a AS sl, sum(n) OVER b AS na, sum(s) OVER b AS sa, "
+                       f"lead(x) OVER (PARTITION BY {key} ORDER BY x) AS nx FROM {name}_v "
+                       f"WINDOW a AS (PARTITION BY {key} ORDER BY x), b AS (PARTITION BY {key})")
+    q.add(name, f"SELECT {key}, arg_max({{'cut': x, 'lo': sl / nl, 'hi': (sa - sl) / (na - nl)}}, "
+                f"sl * sl / nl + (sa - sl) * (sa - sl) / (na - nl)) AS b FROM {name}_c WHERE nx IS NOT NULL GROUP BY {key}")
+
+
+def _stump_result(q: Sql, predicted: str, parts: str) -> str:
+    """Out-of-fold and hold-out predictions from ``p``(sid, timestamp, predicted)."""
+    q.add("p", f"SELECT d.sid, d.timestamp, {predicted} AS predicted FROM (SELECT s.sid, d.* FROM d JOIN "
+               f"(VALUES (-1), (0), (1), (2), (3), (4)) s(sid) ON (s.sid = -1 AND d.is_test) OR d.fold = s.sid) d {parts}")
+    return q.final(f"SELECT d.timestamp, {r6('d.y', 'actual')}, {r6('c.predicted', 'cv_predicted')}, "
+                   f"{r6('t.predicted', 'predicted')} FROM d JOIN p c ON c.timestamp = d.timestamp AND c.sid = d.fold "
+                   f"LEFT JOIN p t ON t.timestamp = d.timestamp AND t.sid = -1")
+
+
+def _hour_data(q: Sql) -> None:
+    al = align(q, "ref_one", ["pm25"], "sen_one", ["pm25_raw"], "pm25", "al1")
+    _splits(q, "CAST(hour(timestamp) AS DOUBLE) AS x", al)
+
+
+def s_boost_stump():
+    """Three rounds of least-squares boosting from the mean, rate 0.1, depth one."""
+    q = Sql("ref_one", "sen_one")
+    _hour_data(q)
+    q.add("m0", "SELECT sid, avg(y) AS start FROM tr GROUP BY sid")
+    parts, margin = ["JOIN m0 USING (sid)"], "m0.start"
+    for k in range(3):
+        q.add(f"r{k}", f"SELECT d.sid, d.x, 1 AS w, d.y - ({margin}) AS t FROM tr d {' '.join(parts)}")
+        _stump(q, f"b{k}", f"r{k}", "sid")
+        parts.append(f"JOIN b{k} USING (sid)")
+        margin += f" + 0.1e0 * CASE WHEN d.x <= b{k}.b.cut THEN b{k}.b.lo ELSE b{k}.b.hi END"
+    return _stump_result(q, margin, " ".join(parts))
+
+
+def _mix_sql(x: str) -> str:
+    a = f"((({x}) % 4294967296) * 2246822519) % 4294967296"
+    a = f"xor({a}, ({a}) >> 15)"
+    b = f"(({a}) * 3266489917) % 4294967296"
+    return f"xor({b}, ({b}) >> 13)"
+
+
+def s_forest_stump():
+    """Three bootstrapped trees of depth one; weights by the same hash of
+    (row, fit, tree)."""
+    q = Sql("ref_one", "sen_one")
+    _hour_data(q)
+    add = lambda v: int(mix(v + 374761393))
+    q.add("z1", f"SELECT *, {_mix_sql('h + 374761393')} AS z FROM tr")
+    q.add("z2", f"SELECT * EXCLUDE (z), {_mix_sql(f'z + {int(mix(43))}')} AS z FROM z1")
+    fits = " ".join(f"WHEN sid = {f} THEN {add(f + 2)}" for f in (-1, 0, 1, 2, 3, 4))
+    q.add("z3", f"SELECT * EXCLUDE (z), z + (CASE {fits} END)::UBIGINT AS z FROM z2")
+    q.add("z4", f"SELECT * EXCLUDE (z), {_mix_sql('z')} AS z FROM z3")
+    trees = " ".join(f"WHEN tree = {t} THEN {add(t)}" for t in range(3))
+    q.add("z5", f"SELECT z4.* EXCLUDE (z), tree, z + (CASE {trees} END)::UBIGINT AS z FROM z4, (VALUES (0), (1), (2)) t(tree)")
+    q.add("z6", f"SELECT * EXCLUDE (z), CAST({_mix_sql('z')} AS DOUBLE) / 4294967296.0e0 AS u FROM z5")
+    w = " + ".join(f"CASE WHEN u >= {p!r} THEN 1 ELSE 0 END" for p in POISSON.tolist())
+    q.add("r", f"SELECT sid, tree, x, y AS t, {w} AS w FROM z6")
+    _stump(q, "b", "r", "sid, tree")
+    # a cut lies between values of the table, not only of the drawn rows
+    return _stump_result(q, "(SELECT avg(CASE WHEN d.x <= b.b.cut THEN b.b.lo ELSE b.b.hi END) FROM b WHERE b.sid = d.sid)", "")
+
+
+def s_extra_stump():
+    """Three trees of depth one; the cut of each feature is drawn between its
+    least and largest training value."""
+    q = Sql("ref_clean", "sen_clean")
+    al = align(q, "ref_clean", REF_COLS, "sen_clean", SEN_COLS, "pm25", "al2")
+    _splits(q, "sensor_pm25_raw AS a, sensor_humidity AS b", al)
+    u = [(f, t, j, float(draw(42, f + 2, t, 0, j))) for f in (-1, 0, 1, 2, 3, 4) for t in range(3) for j in range(2)]
+    q.add("u", "SELECT * FROM (VALUES " + ", ".join(f"({f}, {t}, {j}, {x!r}e0)" for f, t, j, x in u) + ") u(sid, tree, j, u)")
+    q.add("lng", "SELECT sid, y, 0 AS j, a AS x FROM tr UNION ALL SELECT sid, y, 1, b FROM tr")
+    q.add("rng", "SELECT sid, j, min(x) AS lo, max(x) AS hi FROM lng GROUP BY ALL")
+    q.add("cuts", "SELECT sid, tree, j, lo + u * (hi - lo) AS cut FROM u JOIN rng USING (sid, j)")
+    q.add("sums", "SELECT sid, tree, j, cut, count(*) FILTER (x <= cut) AS nl, sum(y) FILTER (x <= cut) AS sl, count(*) AS na, "
+                  "sum(y) AS sa FROM lng JOIN cuts USING (sid, j) GROUP BY ALL")
+    q.add("k", "SELECT sid, tree, arg_max({'j': j, 'cut': cut, 'lo': sl / nl, 'hi': (sa - sl) / (na - nl)}, "
+               "sl * sl / nl + (sa - sl) * (sa - sl) / (na - nl)) AS b FROM sums GROUP BY ALL")
+    return _stump_result(q, "(SELECT avg(CASE WHEN (CASE WHEN k.b.j = 0 THEN d.a ELSE d.b END) <= k.b.cut THEN k.b.lo "
+                            "ELSE k.b.hi END) FROM k WHERE k.sid = d.sid)", "")
+
+
+def s_sink_tree_model():
+    """The hold-out fit of the boosted stumps over all rows."""
+    q = Sql("ref_one", "sen_one")
+    _hour_data(q)
+    q.add("m0", "SELECT sid, avg(y) AS start FROM tr GROUP BY sid")
+    parts, margin = ["JOIN m0 USING (sid)"], "m0.start"
+    for k in range(3):
+        q.add(f"r{k}", f"SELECT d.sid, d.x, 1 AS w, d.y - ({margin}) AS t FROM tr d {' '.join(parts)}")
+        _stump(q, f"b{k}", f"r{k}", "sid")
+        parts.append(f"JOIN b{k} USING (sid)")
+        margin += f" + 0.1e0 * CASE WHEN d.x <= b{k}.b.cut THEN b{k}.b.lo ELSE b{k}.b.hi END"
+    return q.final(f"SELECT d.timestamp, {r6(margin, 'prediction')} FROM (SELECT -1 AS sid, d.* FROM d) d {' '.join(parts)}")
+
+
 def build() -> dict[str, str]:
     hourly_dirty = lambda agg, digits=6: s_resample("dirty_valid", DIRTY_COLS, HOURLY, agg, digits=digits)
     q15 = lambda agg: s_resample("dirty_valid", DIRTY_COLS, ("fixed", M15_US, False), agg)
@@ -819,6 +927,10 @@ def build() -> dict[str, str]:
         "resample_100ms": s_resample_100ms(),
         "ols_two_features": s_two_features("0.0"),
         "ridge_two_features": s_two_features("1.0"),
+        "extra_stump": s_extra_stump(),
+        "boost_stump": s_boost_stump(),
+        "forest_stump": s_forest_stump(),
+        "sink_tree_model": s_sink_tree_model(),
         "calibrate_per_key": s_per_key(False),
         "calibrate_per_key_two": s_per_key(True),
         "scan_frame": s_scan_frame(),

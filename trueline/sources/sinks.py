@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from ..ml.tree_grower import TreeModel
 
 
 def write_csv(df: DataFrame, path: str, ts: str | None = "timestamp", mode: str = "overwrite") -> None:
@@ -22,10 +24,18 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_b
     w.parquet(path)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    """The fitted pipeline (assembler + regressor) so feature order persists."""
-    model.write().overwrite().save(path)
+def save_model(model: PipelineModel | TreeModel, path: str) -> None:
+    """The fitted pipeline (assembler + regressor) or the node tables of a
+    tree model, so feature order persists."""
+    if isinstance(model, TreeModel):
+        model.save(SparkSession.active(), path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str) -> PipelineModel | TreeModel:
+    spark = SparkSession.active()
+    about = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata")
+    if about.getFileSystem(spark._jsc.hadoopConfiguration()).exists(about):
+        return PipelineModel.load(path)
+    return TreeModel.load(spark, path)
