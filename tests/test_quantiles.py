@@ -26,3 +26,44 @@ def test_small_groups_use_percentile_and_agree(spark):
     a = exact_quantiles(df, ["x"], [0.25, 0.5]).collect()[0]["values"]
     b = exact_quantiles(df, ["x"], [0.25, 0.5], final_rows=1).collect()[0]["values"]
     assert a == b == [1.75, 3.0]
+
+
+def test_brackets_move_no_cells(spark, monkeypatch):
+    """Many series below the sorting bound: nothing is exploded, results are pandas'."""
+    from trueline.operators import quantiles
+    rng = np.random.default_rng(5)
+    n = 4000
+    pdf = pd.DataFrame({"k": rng.integers(0, 7, n).astype(float), "x": np.round(rng.normal(size=n), 2),
+                        "y": np.where(rng.random(n) < 0.6, 3.5, rng.normal(size=n)), "z": np.nan})
+    pdf.loc[pdf.k == 6, "k"] = None
+    pdf.loc[::13, "x"] = None
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None),
+                               "k double, x double, y double, z double").repartition(5)
+
+    def moved(*a, **b):
+        raise AssertionError("cells were exploded")
+    monkeypatch.setattr(quantiles, "long_values", moved)
+    monkeypatch.setattr(quantiles, "DIGEST", 40)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 1.0]
+    got = exact_quantiles(df, ["x", "y", "z"], probs, ["k"]).collect()
+    assert len(got) == 14 and {r.column for r in got} == {"x", "y"}
+    for r in got:
+        mine = pdf[pdf.k.isna() if r.k is None else pdf.k == r.k][r.column].dropna()
+        assert np.allclose(r["values"], mine.quantile(probs).to_numpy(), rtol=0, atol=1e-12), (r.k, r.column)
+    whole = {r.column: r["values"] for r in exact_quantiles(df, ["x", "y", "z"], probs).collect()}
+    assert set(whole) == {"x", "y"}
+    for c, values in whole.items():
+        assert np.allclose(values, pdf[c].dropna().quantile(probs).to_numpy(), rtol=0, atol=1e-12)
+    assert exact_quantiles(df.where("x > 1e9"), ["x"], probs, ["k"]).collect() == []
+
+
+def test_all_ways_agree_bit_for_bit(spark, monkeypatch):
+    from trueline.operators import quantiles
+    monkeypatch.setattr(quantiles, "DIGEST", 20)
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(int(k % 3), float(v)) for k, v in enumerate(rng.normal(size=900))], "k int, x double")
+    probs = [0.1, 0.25, 0.5, 0.75, 0.9]
+    ways = [exact_quantiles(df, ["x"], probs, ["k"], row_bound=900), exact_quantiles(df, ["x"], probs, ["k"]),
+            exact_quantiles(df, ["x"], probs, ["k"], final_rows=5)]
+    a, b, c = ({r.k: r["values"] for r in w.collect()} for w in ways)
+    assert a == b == c
