@@ -68,3 +68,37 @@ def test_far_groups_are_not_sent(spark):
     centre = np.array([[100.0, 0.0], [0.0, 100.0], [-100.0, 0.0]])
     need = knn.needed_cells(centre, np.array([50, 50, 50]), np.array([1.0, 1.0, 1.0]), np.array([1.0, -1.0, 1.0]), 5)
     assert need.tolist() == [[True, False, False], [False, False, False], [False, False, True]]
+
+
+def test_vectors_too_long_for_a_long_score_take_no_part(spark):
+    """Any finite vector has a defined result: none, if its product with itself
+    does not fit a long."""
+    rows = [(k, [k / 3, 1.0, -2.0 * k]) for k in range(45)]
+    big = [(100, [3e38, 1.0, 0.0]), (101, [-1.7e308, 0.0, 0.0]), (120, [4.8e7, 4.8e7, 4.8e7]), (121, [0.0, 5e7, 0.0])]
+    near = [(60, [4.7e7, 0.0, 0.0]), (61, [-4.7e7, 3e6, 0.0])]
+    assert result(table(spark, rows + near + big), 5) == brute(rows + near, 5)
+
+
+def test_clustered_data_is_pruned(spark, monkeypatch):
+    """On 100,000 rows in clusters only a small share of (row, group) pairs is sent."""
+    rng = np.random.default_rng(7)
+    centre = 40 * rng.normal(size=(24, 16))
+    v = centre[rng.integers(0, 24, 100_000)] + rng.normal(size=(100_000, 16))
+    seen = []
+    plain = knn.needed_cells
+
+    def noted(*args):
+        need = plain(*args)
+        seen.append(need.mean())
+        return need
+    monkeypatch.setattr(knn, "needed_cells", noted)
+    import pandas as pd
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(100_000), "embedding": v.tolist()}))
+    found = result(df, 5)
+    assert len(found) == 5000 * 5 and seen and seen[0] < 0.5
+    w = np.floor(64 * v)
+    for q in rng.choice(5000, 40, replace=False) * 20:
+        s = w @ w[q]
+        s[q] = -np.inf
+        want = sorted(range(100_000), key=lambda i: (-s[i], i))[:5]
+        assert [r[2] for r in found if r[0] == q] == want

@@ -1,13 +1,15 @@
 """Main text of web pages by two-pass block rules.
 
 A page becomes blocks: runs of text between block-level tags.  The first
-pass classifies each block alone, by its place (inside a menu, footer, form,
-advert ... it is boilerplate; inside the article it is kept unless it is
-mostly links), its link density, its length and its density of stop words.
-Blocks too short or not decided enough to tell stay open.  In the second
-pass they inherit the label of the nearest decided neighbour (on a tie, or
-between different neighbours at equal distance, boilerplate wins; an open
-heading shortly before a good block is good).
+pass scores each block alone: its density of stop words, its length and its
+link density, and as a further feature its place (a menu, footer, form, advert
+or comment weighs against it, an article for it; a mark that also names
+layouts, like "widget", weighs little).  Blocks whose score is between the
+limits, too short or not telling enough, stay open.  In the second pass they
+inherit the label of the nearest decided neighbour (on a tie, or between
+different neighbours at equal distance, boilerplate wins; an open heading
+shortly before a good block is good).  Inside an article only neighbours of
+the article count, and without one an open block is good.
 
 Scripts, styles, comments and the page head are no blocks.  Character
 references are decoded and white space inside a block becomes one space.
@@ -57,14 +59,21 @@ notice notices notification pager pagination popup promo promoted reader related
 sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets
 """.split())
 
+# Those of them that wrappers of whole pages carry as well.
+WEAK_MARKS = frozenset("reader related search share sharing social toolbar widget widgets".split())
+
 #: In a name like "no-sidebar" the mark describes a layout, not the element.
 NEGATIONS = frozenset(("has", "no", "with", "without"))
 
-#: Block rules: blocks up to SHORT characters with a link are boilerplate,
-#: blocks over LONG with a share of stop words of at least STOP are good, a
-#: share of linked characters over LINKED is boilerplate; others stay open.
+#: Block rules.  Up to SHORT characters a block is short, over LONG it is long;
+#: a share of stop words of at least STOP is a text's, a share of linked
+#: characters over LINKED is a list of links.
 SHORT, LONG = 70, 100
 STOP, LINKED = 0.1, 0.35
+#: Weights of the features, and the scores from which a block is good or bad.
+WEIGHTS = {"dense": 0.75, "long": 0.75, "short": -0.5, "linked": -4.0, "short_link": -1.5, "article": 1.0,
+           "boilerplate": -4.0, "weak_mark": -0.5, "short_weak_mark": -2.0, "copyright": -2.0}
+GOOD_FROM, BAD_TO = 1.0, -1.0
 HEADING_REACH = 200
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"<]*+"|'[^'<]*+')*+)>"""
@@ -82,23 +91,26 @@ class Block:
     heading: bool
     boilerplate: bool
     article: bool
+    weak: bool = False
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str) -> int:
+    """2: class, id or role marks boilerplate; 1: by a weak mark only; 0: not."""
+    most = 0
     for m in ATTRIBUTE.finditer(attributes):
         for name in (m[1] or m[2] or m[3] or "").lower().split():
-            words = re.split(r"[^a-z0-9]+", name)
-            if not MARKS.isdisjoint(words) and NEGATIONS.isdisjoint(words):
-                return True
-    return False
+            words = MARKS.intersection(re.split(r"[^a-z0-9]+", name))
+            if words and NEGATIONS.isdisjoint(re.split(r"[^a-z0-9]+", name)):
+                most = max(most, 1 if words <= WEAK_MARKS else 2)
+    return most
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's text blocks in order."""
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    # Open elements that matter: (tag, boilerplate inside, article inside).
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]
+    # Open elements that matter: (tag, boilerplate by tag, by mark (0 to 2), article inside).
+    stack: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]
     open_tags: dict[str, int] = {}
     links, heading, at, line_break = 0, False, 0, False
     last_tag_end, unclosed = page.rfind(">"), set()
@@ -107,7 +119,8 @@ def blocks_of(page: str) -> list[Block]:
         text = SPACE.sub(" ", html.unescape("".join(p for p, _ in parts))).strip()
         if text:
             linked = sum(len(SPACE.sub(" ", html.unescape(p)).strip()) for p, in_link in parts if in_link)
-            out.append(Block(text, linked, heading, stack[-1][1], stack[-1][2]))
+            _, by_tag, mark, article = stack[-1]
+            out.append(Block(text, linked, heading, by_tag or mark == 2, article, mark == 1))
         parts.clear()
 
     while True:
@@ -153,30 +166,33 @@ def blocks_of(page: str) -> list[Block]:
                     if name == tag:
                         break
         elif tag in BLOCK_TAGS and tag != "p" or _marked(attributes):
-            _, bad, article = stack[-1]
-            bad = bad or tag in BOILERPLATE_TAGS or (tag == "header" and not article)
-            if tag == "main":
-                bad = False
-            elif tag not in ("html", "body"):
-                bad = bad or _marked(attributes)
-            stack.append((tag, bad, article or tag in CONTENT_TAGS))
+            _, bad, mark, article = stack[-1]
+            bad = tag != "main" and (bad or tag in BOILERPLATE_TAGS or (tag == "header" and not article))
+            if tag in CONTENT_TAGS and not article:
+                mark = 0                            # what is marked is a wrapper of the content
+            if tag not in ("html", "body", "main"):
+                mark = max(mark, _marked(attributes))
+            stack.append((tag, bad, mark, article or tag in CONTENT_TAGS))
             open_tags[tag] = open_tags.get(tag, 0) + 1
     close()
     return out
 
 
+def features(b: Block) -> dict[str, bool]:
+    """The features of a block that are present."""
+    words = WORD.findall(b.text.lower())
+    dense = bool(words) and sum(w in STOP_WORDS for w in words) >= STOP * len(words)
+    size, linked = len(b.text), b.linked > LINKED * len(b.text)
+    return {"dense": dense, "long": size > LONG, "short": size < SHORT, "linked": linked,
+            "short_link": size < SHORT and b.linked > 0, "article": b.article, "boilerplate": b.boilerplate,
+            "weak_mark": b.weak, "short_weak_mark": b.weak and size <= LONG,
+            "copyright": "\u00a9" in b.text and size <= LONG and not b.article}
+
+
 def first_pass(b: Block) -> int | None:
     """Label of a block by itself."""
-    linked = b.linked / len(b.text)
-    if b.boilerplate or linked > LINKED or "©" in b.text:
-        return BAD
-    if b.article:
-        return GOOD
-    words = WORD.findall(b.text.lower())
-    stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if len(b.text) < SHORT and b.linked:
-        return BAD
-    return GOOD if stop >= STOP and len(b.text) > LONG else OPEN
+    score = sum(WEIGHTS[k] for k, present in features(b).items() if present)
+    return GOOD if score >= GOOD_FROM else BAD if score <= BAD_TO else OPEN
 
 
 def decided(blocks: list[Block], labels: list[int | None], order: range) -> list[tuple[float, int]]:
@@ -198,6 +214,13 @@ def second_pass(blocks: list[Block], labels: list[int | None]) -> list[int]:
     """Open blocks take the label of the nearest decided neighbour."""
     before = decided(blocks, labels, range(len(blocks)))
     after = decided(blocks, labels, range(len(blocks) - 1, -1, -1))
+    own = [i for i, b in enumerate(blocks) if b.article and not b.boilerplate]
+    inside = [blocks[i] for i in own]
+    own_before = decided(inside, [labels[i] for i in own], range(len(own)))
+    own_after = decided(inside, [labels[i] for i in own], range(len(own) - 1, -1, -1))
+    for k, i in enumerate(own):
+        far = len(own)                              # beyond the article's first and last block: no neighbour
+        before[i], after[i] = ((d, lab) if d <= far else (far + 1.0, GOOD) for d, lab in (own_before[k], own_after[k]))
     out = [BAD] * len(blocks)
     reach = HEADING_REACH + 1
     for i in range(len(blocks) - 1, -1, -1):

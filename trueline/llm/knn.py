@@ -16,7 +16,8 @@ of a cell; a tile returns the k best of each query, and the k best of those
 are the answer.  On the driver there are only tables over pivots.
 
 Vectors that are null or hold null or non-finite components, and rows with a
-null id, take no part.  Shorter vectors count as padded with zeros.  Of
+null id, take no part; nor do integer vectors whose product with themselves
+does not fit a long (2^63), as no score of theirs need fit one.  Shorter vectors count as padded with zeros.  Of
 several rows with one id the smallest vector counts.  Inner products are
 exact integers: in double arithmetic while they stay below 2^53, else in
 Python integers.  Ties go to the smaller id.  Other columns are ignored.
@@ -38,6 +39,8 @@ from trueline.llm.common import stage
 MAX_PIVOTS = 512
 DATA_TILE, QUERY_TILE = 8192, 2048
 EXACT = 2.0 ** 53
+#: Squared length from which a vector's scores may not fit a long.
+LONGEST = 2.0 ** 63 * (1 - 2.0 ** -40)
 
 
 def integer_vectors(rows: DataFrame, scale: float) -> DataFrame:
@@ -46,6 +49,9 @@ def integer_vectors(rows: DataFrame, scale: float) -> DataFrame:
     raw = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     whole = raw.where(F.col("vec_id").isNotNull() & F.coalesce(ok, F.lit(False))).select(
         "vec_id", F.transform("e", lambda x: F.floor(x * F.lit(float(scale))).cast("double")).alias("v"))
+    # |a . b| <= |a| |b|, so products of shorter vectors fit a long
+    length = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    whole = whole.where(length < LONGEST)
     return whole.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
