@@ -125,6 +125,6 @@ def test_open_blocks_take_the_nearest_label():
         blocks = [html_extract.Block("x", 0, False, False, False) for _ in labels]
         want = []
         for i, own in enumerate(labels):
-            near = [(abs(i - j), lab) for j, lab in enumerate(labels) if lab is not None] + [(i + 1, 0), (len(labels) - i, 0)]
+            near = [(abs(i - j), lab) for j, lab in enumerate(labels) if lab is not None] + [(len(labels) + 2, 0)]
             want.append(own if own is not None else min(near)[1])
         assert html_extract.second_pass(blocks, labels) == want
