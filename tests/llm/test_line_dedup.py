@@ -87,3 +87,36 @@ def test_cuckoo_filter(n):
 def test_same_key_many_times_fits():
     keys = np.full(3, 12345, dtype=np.uint64)
     assert ld.build_filter(keys).contains(keys).all()
+
+
+def state(index):
+    """Live counts, and that the filters know every live key."""
+    live = index.counts().where("n_docs > 0").collect()
+    filters = {r.shard: ld._load(_frame(r)) for r in index._filters().collect()}
+    assert index.n_keys == len(live)
+    for r in live:
+        assert filters[r.k1 % index.n_shards].contains(np.array([r.k2]).view(np.uint64))[0]
+    return Counter((r.k1, r.k2, r.n_docs, r.min_doc) for r in live)
+
+
+def test_batches_of_new_lines_grow_the_index(spark, monkeypatch):
+    """Equal batches without a common line, and a first batch without a key,
+    end in the state of one insertion."""
+    monkeypatch.setattr(ld, "KEYS_PER_SHARD", 50)
+    batch = lambda b: [(1000 * b + k, f"line {k} of the batch number {b}\nshared by batch {b} and its rows") for k in range(150)]
+    batches = [[(-1, "short"), (-2, "")], batch(1), batch(2), batch(3), batch(4) + [(9000, "one more line, a single one")]]
+    index = ld.LineIndex(spark)
+    shards = []
+    for rows in batches:
+        index.insert(split(spark, rows))
+        shards.append(index.n_shards)
+    rows = [r for b in batches for r in b]
+    one = ld.LineIndex(spark)
+    one.insert(split(spark, rows))
+    assert shards[0] == 1 and shards == sorted(shards) and shards[-1] >= 6
+    assert state(index) == state(one)
+    assert rows_of(index.dedupe(split(spark, rows))) == rows_of(one.dedupe(split(spark, rows))) == Counter(line_dedup(rows))
+    index.delete(split(spark, batches[2]).select("doc_id"))
+    again = ld.LineIndex.open(spark, index.root)
+    again.insert(split(spark, batches[2]))
+    assert state(again) == state(one)

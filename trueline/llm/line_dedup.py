@@ -11,8 +11,8 @@ State, all Parquet under one root folder in the shared storage:
 * ``counts`` (k1, k2, n_docs, min_doc, gen): exact reference counts,
   one folder per change.  A row is the key's value as of its generation, the
   newest row of a key counts.
-* ``filters`` (shard, n_buckets, slots, gen): a cuckoo filter per shard holding
-  the keys with a positive count.
+* ``filters`` (shard, n_buckets, n_keys, slots, gen): a cuckoo filter per shard
+  holding the keys with a positive count.
 
 ``insert`` probes the filters first: a key they do not know is new for
 certain and its batch count is its count, so only possibly known keys are
@@ -21,6 +21,11 @@ documents from the references and takes vanished keys out of the filters;
 after it the index equals one that never saw them.  Filters only save work:
 every decision comes from the exact counts.
 
+The number of shards grows with the keys: when an insertion leaves a filter
+too full, or has more keys than the shards are meant for, all filters are built
+anew from the exact counts, with more shards, in the same generation (a batch
+that large is looked up in the exact table without probing).
+
 Shards are by key hash and counts are aggregated per key before anything is
 grouped by shard, so a line held by a third of all documents costs one row
 per shard step.  A null ``text`` is one empty line.  A null ``doc_id``
@@ -44,9 +49,9 @@ from trueline.llm.common import work_dir
 
 MIN_KEY = 10
 STRIPPED = " \t\n\x0b\x0c\r"
-#: Distinct keys a shard is sized for when the first insertion picks the
-#: number of shards.
-KEYS_PER_SHARD = 16_384
+#: Distinct keys a shard is meant for; shards are added from ``GROW`` times as
+#: many, or when a filter's slots are filled to more than ``FULL``.
+KEYS_PER_SHARD, GROW, FULL = 16_384, 2, 0.85
 NULL_DOC = 2**63 - 1
 
 
@@ -213,7 +218,7 @@ def kept_lines(docs: DataFrame, drops: DataFrame, carry: tuple[str, ...] = ()) -
 # --- the index --------------------------------------------------------------
 
 KEY = ["k1", "k2"]
-FILTER_SCHEMA = "shard long, n_buckets long, slots binary"
+FILTER_SCHEMA = "shard long, n_buckets long, n_keys long, slots binary"
 
 
 def _load(row: pd.DataFrame) -> CuckooFilter | None:
@@ -224,7 +229,8 @@ def _load(row: pd.DataFrame) -> CuckooFilter | None:
 
 
 def _dump(shard: int, f: CuckooFilter) -> pd.DataFrame:
-    return pd.DataFrame({"shard": [shard], "n_buckets": [f.n], "slots": [f.table.tobytes()]})
+    return pd.DataFrame({"shard": [shard], "n_buckets": [f.n], "n_keys": [int((f.table != 0).sum())],
+                         "slots": [f.table.tobytes()]})
 
 
 def _probe(keys: pd.DataFrame, row: pd.DataFrame) -> pd.DataFrame:
@@ -255,7 +261,7 @@ class LineIndex:
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
         self.root = root or work_dir(spark, "line-index")
-        self.gen, self.n_shards, self.deletions = 0, 0, False
+        self.gen, self.n_shards, self.n_keys, self.deletions = 0, 0, 0, False
 
     @classmethod
     def open(cls, spark: SparkSession, root: str) -> LineIndex:
@@ -263,6 +269,7 @@ class LineIndex:
         index = cls(spark, root)
         last = spark.read.parquet(f"{root}/manifest").orderBy(F.desc("gen")).first()
         index.gen, index.n_shards, index.deletions = last["gen"], last["n_shards"], last["deletions"]
+        index.n_keys = last["n_keys"]
         return index
 
     def _write(self, df: DataFrame, table: str) -> DataFrame:
@@ -272,6 +279,7 @@ class LineIndex:
 
     def _commit(self) -> None:
         row = self.spark.range(1).select(F.lit(self.n_shards).cast("long").alias("n_shards"),
+                                         F.lit(self.n_keys).cast("long").alias("n_keys"),
                                          F.lit(self.deletions).alias("deletions"))
         self._write(row, "manifest")
         self.gen += 1
@@ -287,10 +295,11 @@ class LineIndex:
             refs = refs.join(gone, "doc_id", "left").where("gone_gen is null or gone_gen < gen")
         return refs.select(*KEY, "doc_id")
 
-    def counts(self) -> DataFrame:
+    def counts(self, gen: int | None = None) -> DataFrame:
         """(k1, k2, n_docs, min_doc): exact counts of all keys ever seen."""
-        counts = self._read("counts")
-        if self.gen > 1:
+        gen = self.gen if gen is None else gen
+        counts = self.spark.read.parquet(f"{self.root}/counts").where(F.col("gen") <= gen)
+        if gen > 1:
             counts = (counts.groupBy(*KEY).agg(F.max_by(F.struct("n_docs", "min_doc"), "gen").alias("v"))
                       .select(*KEY, "v.n_docs", "v.min_doc"))
         return counts.select(*KEY, "n_docs", "min_doc")
@@ -304,13 +313,21 @@ class LineIndex:
     def _write_filters(self, changes: DataFrame) -> None:
         """``changes``: (k1, k2, n) with n > 0 for new keys, n < 0 for gone ones."""
         keyed = changes.select("k2", "n", self._shard())
-        if self.gen:
-            filters = keyed.groupBy("shard").cogroup(self._filters().groupBy("shard")).applyInPandas(
-                _change, FILTER_SCHEMA)
-        else:
-            none = pd.DataFrame()
-            filters = keyed.groupBy("shard").applyInPandas(lambda keys: _change(keys, none), FILTER_SCHEMA)
-        self._write(filters, "filters")
+        self._write(keyed.groupBy("shard").cogroup(self._filters().groupBy("shard")).applyInPandas(
+            _change, FILTER_SCHEMA), "filters")
+
+    def _build_filters(self, live: DataFrame) -> None:
+        """New filters over ``live`` (k1, k2), in as many shards as the keys need."""
+        none = pd.DataFrame()
+        self.n_shards = max(1, -(-self.n_keys // KEYS_PER_SHARD))
+        self._write(live.select("k2", F.lit(1).alias("n"), self._shard()).groupBy("shard").applyInPandas(
+            lambda keys: _change(keys, none), FILTER_SCHEMA), "filters")
+
+    def _too_full(self, arrived: DataFrame) -> bool:
+        """Would the new keys fill a shard's filter to more than ``FULL``?"""
+        new = arrived.select(self._shard()).groupBy("shard").count()
+        room = self._filters().select("shard", "n_keys", (SLOTS * F.col("n_buckets") * FULL).alias("most"))
+        return not new.join(room, "shard").where(F.col("n_keys") + F.col("count") > F.col("most")).isEmpty()
 
     def insert(self, docs: DataFrame) -> None:
         """Add documents (not yet in the index) and their lines."""
@@ -321,13 +338,14 @@ class LineIndex:
         batch = refs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("min_doc"))
         if not self.gen:
             counts = self._write(batch, "counts")
-            self.n_shards = max(1, -(-counts.count() // KEYS_PER_SHARD))
-            self._write_filters(counts.select(*KEY, F.lit(1).alias("n")))
+            self.n_keys = counts.count()
+            self._build_filters(counts)
         else:
-            probed = batch.select("*", self._shard()).groupBy("shard").cogroup(
-                self._filters().groupBy("shard")).applyInPandas(
-                    _probe, "k1 long, k2 long, n_docs long, min_doc long, known boolean")
-            probed = self._write(probed, "probed")
+            batch = self._write(batch, "batch")
+            grow = self.n_keys + batch.count() > GROW * KEYS_PER_SHARD * self.n_shards
+            probed = batch.withColumn("known", F.lit(True)) if grow else self._write(
+                batch.select("*", self._shard()).groupBy("shard").cogroup(self._filters().groupBy("shard")).applyInPandas(
+                    _probe, "k1 long, k2 long, n_docs long, min_doc long, known boolean"), "probed")
             known = probed.where("known").select(*KEY)
             old = self.counts().join(known, KEY, "left_semi").select(
                 *KEY, F.col("n_docs").alias("o_n"), F.col("min_doc").alias("o_min"))
@@ -337,7 +355,12 @@ class LineIndex:
                 (F.coalesce("o_n", F.lit(0)) == 0).alias("arrived"))
             merged = self._write(merged, "merged")
             self._write(merged.drop("arrived"), "counts")
-            self._write_filters(merged.where("arrived").select(*KEY, F.lit(1).alias("n")))
+            arrived = merged.where("arrived")
+            self.n_keys += arrived.count()
+            if grow or self._too_full(arrived):
+                self._build_filters(self.counts(self.gen + 1).where("n_docs > 0"))
+            else:
+                self._write_filters(arrived.select(*KEY, F.lit(1).alias("n")))
         self._commit()
 
     def delete(self, doc_ids: DataFrame) -> None:
@@ -350,7 +373,9 @@ class LineIndex:
         counts = self._write(touched.join(left, KEY, "left").select(
             *KEY, F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "min_doc"), "counts")
         self._write(ids, "gone")
-        self._write_filters(counts.where("n_docs = 0").select(*KEY, F.lit(-1).alias("n")))
+        vanished = counts.where("n_docs = 0")
+        self.n_keys -= vanished.count()
+        self._write_filters(vanished.select(*KEY, F.lit(-1).alias("n")))
         self.deletions = True
         self._commit()
 
