@@ -335,3 +335,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     low = stage(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "component-ids")
     named = stage(rooted.join(low, "root").select("fp", "component_id", *root), "named")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id", *root, *carry)
+
+
+def keep_one(docs: DataFrame, columns: tuple[str, ...], words: int = 4, distance: int = 4) -> DataFrame:
+    """The ``columns`` (doc_id and text among them) of one document of each
+    component: the smallest doc_id, a row without an id only if no row of the
+    component has one; of several rows with that id the one with the smallest
+    hash.  Repeated rows are one document and stay rows."""
+    values = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    docs = docs.select(*columns, F.xxhash64(*values).alias("__a"), F.xxhash64(F.lit(1), *values).alias("__b"))
+    groups = near_duplicates(docs, words=words, distance=distance, carry=("__a", "__b"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__a", "__b"))
+    stay = groups.groupBy("root").agg(first.alias("first")).select("first.__a", "first.__b")
+    return docs.join(stay, ["__a", "__b"], "left_semi").select(*columns)
