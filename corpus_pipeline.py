@@ -36,15 +36,8 @@ def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash component (4-word shingles, at most 4 differing bits) one
-    document stays: the smallest doc_id, a row without an id only if no row of
-    the component has one; of several rows with that id the one with the
-    smallest hash.  Repeated rows are one document and stay rows."""
-    values = [x for c in COLUMNS for x in (F.col(c).isNull(), F.col(c))]
-    docs = docs.select(*COLUMNS, F.xxhash64(*values).alias("__a"), F.xxhash64(F.lit(1), *values).alias("__b"))
-    groups = simhash.near_duplicates(docs, words=4, distance=4, carry=("__a", "__b"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__a", "__b"))
-    stay = groups.groupBy("root").agg(first.alias("first")).select("first.__a", "first.__b")
-    return docs.join(stay, ["__a", "__b"], "left_semi").select(*COLUMNS)
+    document stays."""
+    return simhash.keep_one(docs, COLUMNS, words=4, distance=4)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
