@@ -59,16 +59,21 @@ PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class _Words(dict):
-    """Words (each with its space) of one lookup: filled on a miss, emptied
-    at CACHE_WORDS entries."""
+    """Words (each with its space) of one lookup, filled on a miss, in two
+    generations of CACHE_WORDS entries."""
 
     def __init__(self, coder: "TokenBytes"):
         super().__init__()
-        self.coder = coder
+        self.coder, self.old = coder, {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
             self.clear()
+        value = self.old.get(word)
+        if value is not None:
+            self[word] = value
+            return value
         coder = self.coder
         if word.isalpha() and len(word) < LONG_WORD and coder.PLAIN.fullmatch(word):
             value = coder.letters(word)
