@@ -124,12 +124,12 @@ def test_limits_raise(spark):
         with pytest.raises(ValueError, match="max_depth 50"):
             get_selected_models({"selected_models": [name], "model_params": {name: {"max_depth": 50}}})[name] \
                 .estimator(None, "y")
-    with pytest.raises(ValueError, match="no iteration limit"):
-        get_selected_models({"selected_models": ["lasso"], "model_params": {"lasso": {"max_iter": 5}}})
+    spec = get_selected_models({"selected_models": ["lasso"], "model_params": {"lasso": {"max_iter": 5}}})
+    assert spec["lasso"].params["max_iter"] == 5
     spec = get_selected_models({"selected_models": ["ridge"], "model_params": {"ridge": {"n_jobs": -1, "copy_X": False}}})
     assert spec["ridge"].params == {"alpha": 1.0, "fit_intercept": True}
     with pytest.raises(RuntimeError, match="mllib"):
-        linear._coordinate_descent(np.array([[1.0, 0.99], [0.99, 1.0]]), np.array([1.0, 0.9]), 0.01, 0.0, rounds=0)
+        linear._exact(np.array([[1.0, 0.99], [0.99, 1.0]]), np.array([1.0, 0.9]), 1.0, 0.01, rounds=0)
 
 
 @pytest.mark.parametrize("values", ["wide", "repeated", "skewed"])
@@ -151,12 +151,14 @@ def test_large_means_do_not_cancel(spark):
     x = np.column_stack([base, np.convolve(base, np.ones(3) / 3, "same"), 1e6 + 10 * rng.normal(size=400)])[5:-5]
     y = x @ np.array([0.5, 1.0, -0.3]) + rng.normal(size=len(x))
     df = spark.createDataFrame([(*map(float, r), float(v), 0) for r, v in zip(x, y)], "a double, b double, c double, y double, cell int")
-    moments, origin = linear.cell_moments(df, ["a", "b", "c"], "y", ["cell"])
-    w, b = linear.solve("ols", {}, linear.combine(moments, list(moments)), origin)
+    moments = linear.cell_moments(df, ["a", "b", "c"], "y", ["cell"])
+    fit = linear.solve("ols", {}, linear.combine(moments, list(moments)))
+    w, b = fit.w, fit.b
     ref = np.linalg.lstsq(x - x.mean(0), y - y.mean(), rcond=None)[0]
     rmse = lambda p: float(np.sqrt(np.mean((y - p) ** 2)))
     assert abs(rmse(x @ w + b) - rmse((x - x.mean(0)) @ ref + y.mean())) < 1e-6
-    w0, b0 = linear.solve("ols", {"fit_intercept": False}, linear.combine(moments, list(moments)), origin)
+    fit = linear.solve("ols", {"fit_intercept": False}, linear.combine(moments, list(moments)))
+    w0, b0 = fit.w, fit.b
     assert b0 == 0 and np.allclose(w0, np.linalg.lstsq(x, y, rcond=None)[0], rtol=1e-3, atol=1e-3)
 
 

@@ -15,7 +15,6 @@ from typing import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
@@ -24,7 +23,7 @@ from ..functions.hashing import hash_uint32, split_salt
 from ..operators.joins import attach
 from ..session import cut_lineage
 from .evaluate import BOARD, cv_metric_columns, metric_columns
-from .linear import combine, moment_partials, moments_from, solve
+from .linear import Moments, combine, moment_table, solve
 from .registry import get_selected_models
 from .train import FOLD, IS_TEST, add_folds, feature_columns
 
@@ -33,7 +32,7 @@ HOLDOUT = -1            # the split whose model is fitted to all training rows
 
 @dataclass
 class PerKeyResult:
-    models: DataFrame           # (keys…, model, split, w, b)
+    models: DataFrame           # (keys…, model, split, w, b, sweeps, gap)
     leaderboard: DataFrame      # (keys…, place, model, metrics…)
     predictions: DataFrame      # hold-out (keys…, ts, model, actual, predicted)
     cv_predictions: DataFrame   # the same, out of fold
@@ -92,15 +91,15 @@ def train_models_per_key(df: DataFrame, target: str, ts: str, config: dict, rand
                                random_state)
     data = cut_lineage(add_folds(data, ts, keys, k, random_state))
     cells = [FOLD, IS_TEST]
-    summed, origin = moment_partials(data, feats, target, [*keys, *cells])
-    summed = summed.select(*keys, *cells, "n", vector_to_array("s").alias("s"))
+    summed = moment_table(data, feats, target, [*keys, *cells])
     p = len(feats)
     schema = StructType([*(data.schema[c] for c in keys)])
     schema = schema.add("model", StringType()).add("split", IntegerType())
     schema = schema.add("w", ArrayType(DoubleType())).add("b", DoubleType())
+    schema = schema.add("sweeps", IntegerType()).add("gap", DoubleType())
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        moments = {(r[FOLD], r[IS_TEST]): moments_from(r["n"], np.asarray(r["s"]), p)
+        moments = {(r[FOLD], r[IS_TEST]): Moments.from_row(r["n"], r["mean"], r["scatter"])
                    for r in group.to_dict("records")}
         head = group.iloc[0][keys].tolist()
         rows = []
@@ -110,18 +109,19 @@ def train_models_per_key(df: DataFrame, target: str, ts: str, config: dict, rand
                 continue
             total = combine(moments, chosen)
             for spec in specs.values():
-                w, b = solve(spec.linear_kind, spec.params, total, origin)
-                rows.append((*head, spec.name, split, w.tolist(), b))
-        return pd.DataFrame(rows, columns=schema.names)
+                made = solve(spec.linear_kind, spec.params, total)
+                rows.append((*head, spec.name, split, made.w.tolist(), made.b, made.sweeps, made.gap))
+        out = pd.DataFrame(rows, columns=schema.names)
+        return out.astype({"sweeps": "Int32", "gap": "Float64"})
 
     models = cut_lineage(summed.groupBy(*keys).applyInPandas(fit, schema))
-    x = F.array(*[F.col(f"`{f}`").cast("double") for f in feats])
-    predicted = F.col("b") + F.aggregate(F.zip_with("w", x, lambda a, v: a * v), F.lit(0.0), lambda s, v: s + v)
+    dot = F.aggregate(F.zip_with("w", "x", lambda a, v: a * v), F.lit(0.0), lambda s, v: s + v)
 
     def scored(rows: DataFrame, split: Column) -> DataFrame:
-        joined = attach(rows.withColumn("split", split), models, keys, ["split"], "inner",
-                        array_bytes=8 * p)
-        return joined.select(*keys, ts, "model", F.col(target).alias("actual"), predicted.alias("predicted"))
+        x = F.array(*[F.col(f"`{f}`").cast("double") for f in feats])
+        rows = rows.select(*keys, ts, F.col(target).alias("actual"), split.alias("split"), x.alias("x"))
+        joined = attach(rows, models, keys, ["split"], "inner", array_bytes=8 * p)
+        return joined.select(*keys, ts, "model", "actual", (F.col("b") + dot).alias("predicted"))
 
     hold = scored(data.where(F.col(IS_TEST)), F.lit(HOLDOUT))
     oof = scored(data, F.col(FOLD))
@@ -144,7 +144,7 @@ def calibrated_per_key(featured: DataFrame, result: PerKeyResult, ts: str, targe
     best = result.best_models()
     coefficients = attach(result.models.where(F.col("split") == HOLDOUT), best, keys, ["model"], "left_semi")
     x = F.array(*[F.col(f"`{f}`").cast("double") for f in result.feature_columns])
-    predicted = F.col("b") + F.aggregate(F.zip_with("w", x, lambda a, v: a * v), F.lit(0.0), lambda s, v: s + v)
-    return attach(featured, coefficients.select(*keys, "w", "b"), keys,
-                  array_bytes=8 * len(result.feature_columns)).select(
-        *keys, ts, F.col(target).alias("reference_value"), predicted.alias("calibrated_prediction"))
+    rows = featured.select(*keys, ts, F.col(target).alias("reference_value"), x.alias("x"))
+    dot = F.aggregate(F.zip_with("w", "x", lambda a, v: a * v), F.lit(0.0), lambda s, v: s + v)
+    return attach(rows, coefficients.select(*keys, "w", "b"), keys, array_bytes=8 * len(result.feature_columns)).select(
+        *keys, ts, "reference_value", (F.col("b") + dot).alias("calibrated_prediction"))

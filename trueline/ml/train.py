@@ -34,6 +34,7 @@ class TrainingResult:
     predictions: DataFrame            # hold-out (ts, actual, predicted)
     cv_predictions: DataFrame | None = None
     feature_columns: list = field(default_factory=list)
+    certificate: dict | None = None   # lasso, elastic net: sweeps and duality gap of the hold-out fit
 
 
 def feature_columns(df: DataFrame, target: str, ts: str, keys: Sequence[str] = ()) -> list[str]:
@@ -177,22 +178,25 @@ def train_models(df: DataFrame, target: str, ts: str, config: dict, random_state
     rest = [s for s in specs.values() if s not in linear and s not in grown]
     actual = F.col(target).alias("actual")
     predictions: dict = {}
+    certificates: dict = {}
     metrics: dict[str, dict] = {name: {} for name in specs}
     if linear:
         # all linear fits of all splits from one pass (see ml.linear); their
         # predictions are column expressions, so hold-out rows, out-of-fold
         # rows and every metric come from the training table without unions
-        moments, origin = cell_moments(data, feats, target, [FOLD, IS_TEST])
+        moments = cell_moments(data, feats, target, [FOLD, IS_TEST])
         cells = list(moments)
         errors = [F.col(IS_TEST), F.col(target).alias("__y")]
         for spec in linear:
             cols = {}
             for split in splits:
                 chosen = [c for c in cells if (not c[1] if split is None else c[0] != split)]
-                w, b = solve(spec.linear_kind, spec.params, combine(moments, chosen), origin)
-                cols[split] = prediction_sql(feats, w, b)
+                fit = solve(spec.linear_kind, spec.params, combine(moments, chosen))
+                cols[split] = prediction_sql(feats, fit.w, fit.b)
                 if split is None:
-                    models[(spec.name, None)] = as_pipeline_model(feats, w, b)
+                    models[(spec.name, None)] = as_pipeline_model(feats, fit.w, fit.b)
+                    if fit.sweeps is not None:
+                        certificates[spec.name] = {"sweeps": fit.sweeps, "gap": fit.gap}
             hold_pred = F.expr(cols[None])
             hold = test.select(*keys, ts, actual, hold_pred.alias("predicted"))
             errors.append(hold_pred.alias(f"__h_{spec.name}"))
@@ -256,4 +260,5 @@ def train_models(df: DataFrame, target: str, ts: str, config: dict, random_state
             else:
                 metrics[r["model"]].update({"cv_rmse": r["cv_rmse"], "cv_mae": r["cv_mae"]})
     fitted = [(name, models[(name, None)], *predictions[name]) for name in specs]
-    return [TrainingResult(name, model, metrics[name], hold, oof, feats) for name, model, hold, oof in fitted]
+    return [TrainingResult(name, model, metrics[name], hold, oof, feats, certificates.get(name))
+            for name, model, hold, oof in fitted]

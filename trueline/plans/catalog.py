@@ -590,6 +590,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "resample_100ms": _resample(ref_valid, "100ms", "mean"),
     "ols_two_features": _two_features("multilinear_regression"),
     "ridge_two_features": _two_features("ridge"),
+    "lasso_two_features": _two_features("lasso"),
+    "elastic_net_two_features": _two_features("elastic_net"),
     "calibrate_per_key": _per_key(["sensor_pm25_raw"]),
     "calibrate_per_key_two": _per_key(["sensor_pm25_raw", "sensor_humidity"]),
     "sorted_series": q_sorted_series,

@@ -772,6 +772,27 @@ def s_two_features(alpha: str):
     return q.final(f"SELECT timestamp, {r6('y', 'actual')}, {r6(p, 'predicted')} FROM d, w WHERE is_test")
 
 
+def s_two_features_l1(l1: str, l2: str):
+    """Lasso and elastic net with two features: the stationary point of every
+    pattern of signs (0: not in the support) that has those signs; the one of
+    least objective is the minimum."""
+    q = Sql("ref_clean", "sen_clean")
+    al = align(q, "ref_clean", REF_COLS, "sen_clean", SEN_COLS, "pm25", "al2")
+    q.add("d", f"SELECT timestamp, reference_pm25 AS y, sensor_pm25_raw AS a, sensor_humidity AS b, {split_columns()} "
+               f"FROM {al}")
+    q.add("m", f"SELECT avg(a) AS am, avg(b) AS bm, avg(y) AS ym, var_pop(a) + {l2} AS aa, var_pop(b) + {l2} AS bb, "
+               f"covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS byc FROM d WHERE NOT is_test")
+    q.add("signs", "SELECT * FROM (VALUES (-1), (0), (1)) s(sa), (VALUES (-1), (0), (1)) t(sb)")
+    q.add("points", f"SELECT *, CASE WHEN sa = 0 THEN 0 WHEN sb = 0 THEN (ay - {l1} * sa) / aa "
+                    f"ELSE ((ay - {l1} * sa) * bb - (byc - {l1} * sb) * ab) / (aa * bb - ab * ab) END AS wa, "
+                    f"CASE WHEN sb = 0 THEN 0 WHEN sa = 0 THEN (byc - {l1} * sb) / bb "
+                    f"ELSE ((byc - {l1} * sb) * aa - (ay - {l1} * sa) * ab) / (aa * bb - ab * ab) END AS wb FROM m, signs")
+    q.add("w", f"SELECT * FROM points WHERE sign(wa) = sa AND sign(wb) = sb ORDER BY 0.5e0 * (aa * wa * wa + "
+               f"2 * ab * wa * wb + bb * wb * wb) - ay * wa - byc * wb + {l1} * (abs(wa) + abs(wb)) LIMIT 1")
+    p = "ym + wa * (a - am) + wb * (b - bm)"
+    return q.final(f"SELECT timestamp, {r6('y', 'actual')}, {r6(p, 'predicted')} FROM d, w WHERE is_test")
+
+
 def s_per_key(two: bool):
     """Least squares and ridge (alpha 1) per series on its own training rows,
     and the series' best model by hold-out rmse."""
@@ -927,6 +948,8 @@ def build() -> dict[str, str]:
         "resample_100ms": s_resample_100ms(),
         "ols_two_features": s_two_features("0.0"),
         "ridge_two_features": s_two_features("1.0"),
+        "lasso_two_features": s_two_features_l1("1.0", "0.0"),
+        "elastic_net_two_features": s_two_features_l1("0.5", "0.5"),
         "extra_stump": s_extra_stump(),
         "boost_stump": s_boost_stump(),
         "forest_stump": s_forest_stump(),
