@@ -4,17 +4,23 @@
    more strictly bounded pattern propose spans, which may overlap.  Patterns
    run in the JVM: matches are fenced with a control character and the text
    is split at the fences, which gives positions in code points.
-2. Every candidate gets format features (validator, digits, separators) and
-   context features (characters around it, a telling word before it).
-   All features are small integers, so the training table over *all*
-   candidates is a count per feature combination: a bounded grid.
-3. Labels come from the base rule: accepted base spans are positive; rejected
-   base matches, and candidates across an accepted span of another kind, are
-   negative.  Boosted trees (logistic loss) are fitted to one half of the
-   labelled candidates; on the other half each kind gets the lowest score
-   threshold that keeps the precision ``PRECISION``.
-4. All accepted base spans stay.  Other candidates are added if they reach
-   their kind's threshold and overlap no base span of their kind.
+2. Every candidate gets format features (shape, digits, separators) and
+   context features (characters around it, a telling word before it, a span of
+   its kind right beside it).  No feature is a check's verdict.  All are small
+   integers, so the training table over *all* candidates is a count per
+   feature combination: a bounded grid.
+3. Labels come from checks that the trees do not see.  Base matches: the base
+   rule's verdict.  Second candidates: the check that fits them, after
+   obfuscation is undone (an address with a lettered last label; octets, not
+   after a version word; Luhn; 8 to 15 digits); across an accepted span of
+   another kind they are negative.  A bracketed number without a country code
+   is positive after a telling word, else unlabelled.  Boosted trees (logistic
+   loss) are fitted to one half of the labelled candidates; on the second
+   candidates of the other half each kind gets the lowest score threshold at
+   which its precision, with ``PRIOR`` rows of the precision of all kinds
+   added, is at least ``PRECISION``.
+4. All accepted base spans stay.  Second candidates are added if they reach
+   their kind's threshold and overlap no accepted base span.
 
 The trees are column expressions; nothing leaves the JVM but the counted
 grid.  Base patterns are written with possessive quantifiers and start
@@ -57,10 +63,13 @@ TRIGGER = {"email": r"@|[\[(]\x20?(?:at|AT)", "ip": r"[0-9]\.[0-9]", "card": r"[
 #: Words that tell a kind when they stand shortly before a span.
 TELLING = {"email": r"mail|contact|write", "ip": r"\bip\b|host|server|addr", "card": r"card|visa|credit|pay|account",
            "phone": r"phone|call|tel|fax|mobile|cell"}
-CONTEXT = 24
+#: How an obfuscated address writes its signs, and words before a version number.
+AT, DOT = (rf"\x20?[\[(]\x20?(?:{w.lower()}|{w})\x20?[\])]\x20?" for w in ("AT", "DOT"))
+VERSION = r"(?i)(?:\bv|\bver|version|release|build)[\s.:]*$"
+CONTEXT = 48
 FENCE = "\u0001"
-FEATURES = ("valid", "digits", "separators", "left", "right", "told", "second")
-ROUNDS, RATE, DEPTH, PRECISION, LEAST = 30, 0.3, 3, 0.98, 20
+FEATURES = ("shape", "digits", "separators", "left", "right", "told", "beside", "second")
+ROUNDS, RATE, DEPTH, PRECISION, PRIOR = 30, 0.3, 3, 0.98, 20
 
 
 # --- candidates -------------------------------------------------------------
@@ -76,14 +85,15 @@ def _fenced(kind: str, pattern: str, second: int) -> Column:
         return F.struct(
             F.lit(KINDS.index(kind)).alias("kind"), F.lit(second).alias("second"), i.alias("i"),
             F.char_length(p).alias("n"), F.when(odd, p).alias("match"),
-            F.when(~odd, F.right(p, F.lit(CONTEXT))).alias("tail"), F.when(~odd, F.left(p, F.lit(1))).alias("head"))
+            F.right(p, F.lit(CONTEXT)).alias("tail"), F.when(~odd, F.left(p, F.lit(1))).alias("head"))
 
     return F.when(F.size(pieces) > 1, F.transform(pieces, piece))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, kind, second, start, end, match, before, after); one line
-    with a null kind for every row of ``docs``."""
+    """(row, doc_id, kind, second, start, end, match, before, after, beside); one
+    line with a null kind for every row of ``docs``.  ``before`` reaches over the
+    match before, ``beside`` tells a match at most two characters away."""
     text = F.translate(F.coalesce("text", F.lit("")), FENCE, "\u0004")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("t"))
     found = [_fenced(k, BASE[k], 0) for k in KINDS] + [_fenced(k, MORE[k], 1) for k in KINDS]
@@ -92,8 +102,12 @@ def candidates(docs: DataFrame) -> DataFrame:
                   " 'tail', '', 'head', ''))").cast(kind)
     parts = F.flatten(F.filter(F.array(none, *[f.cast(kind) for f in found]), lambda x: x.isNotNull()))
     w = Window.partitionBy("row", "kind", "second").orderBy("i")
+    before = F.right(F.concat(*[F.coalesce(F.lag("tail", k).over(w), F.lit("")) for k in (3, 2, 1)]), F.lit(CONTEXT))
+    beside = F.lit(0)
+    for near in (F.lag, F.lead):
+        beside = F.when(near("i", 2).over(w).isNotNull() & (near("n").over(w) <= 2), 1).otherwise(beside)
     return (rows.select("row", "doc_id", F.inline(parts))
-            .withColumns({"end": F.sum("n").over(w), "before": F.lag("tail").over(w), "after": F.lead("head").over(w)})
+            .withColumns({"end": F.sum("n").over(w), "before": before, "after": F.lead("head").over(w), "beside": beside})
             .withColumn("start", F.col("end") - F.col("n")).where("i % 2 = 1").drop("i", "n", "tail", "head"))
 
 
@@ -130,18 +144,40 @@ def _char_class(c: Column) -> Column:
             .otherwise(4))
 
 
+def _shape() -> Column:
+    """How a match is written, by kind."""
+    m = F.col("match")
+
+    def bits(*tests: Column) -> Column:
+        return sum((F.when(t, 2 ** k).otherwise(0) for k, t in enumerate(tests)), F.lit(0))
+
+    return (F.when(F.col("kind") == 0, bits(F.contains(m, F.lit("@")), m.rlike(r"[A-Za-z]{2}$")))
+            .when(F.col("kind") == 1, bits(m.rlike(r"(?:^|\.)0[0-9]"), m.rlike(r"[0-9]{3}$"), m.rlike(r"^[0-9]{3}")))
+            .when(F.col("kind") == 2, bits(m.rlike(r"^[0-9]{4}([\x20-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}$"), m.rlike("^[3-6]")))
+            .otherwise(bits(m.startswith("+"), F.contains(m, F.lit("(")))))
+
+
+def fitting(told: Column) -> Column:
+    """The check of a second candidate; null where it settles nothing."""
+    plain = F.regexp_replace(F.regexp_replace("match", AT, "@"), DOT, ".")
+    address = plain.rlike(r"^[A-Za-z0-9._%+-]++@[A-Za-z0-9]") & plain.rlike(r"\.[A-Za-z]{2,}+$")
+    return (F.when(F.col("kind") == 0, address)
+            .when(F.col("kind") == 1, accepted() & ~F.col("before").rlike(VERSION))
+            .when(F.col("kind") == 2, accepted())
+            .when(~accepted(), F.lit(False)).when(F.col("match").startswith("+") | told, F.lit(True)))
+
+
 def featured(found: DataFrame) -> DataFrame:
     """Add the features, ``ok`` (an accepted base span) and ``label``."""
     told = F.lit(False)
     for k, name in enumerate(KINDS):
         told = F.when(F.col("kind") == k, F.lower("before").rlike(TELLING[name])).otherwise(told)
-    literal = F.when(F.col("kind") == 0, F.contains(F.col("match"), F.lit("@"))).otherwise(F.lit(True))
     out = found.where("kind is not null").withColumns({
-        "valid": (accepted() & literal).cast("int"),
+        "shape": _shape().cast("int"),
         "digits": F.least(F.floor(F.char_length(_digits()) / 4), F.lit(5)).cast("int"),
         "separators": F.least(F.char_length(F.regexp_replace("match", "[0-9A-Za-z]", "")), F.lit(4)).cast("int"),
         "left": _char_class(F.right("before", F.lit(1))), "right": _char_class(F.col("after")),
-        "told": told.cast("int")})
+        "told": told.cast("int"), "fits": F.when(F.col("second") == 1, fitting(told))})
     ok = (F.col("second") == 0) & accepted()
     out = out.withColumn("ok", ok).drop("before", "after", "match")
     # The same span from both generators is one candidate, the base one.
@@ -157,9 +193,9 @@ def featured(found: DataFrame) -> DataFrame:
 
     out = out.withColumn("taken", across(["row", "kind"], F.col("ok")))
     out = out.withColumn("crossed", across(["row"], F.col("ok")) & ~F.col("taken"))
-    label = (F.when(F.col("ok"), 1).when(F.col("second") == 0, 0)
-             .when(F.col("crossed") & ~F.col("taken"), 0))
-    return out.withColumn("label", label)
+    label = (F.when(F.col("ok"), 1).when(F.col("second") == 0, 0).when(~F.col("taken") & F.col("crossed"), 0)
+             .when(~F.col("taken"), F.col("fits").cast("int")))
+    return out.withColumn("label", label).drop("fits")
 
 
 # --- boosted trees over the counted grid ------------------------------------
@@ -225,17 +261,22 @@ def boost(grid: list[dict]) -> list[Node]:
 
 
 def thresholds(grid: list[dict], trees: list[Node]) -> dict[int, float]:
-    """Per kind the lowest score that keeps the precision on ``grid``; kinds
-    without enough labelled rows get none."""
+    """Per kind the lowest score at which the precision of its second
+    candidates on ``grid``, with ``PRIOR`` rows of the precision of all
+    labelled candidates at that score added, is at least ``PRECISION``."""
+    rows = sorted(((RATE * sum(t.score(r) for t in trees), r) for r in grid), key=lambda x: -x[0])
+    sums = {kind: [0, 0] for kind in range(len(KINDS))}
+    n = pos = 0
     out: dict[int, float] = {}
-    for kind in range(len(KINDS)):
-        rows = sorted(((RATE * sum(t.score(r) for t in trees), r["n"], r["pos"]) for r in grid if r["kind"] == kind),
-                      reverse=True)
-        n = pos = 0
-        for k, (score, rn, rp) in enumerate(rows):
-            n, pos = n + rn, pos + rp
-            last_of_score = k + 1 == len(rows) or rows[k + 1][0] < score
-            if last_of_score and n >= LEAST and pos >= PRECISION * n and score > 0:
+    for k, (score, r) in enumerate(rows):
+        n, pos = n + r["n"], pos + r["pos"]
+        if r["second"]:
+            mine = sums[r["kind"]]
+            mine[0], mine[1] = mine[0] + r["n"], mine[1] + r["pos"]
+        if k + 1 < len(rows) and rows[k + 1][0] == score:
+            continue
+        for kind, (own, good) in sums.items():
+            if good + PRIOR * pos / n >= PRECISION * (own + PRIOR):
                 out[kind] = score
     return out
 
