@@ -136,15 +136,24 @@ def train_models_per_key(df: DataFrame, target: str, ts: str, config: dict, rand
     return PerKeyResult(models, board.select(*keys, place.alias("place"), *BOARD), hold, oof, feats)
 
 
+def scored_per_key(rows: DataFrame, coefficients: DataFrame, features: Sequence[str], ts: str, keys: Sequence[str],
+                   carried: Sequence[Column] = (), how: str = "inner") -> DataFrame:
+    """(keys…, ts, carried…, calibrated_prediction) with one (w, b) per series."""
+    keys = list(keys)
+    x = F.array(*[F.col(f"`{f}`").cast("double") for f in features])
+    rows = rows.select(*keys, ts, F.struct(F.lit(0), *carried).alias("carried"), x.alias("x"))
+    dot = F.aggregate(F.zip_with("w", "x", lambda a, v: a * v), F.lit(0.0), lambda s, v: s + v)
+    joined = attach(rows, coefficients.select(*keys, "w", "b"), keys, how=how, array_bytes=8 * len(features))
+    names = [f.name for f in rows.schema["carried"].dataType.fields[1:]]
+    return joined.select(*keys, ts, *[F.col("carried")[n].alias(n) for n in names],
+                         (F.col("b") + dot).alias("calibrated_prediction"))
+
+
 def calibrated_per_key(featured: DataFrame, result: PerKeyResult, ts: str, target: str,
                        keys: Sequence[str]) -> DataFrame:
     """(keys…, ts, reference_value, calibrated_prediction) with each series'
     best model."""
     keys = list(keys)
-    best = result.best_models()
-    coefficients = attach(result.models.where(F.col("split") == HOLDOUT), best, keys, ["model"], "left_semi")
-    x = F.array(*[F.col(f"`{f}`").cast("double") for f in result.feature_columns])
-    rows = featured.select(*keys, ts, F.col(target).alias("reference_value"), x.alias("x"))
-    dot = F.aggregate(F.zip_with("w", "x", lambda a, v: a * v), F.lit(0.0), lambda s, v: s + v)
-    return attach(rows, coefficients.select(*keys, "w", "b"), keys, array_bytes=8 * len(result.feature_columns)).select(
-        *keys, ts, "reference_value", (F.col("b") + dot).alias("calibrated_prediction"))
+    coefficients = attach(result.models.where(F.col("split") == HOLDOUT), result.best_models(), keys, ["model"], "left_semi")
+    return scored_per_key(featured, coefficients, result.feature_columns, ts, keys,
+                          [F.col(target).alias("reference_value")], "left")

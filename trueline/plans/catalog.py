@@ -38,6 +38,7 @@ from ..sources.sinks import load_model, save_model, write_csv, write_parquet
 from ..ml.evaluate import regression_metrics
 from .calibration import (alignment_metadata_frame, build_calibrated_dataset, create_leaderboard,
                           preview, prediction_chart_data, run_calibration_pipeline, select_best)
+from .store import load_calibration, save_calibration
 
 TS = "timestamp"
 BLOCK = 128
@@ -565,6 +566,15 @@ def q_calibrate_keyed(spark, d):
     return rounded(res.calibrated_dataset)
 
 
+def q_score_reloaded_keyed(spark, d):
+    store = _scratch(spark, "calibrations")
+    config = {"preprocessing": {"outlier_method": "none"}, "feature_engineering": {"enabled": False},
+              "training": {"selected_models": ["ridge"], "model_params": {}, "models_per_key": True}}
+    save_calibration(run_calibration_pipeline(fx.ref_keyed(spark, d), fx.sen_keyed(spark, d), config,
+                                              keys=["event_type"], block_rows=BLOCK), store)
+    return rounded(load_calibration(store).score(fx.sen_keyed(spark, d), fx.ref_keyed(spark, d), BLOCK))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # sources and sinks
     "scan_frame": q_scan_frame,
@@ -590,6 +600,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "resample_100ms": _resample(ref_valid, "100ms", "mean"),
     "ols_two_features": _two_features("multilinear_regression"),
     "ridge_two_features": _two_features("ridge"),
+    "score_reloaded_keyed": q_score_reloaded_keyed,
     "lasso_two_features": _two_features("lasso"),
     "elastic_net_two_features": _two_features("elastic_net"),
     "calibrate_per_key": _per_key(["sensor_pm25_raw"]),

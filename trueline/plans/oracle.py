@@ -260,8 +260,8 @@ def window_features(cols, lags=(), windows=(), part: str = "") -> list[tuple[str
 
 
 # ------------------------------------------------------------ preprocessing
-def preprocess(q: Sql, src: str, passthrough, cols, name: str, keys=()) -> str:
-    """median impute → IQR(1.5) → standard scale over ``cols`` (per key)."""
+def preprocess(q: Sql, src: str, passthrough, cols, name: str, keys=(), iqr: bool = True) -> str:
+    """median impute → IQR(1.5), if wanted → standard scale over ``cols`` (per key)."""
     k = list(keys)
     kc = "".join(f"{x}, " for x in k)
     gb = f" GROUP BY {', '.join(k)}" if k else ""
@@ -277,7 +277,7 @@ def preprocess(q: Sql, src: str, passthrough, cols, name: str, keys=()) -> str:
     qs = ", ".join(f"quantile_cont({c}, 0.25) AS q1_{c}, quantile_cont({c}, 0.75) AS q3_{c}" for c in cols)
     qq = q.add(f"{name}_q", f"SELECT {kc}{qs} FROM {imp}{gb}")
     conds = " AND ".join(f"({c} IS NULL OR {c} BETWEEN q1_{c} - 1.5 * (q3_{c} - q1_{c}) AND q3_{c} + 1.5 * (q3_{c} - q1_{c}))"
-                         for c in cols)
+                         for c in cols) if iqr else "true"
     flt = q.add(f"{name}_flt", f"SELECT {', '.join(passthrough)}, {', '.join(cols)} FROM {with_params(imp, qq)} WHERE {conds}")
     ss = ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS s_{c}"
                    for c in cols)
@@ -772,6 +772,37 @@ def s_two_features(alpha: str):
     return q.final(f"SELECT timestamp, {r6('y', 'actual')}, {r6(p, 'predicted')} FROM d, w WHERE is_test")
 
 
+def s_score_reloaded_keyed():
+    """Ridge (alpha 1) with three features per series, by Cramer's rule on the
+    population covariances of its training rows; all rows scored."""
+    q = Sql("ref_keyed", "sen_keyed")
+    keys = ["event_type"]
+    rp = preprocess(q, "ref_keyed", ["event_type", "timestamp", "pm25"], ["temperature"], "rp", keys, iqr=False)
+    sp = preprocess(q, "sen_keyed", ["event_type", "timestamp"], ["pm25_raw", "humidity"], "sp", keys, iqr=False)
+    al = align(q, rp, REF_COLS, sp, ["pm25_raw", "humidity"], "pm25", "al", keys)
+    h = HASH.replace("concat_ws('|', ", "concat_ws('|', event_type, ").format(salt="split:42")
+    q.add("d", f"SELECT event_type, timestamp, reference_pm25 AS y, reference_temperature AS a, sensor_pm25_raw AS b, "
+               f"sensor_humidity AS c, rank() OVER (PARTITION BY event_type ORDER BY {h}) <= "
+               f"ceil(0.2e0 * count(*) OVER (PARTITION BY event_type)) AS is_test FROM {al}")
+    pairs = ", ".join(f"covar_pop({x}, {y}) AS {x}{y}" for x, y in ("ab", "ac", "bc", "ay", "by", "cy")).replace(" AS by", " AS b_y")
+    q.add("m", f"SELECT event_type, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, avg(y) AS my, {pairs}, "
+               + ", ".join(f"var_pop({x}) + 1.0 / count(*) AS {x}{x}" for x in "abc")
+               + " FROM d WHERE NOT is_test GROUP BY event_type")
+
+    def det(m):
+        (a, b, c), (d, e, f), (g, h2, i) = m
+        return f"({a} * ({e} * {i} - {f} * {h2}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h2} - {e} * {g}))"
+
+    rows = [["aa", "ab", "ac"], ["ab", "bb", "bc"], ["ac", "bc", "cc"]]
+    right = ["ay", "b_y", "cy"]
+    w = [f"{det([[right[i] if j == k else rows[i][j] for j in range(3)] for i in range(3)])} / {det(rows)} AS w{k}"
+         for k in range(3)]
+    q.add("w", f"SELECT *, {', '.join(w)} FROM m")
+    p = "my + w0 * (a - ma) + w1 * (b - mb) + w2 * (c - mc)"
+    return q.final(f"SELECT event_type, timestamp, {r6(p, 'calibrated_prediction')}, {r6('y', 'reference_value')} "
+                   f"FROM d JOIN w USING (event_type)")
+
+
 def s_two_features_l1(l1: str, l2: str):
     """Lasso and elastic net with two features: the stationary point of every
     pattern of signs (0: not in the support) that has those signs; the one of
@@ -948,6 +979,7 @@ def build() -> dict[str, str]:
         "resample_100ms": s_resample_100ms(),
         "ols_two_features": s_two_features("0.0"),
         "ridge_two_features": s_two_features("1.0"),
+        "score_reloaded_keyed": s_score_reloaded_keyed(),
         "lasso_two_features": s_two_features_l1("1.0", "0.0"),
         "elastic_net_two_features": s_two_features_l1("0.5", "0.5"),
         "extra_stump": s_extra_stump(),
