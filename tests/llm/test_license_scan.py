@@ -104,3 +104,48 @@ def test_scores_are_tf_idf_over_the_corpus(spark):
     got = [(r.doc_id, r.own, r.score and round(r.score, 6)) for r in ls.detect(files(spark, rows), carry=("doc_id",)).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert {r[1] for r in want if 1000 <= r[0] < 2000} == {"GPL-3.0", "Apache-2.0", "MIT", "ISC"}
+
+
+NOTICE = {"BSD-2-Clause": [ls.BSD_OPENING, ls.BSD_SOURCE, ls.BSD_BINARY, ls.BSD_DISCLAIMER],
+          "BSD-3-Clause": [ls.BSD_OPENING, ls.BSD_SOURCE, ls.BSD_BINARY, ls.BSD_NAMES.replace("the copyright holder", "Acme"),
+                           ls.BSD_DISCLAIMER],
+          "LGPL-2.1": [ls.TEMPLATES["LGPL-2.1"][1]], "LGPL-3.0": [ls.TEMPLATES["LGPL-3.0"][1]],
+          "GPL-3.0": [ls.TEMPLATES["GPL-3.0"][1]], "GPL-2.0": [ls.TEMPLATES["GPL-2.0"][1]]}
+
+
+def wrapped(text, start=""):
+    words, lines = text.split(), [""]
+    for w in words:
+        if len(lines[-1]) + len(w) > 70:
+            lines.append("")
+        lines[-1] += f" {w}"
+    return "\n".join(start + line for line in lines)
+
+
+def test_near_relatives_are_told_apart(spark):
+    """Licence files, headers over code and single lines of licences that share
+    most of their words; files below inherit the right one."""
+    rows, want = [], {}
+    for k, (name, parts) in enumerate(sorted(NOTICE.items())):
+        held = "Copyright (c) 2021, Jane Doe\nAll rights reserved.\n\n" + "\n\n".join(map(wrapped, parts))
+        header = "/*\n" + "\n *\n".join(wrapped(p, " *") for p in parts) + "\n */\n\n" + "int frames(int x);\n\n" * 400
+        rows += [(10 * k, f"{name}/LICENSE", held), (10 * k + 1, f"{name}/src/a.c", header),
+                 (10 * k + 2, f"{name}/src/b.c", "int b;"), (10 * k + 3, "one/line", " ".join(parts))]
+        want.update({10 * k: name, 10 * k + 1: name, 10 * k + 2: name, 10 * k + 3: name})
+    rows += [(1000 + k, f"o/f{k}", f"the plain file of word{k} and of the others, see frames") for k in range(100)]
+    got = {r.doc_id: r.licence for r in ls.scan(files(spark, rows), carry=("doc_id",)).collect()}
+    assert {d: got[d] for d in want} == want and all(got[1000 + k] is None for k in range(100))
+
+
+def test_scan_of_a_text_equals_the_spark_run(spark):
+    rows = [(k, f"d/f{k}", "\n\n".join(["some words before", *parts, "int x;"])) for k, parts in enumerate(NOTICE.values())]
+    held = Counter(w for _, _, t in rows for w in set(ls.words_of(t)))
+    matcher = ls.Matcher(ls.TEMPLATES, len(rows), held, ls.THRESHOLD)
+    for r in ls.detect(files(spark, rows), carry=("doc_id",)).collect():
+        score, name = matcher.scan(rows[r.doc_id][2])
+        assert r.own == name and abs(r.score - score) < 1e-8
+
+
+def test_whole_text_is_a_unit():
+    assert ls.units_of("a b\n\nc") == [["a", "b"], ["c"], ["a", "b", "c"]]
+    assert ls.units_of("a\nb") == [["a"], ["b"], ["a", "b"]] and ls.units_of("a") == [["a"]] and ls.units_of("\n") == []

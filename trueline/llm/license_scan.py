@@ -1,15 +1,16 @@
 """Licence scan: TF-IDF cosine to templates, then nearest-ancestor inheritance.
 
-A file's units are its lines and its paragraphs of several lines (runs of
-lines with words), so a notice is found wherever it stands in the whole
-text.  A unit's vector has its words' term frequency times inverse document
+A file's units are its lines, its paragraphs of several lines (runs of
+lines with words) and the whole file, so a notice is found wherever it stands
+in the text and a licence file is compared as a whole.  A unit's vector has its words' term frequency times inverse document
 frequency; document frequencies of all words are counted over all files.  Words
 of no template cannot add to a product, only to the unit's length; their
 frequencies stay in a table, which is joined to the units that could reach
 ``threshold`` if all such words had the least weight there is.  A unit
 whose best cosine reaches ``threshold`` carries that template's licence; the
 file's licence is that of its best unit (ties: the template that comes first
-by name).
+by name).  A licence whose whole text is part of another (``CONTAINED``) counts
+only if no unit carries the other.
 
 Files without a licence of their own inherit it from the nearest ancestor
 directory that holds a licence file (by name) with a detected licence; of
@@ -43,7 +44,26 @@ COUNTED_WORDS = 200_000
 WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|copyright)([-._][a-z0-9.-]*)?$"
 
-# Notices and opening paragraphs of common licences.
+# The parts of the BSD licences.
+BSD_OPENING = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+               "that the following conditions are met:")
+BSD_SOURCE = ("1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+              "following disclaimer.")
+BSD_BINARY = ("2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+              "the following disclaimer in the documentation and/or other materials provided with the distribution.")
+BSD_NAMES = ("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+             "promote products derived from this software without specific prior written permission.")
+BSD_DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+    "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+#: Licences whose text is part of another's.
+CONTAINED = {"BSD-2-Clause": "BSD-3-Clause"}
+# Notices, headers and short texts of common licences.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "AGPL-3.0": (
         "This work is licensed under the GNU Affero General Public License, version 3.",
@@ -58,11 +78,13 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Unless required by applicable law or agreed to in writing, software distributed under the License is "
         "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
     "BSD-2-Clause": (
-        "Licensed under the BSD 2-Clause License.",),
+        "Licensed under the BSD 2-Clause License.",
+        BSD_OPENING,
+        f"{BSD_OPENING} {BSD_SOURCE} {BSD_BINARY} {BSD_DISCLAIMER}"),
     "BSD-3-Clause": (
         "Licensed under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-        "that the following conditions are met:"),
+        BSD_NAMES,
+        f"{BSD_OPENING} {BSD_SOURCE} {BSD_BINARY} {BSD_NAMES} {BSD_DISCLAIMER}"),
     "CC-BY-4.0": (
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -88,8 +110,16 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Released under the ISC License.",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
         "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    "LGPL-2.1": (
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or "
+        "(at your option) any later version."),
     "LGPL-3.0": (
-        "This work is licensed under the GNU Lesser General Public License, version 3.",),
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
+        "(at your option) any later version."),
     "MIT": (
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
@@ -108,18 +138,21 @@ def words_of(text: str) -> list[str]:
 
 
 def units_of(text: str) -> list[list[str]]:
-    """Words of every line and of every paragraph of several lines."""
-    out, paragraph = [], []
+    """Words of every line, of every paragraph of several lines and of the whole
+    text, if it is more than one paragraph."""
+    out, paragraph, whole, paragraphs = [], [], [], 0
     for line in [*text.split("\n"), ""]:
         words = words_of(line)
         if words:
             out.append(words)
             paragraph.append(words)
+            whole += words
         else:
+            paragraphs += bool(paragraph)
             if len(paragraph) > 1:
                 out.append([w for p in paragraph for w in p])
             paragraph = []
-    return out
+    return [*out, whole] if paragraphs > 1 else out
 
 
 def template_words(templates: dict[str, tuple[str, ...]]) -> set[str]:
@@ -206,12 +239,9 @@ class Matcher:
         return (score, name) if score >= self.threshold else None
 
     def scan(self, text: str) -> tuple[float, str] | None:
-        best = None
-        for words in units_of(text):
-            found = self.best(words)
-            if found and (best is None or (-found[0], found[1]) < (-best[0], best[1])):
-                best = found
-        return best
+        found = [f for f in map(self.best, units_of(text)) if f]
+        names = {name for _, name in found}
+        return min((f for f in found if CONTAINED.get(f[1]) not in names), key=lambda f: (-f[0], f[1]), default=None)
 
 
 def detect(files: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, threshold: float = THRESHOLD,
@@ -256,7 +286,12 @@ def detect(files: DataFrame, templates: dict[str, tuple[str, ...]] | None = None
               .groupBy("__row", "unit").agg(F.collect_list(F.struct("n", "files")).alias("counts")))
     found = (units.join(counts, ["__row", "unit"], "left").select("__row", "dot", "name", "square", "counts")
              .mapInArrow(scores, "__row long, name string, value double").where(F.col("value") >= threshold))
-    best = found.groupBy("__row").agg(F.min(F.struct((-F.col("value")).alias("s"), "name")).alias("best"))
+    unit = F.struct((-F.col("value")).alias("s"), "name")
+    best = found.groupBy("__row").agg(
+        F.min(F.when(~F.col("name").isin(*CONTAINED), unit)).alias("free"),
+        *[F.when(~F.bool_or(F.col("name") == F.lit(more)), F.min(F.when(F.col("name") == F.lit(less), unit))).alias(less)
+          for less, more in CONTAINED.items()])
+    best = best.select("__row", F.least("free", *[F.col(f"`{c}`") for c in CONTAINED]).alias("best"))
     return rows.join(best, "__row", "left").select(
         *carry, "path", F.col("best.name").alias("own"), (-F.col("best.s")).alias("score"))
 
