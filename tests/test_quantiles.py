@@ -68,3 +68,33 @@ def test_all_ways_agree_bit_for_bit(spark, monkeypatch):
             exact_quantiles(df, ["x"], probs, ["k"], final_rows=5)]
     a, b, c = ({r.k: r["values"] for r in w.collect()} for w in ways)
     assert a == b == c
+
+
+def test_large_groups_get_finer_digests(spark, monkeypatch):
+    """Groups far beyond what the coarsest digest can bracket: still nothing is exploded."""
+    from trueline.operators import quantiles
+    rng = np.random.default_rng(13)
+    n = 6000
+    pdf = pd.DataFrame({"k": rng.integers(0, 2, n), "x": rng.normal(size=n), "y": rng.integers(0, 9, n) / 100})
+    df = spark.createDataFrame(pdf).repartition(5)
+
+    def moved(*a, **b):
+        raise AssertionError("cells were exploded")
+    monkeypatch.setattr(quantiles, "long_values", moved)
+    monkeypatch.setattr(quantiles, "DIGEST", 10)
+    monkeypatch.setattr(quantiles, "BETWEEN", 100, raising=False)
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    whole = exact_quantiles(df, ["x", "y"], probs, final_rows=400).collect()
+    for r in [*whole, *exact_quantiles(df, ["x", "y"], probs, ["k"], final_rows=400).collect()]:
+        mine = pdf[r.column] if "k" not in r else pdf[pdf.k == r.k][r.column]
+        assert np.allclose(r["values"], mine.quantile(probs).to_numpy(), rtol=0, atol=1e-12), r
+    assert len(whole) == 2
+
+
+def test_accuracy_grows_with_the_group_within_bounds():
+    from trueline.operators import quantiles as q
+    assert q._accuracy(1_000_000, 4) == q.DIGEST
+    assert q._accuracy(36_000_000, 4) == 4320
+    assert q._accuracy(10 ** 10, 4) == q.FINEST
+    assert q._accuracy(10 ** 10, 6400) == 312
+    assert q._accuracy(10 ** 10, 10 ** 6) == q.DIGEST

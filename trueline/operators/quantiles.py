@@ -16,12 +16,13 @@ Here the order statistics are found by selection:
 3. the few remaining rows of each unresolved interval are sorted inside
    one aggregate (bounded by ``final_rows``) and the rank is picked.
 
-Groups of moderate size (:func:`_between_brackets`; of 8 ``DIGEST`` values on
-average, as below that a digest is as long as the values) need two aggregations of
-the wide rows: digests merged per (keys, column) give two values around each
-wanted rank, then the rows outside are counted and only the values strictly
-between are gathered, a few hundredths of the group.  No cell is exploded or
-moved by key.  A table of at most ``final_rows`` rows in all is sorted at once.
+Groups up to ``final_rows`` * ``FINEST`` / 8 values (:func:`_between_brackets`; of
+8 ``DIGEST`` values on average, as below that a digest is as long as the values)
+need two aggregations of the wide rows: digests merged per (keys, column) give
+two values around each wanted rank, then the rows outside are counted and only
+the values strictly between are gathered.  Digests are the finer the larger the
+groups (:func:`_accuracy`), so these stay about ``BETWEEN`` values.  No cell is
+exploded or moved by key.  A table of at most ``final_rows`` rows in all is sorted at once.
 All ways end in the same interpolation of the two order statistics, so results
 do not depend on the way, bit for bit.
 
@@ -43,6 +44,12 @@ FINAL_ROWS = 1_000_000
 EDGES = 63
 #: A digest's rank error is one in so many.
 DIGEST = 200
+#: In large groups finer, so that about so many values are between two
+#: brackets: one in up to ``FINEST``, and all digests of a task together hold
+#: about so many entries.
+BETWEEN = 50_000
+FINEST = 10_000
+DIGEST_ENTRIES = 2_000_000
 
 
 def long_values(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -82,14 +89,20 @@ def _clean(c: str) -> Column:
     return F.when(~F.isnan(v), v)
 
 
-def _between_brackets(df: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: list) -> DataFrame | None:
+def _accuracy(largest: int, cells: int) -> int:
+    """How fine digests of ``cells`` (keys, column) are, the largest of ``largest`` values."""
+    return max(DIGEST, min(-(-6 * largest // BETWEEN), FINEST, DIGEST_ENTRIES // max(1, cells)))
+
+
+def _between_brackets(df: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: list,
+                      accuracy: int) -> DataFrame | None:
     """``exact_quantiles`` by one pass of digests and one of counts; None if a
     digest was further off than it promises."""
-    shares = [min(1.0, max(0.0, q + side * 3 / DIGEST)) for q in probs for side in (-1, 1)]
+    shares = [min(1.0, max(0.0, q + side * 3 / accuracy)) for q in probs for side in (-1, 1)]
     aggs = []
     for i, c in enumerate(columns):
         v = _clean(c)
-        digest = F.percentile_approx(v, F.array(*map(F.lit, shares)), F.lit(DIGEST))
+        digest = F.percentile_approx(v, F.array(*map(F.lit, shares)), F.lit(accuracy))
         # beyond the first and the last share the bracket is the least and the largest value
         ends = F.array(*[F.min(v) if s <= 0 else F.max(v) if s >= 1 else digest[k] for k, s in enumerate(shares)])
         aggs += [F.count(v).alias(f"__n{i}"), ends.alias(f"__e{i}")]
@@ -149,13 +162,14 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
 
     if row_bound is not None and row_bound <= final_rows:
         return direct()
-    stats = cut_lineage(value_stats(df, columns, keys))
+    stats, cells = cut_lineage_counted(value_stats(df, columns, keys))
     largest, mean = stats.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.avg("n"), F.lit(0.0))).first()
     if largest <= final_rows and mean < 8 * DIGEST:
         return direct()                 # a digest of so few values would be the values
-    # the values between two brackets are less than 8 / DIGEST of a group
-    if largest <= final_rows * DIGEST // 8:
-        quick = _between_brackets(df, columns, probs, keys)
+    # the values between two brackets are less than 8 / accuracy of a group
+    accuracy = _accuracy(largest, cells)
+    if largest <= final_rows * accuracy // 8:
+        quick = _between_brackets(df, columns, probs, keys, accuracy)
         if quick is not None:
             return quick
     ranks = []
