@@ -111,3 +111,43 @@ def test_saved_model_scores_alike(spark, tmp_path):
     again = load_model(str(tmp_path / "m"))
     x = np.random.default_rng(0).normal(size=(50, 4))
     assert (model.predict(x) == again.predict(x)).all() and again.features == model.features
+
+
+def test_single_block_rows_step_down_instead_of_walking_from_the_root(monkeypatch):
+    """A level costs the rows of its open nodes, not all rows times the depth; the trees stay the same."""
+    import numpy as np
+    from trueline.ml import tree_grower as g
+    rng = np.random.default_rng(3)
+    n = 700
+    x = np.round(rng.normal(size=(n, 4)), 2)
+    y = x[:, 0] * 2 + rng.normal(size=n)
+    row = {"n": n, "x": x.tobytes(), "y": y.tobytes(), "fold": (np.arange(n) % 3).astype(np.int32).tobytes(),
+           "test": (np.arange(n) % 5 == 0).astype(np.uint8).tobytes(), "hash": np.arange(n, dtype=np.uint64).tobytes()}
+    cuts = [np.unique(np.quantile(x[:, j], np.arange(1, 16) / 16)) for j in range(4)]
+    walk = g.Tree.walk
+
+    def slow(block, fit, t, p):
+        """Every level finds the place of all rows from the root."""
+        tree, w = g.Tree(), block.weights(fit, t, p)
+        while tree.open.any():
+            node, rows, at = g._open_rows(tree, block, w)
+            if p.kind == "best":
+                s = g._best_from_histogram(node, tree.key[node], g._histogram(block, rows, at, len(node), w, block.y), cuts, fit, t, p)
+            else:
+                drawn = g.random_cuts(tree.key[node], *g._node_ranges(block, rows, at, len(node)), fit, t, p)
+                s = g._best_random(node, tree.key[node], *g._left_of(block, rows, at, drawn, w, block.y), drawn, fit, t, p)
+            tree.split(s, p)
+        return tree
+
+    def forbidden(*a):
+        raise AssertionError("all rows walked from the root")
+    for p in (g.TreeParams(kind="random"), g.TreeParams(bootstrap=True), g.TreeParams(kind="random", min_samples_leaf=4, features=2)):
+        block = g.Block(row, cuts)
+        for fit in (g.HOLDOUT, 1):
+            monkeypatch.setattr(g.Tree, "walk", walk)
+            want = slow(block, fit, 2, p)
+            monkeypatch.setattr(g.Tree, "walk", forbidden)
+            got = g._grow_here(block, cuts, fit, 2, p, block.y)
+            for k in g.Tree.__slots__:
+                assert np.array_equal(getattr(got, k), getattr(want, k)), k
+            assert len(got.feature) > 50

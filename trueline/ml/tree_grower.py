@@ -252,10 +252,14 @@ def random_cuts(key, low, high, fit: int, t: int, p: TreeParams) -> np.ndarray:
 def _left_of(block: Block, rows, at, cuts, w, y) -> tuple[np.ndarray, np.ndarray]:
     n_open, n_f = cuts.shape
     left = np.zeros((4, n_open, n_f, 1))
+    x, w, y = np.ascontiguousarray(block.x[rows].T), w[rows], y[rows]
+    parts = (np.ones(len(rows)), w, w * y, w * y * y)
     for j in range(n_f):
-        k = block.x[rows, j] <= cuts[at, j]
-        left[:, :, j, 0] = _sums(at[k], n_open, w[rows][k], y[rows][k])
-    return left, _sums(at, n_open, w[rows], y[rows])
+        k = np.flatnonzero(x[j] <= cuts[at, j])
+        mine = at[k]
+        for i, v in enumerate(parts):
+            left[i, :, j, 0] = np.bincount(mine, v[k], n_open)
+    return left, _sums(at, n_open, w, y)
 
 
 def _best_random(node, key, left, total, cuts, fit, t, p) -> dict:
@@ -266,10 +270,11 @@ def _best_random(node, key, left, total, cuts, fit, t, p) -> dict:
 def _grow_here(block: Block, cuts, fit: int, t: int, p: TreeParams, y) -> Tree:
     """All levels of a tree in the task that has the only block."""
     tree, w = Tree(), block.weights(fit, t, p)
-    while tree.open.any():
-        node, rows, at = _open_rows(tree, block, w)
-        if not len(rows):
-            break
+    rows = np.flatnonzero(w > 0)                      # rows in open nodes, and the node of each
+    stands = np.zeros(len(rows), np.int32)
+    while tree.open.any() and len(rows):
+        node = np.flatnonzero(tree.open)
+        at = np.searchsorted(node, stands)
         if p.kind == "best":
             # few nodes at a time, so the sums of a level stay small
             step = max(1, (1 << 22) // (4 * block.code.shape[1] * block.bins))
@@ -278,12 +283,23 @@ def _grow_here(block: Block, cuts, fit: int, t: int, p: TreeParams, y) -> Tree:
                 part = node[a:a + step]
                 tree.split(_best_from_histogram(part, tree.key[part], _histogram(block, rows[mine], at[mine] - a, len(part), w, y),
                                                 cuts, fit, t, p), p)
-            continue
-        drawn = random_cuts(tree.key[node], *_node_ranges(block, rows, at, len(node)), fit, t, p)
-        tree.split(_best_random(node, tree.key[node], *_left_of(block, rows, at, drawn, w, y), drawn, fit, t, p), p)
+        else:
+            drawn = random_cuts(tree.key[node], *_node_ranges(block, rows, at, len(node)), fit, t, p)
+            tree.split(_best_random(node, tree.key[node], *_left_of(block, rows, at, drawn, w, y), drawn, fit, t, p), p)
+        rows, stands = _step_down(tree, block, rows, stands)
     return tree
 
 
+def _step_down(tree: Tree, block: Block, rows, stands) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that reach an open child of the node they stood in, and the child."""
+    inner = tree.feature[stands] >= 0
+    rows, stands = rows[inner], stands[inner]
+    go = block.x[rows, tree.feature[stands]] <= tree.cut[stands]
+    stands = np.where(go, tree.left[stands], tree.right[stands])
+    live = tree.open[stands]
+    return rows[live], stands[live]
+
+
 def quantile_cuts(data: DataFrame, features: Sequence[str], max_bins: int) -> list[np.ndarray]:
     """Cut points of every feature: between all values where there are at most
     ``max_bins``, else at quantiles."""
